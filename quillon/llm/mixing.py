@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import bucketed_prefix_sum, text_or_empty, unit_hash, word_count
 
 #: Rows of one source that are ordered in one task.
-ROWS_PER_PIECE = 20_000
+ROWS_PER_PIECE = 2_000
 
 
 def default_quality(text: Column) -> Column:
