@@ -23,7 +23,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    pass
+    from .plans import sql_queries  # noqa: F401  registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
