@@ -5,9 +5,10 @@
 2. In each band the members of a bucket are compared with its smallest doc_id only, so a bucket costs as many pairs as it has
    members. A pair's signatures are read in batches; it is pruned as soon as the posterior probability that its similarity reaches
    the threshold, given the matches so far, falls below ``MISS``. Survivors are verified exactly on their full shingle sets.
-3. Members that fail against their pivot form the bucket again without it, for ``ROUNDS`` rounds; what is left then is compared in full.
-   A member that fails may still be linked to one that doesn't: Jaccard distance is a metric, so only pairs whose estimated
-   distances to the pivot differ by no more than the allowed distance plus ``SLACK`` can be, and those that aren't connected yet are compared too.
+3. Members that fail against their pivot form the bucket again without it, for ``ROUNDS`` rounds. A member that fails may still be linked to
+   one that doesn't: Jaccard distance is a metric, so only members whose estimated distances to the pivot differ by no more than the
+   allowed distance plus ``SLACK`` can be. These, and members left in a bucket after the last round, are compared inside tasks, in pairs of
+   chunks of at most about ``CHUNK`` rows; a task returns only links that join two components, never pairs.
 4. Components are found by alternating large-star and small-star steps over tables.
 
 Defined cases: null, empty and blank texts have no shingle and stay alone; fewer words than a shingle make one shingle; equal doc_ids are one
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import math
 from functools import reduce
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import mix64, shingle_sets, slices, stash, text_or_empty, unstash
 
 BANDS, ROWS, BATCH = 32, 6, 32
-MISS, SLACK, ROUNDS = 1e-6, 0.15, 4
+MISS, SLACK, ROUNDS = 1e-6, 0.15, 3
 _SEEDS = np.random.default_rng(7_032_024).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -160,30 +162,47 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-class _Links:
-    """What one run compares: representatives' signatures, and texts for exact verification."""
+def _cross(threshold: float):
+    """Links between rows of side 0 and rows of either side of a group that have different roots, by signature batches and then exactly.
+
+    Roots merge as links are found, so a group gives fewer links than it has rows."""
+    least, per_cent = least_matches(threshold), round(threshold * 100)
+
+    def run(key, table):
+        t = table.sort_by([("side", "ascending"), ("doc", "ascending")])
+        docs, roots, sides = (t[c].to_pylist() for c in ("doc", "root", "side"))
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(docs), -1)
+        sets, near = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()], np.array(t["estimate"].to_pylist())
+        up = {r: r for r in roots}
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, words: int, threshold: float):
-        self.docs, self.reps, self.words, self.threshold = docs, reps, words, threshold
+        def top(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out = []
+        for i in range(sides.count(0)):
+            alive = np.arange(i + 1, len(docs))
+            alive = alive[np.abs(near[alive] - near[i]) <= 1 - threshold + SLACK]
+            matches = np.zeros(len(docs), np.int64)
+            for k, need in enumerate(least):
+                cut = slice(k * BATCH, (k + 1) * BATCH)
+                matches[alive] += (sig[alive, cut] == sig[i, cut]).sum(axis=1)
+                alive = alive[matches[alive] >= need]
+            for j in alive.tolist():
+                if top(roots[i]) != top(roots[j]):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= per_cent * (len(sets[i]) + len(sets[j]) - both):
+                        up[top(roots[i])] = top(roots[j])
+                        out.append((docs[i], docs[j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return run
 
-    def judged(self, pairs: DataFrame) -> DataFrame:
-        """pairs(a, b) -> (a, b, passed, estimate), stashed."""
-        s = self.reps.select(F.col("doc_id").alias("u"), F.col("sig").alias("x"))
-        t = self.reps.select(F.col("doc_id").alias("v"), F.col("sig").alias("y"))
-        p = pairs.join(s, F.col("a") == F.col("u")).join(t, F.col("b") == F.col("v")).select("a", "b", "x", "y")
-        return stash(p.mapInArrow(_bayes(self.threshold), "a long, b long, passed boolean, estimate double"), "judged")
 
-    def verified(self, judged: DataFrame) -> DataFrame:
-        """The pairs of ``judged`` that hold on full sets, stashed."""
-        pairs = judged.where("passed").select("a", "b")
-        ids = pairs.select("a").union(pairs.select("b")).distinct()
-        d = self.docs.join(ids, F.col("doc_id") == F.col("a"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        sets = stash(d.mapInArrow(_set_rows(self.words), "doc_id long, set binary"), "sets")
-        s, t = sets.select(F.col("doc_id").alias("u"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("v"), F.col("set").alias("y"))
-        p = pairs.join(s, F.col("a") == F.col("u")).join(t, F.col("b") == F.col("v")).select("a", "b", "x", "y")
-        out = stash(p.mapInArrow(_exact(self.threshold), "a long, b long"), "verified")
-        unstash(sets)
-        return out
+#: Rows of one pivot's members that one task compares with others.
+CHUNK = 2_000
 
 
 def link(docs: DataFrame, words: int, threshold: float = 0.8) -> DataFrame:
@@ -195,46 +214,52 @@ def link(docs: DataFrame, words: int, threshold: float = 0.8) -> DataFrame:
     same = sound.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = sound.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("sig", "bands"), "digest").alias("s")).select("doc_id", "s.sig", "s.bands")
     reps = stash(reps, "representatives")
-    links = _Links(docs, reps, words, threshold)
-    found, tested = [same], []
     members = reps.select("doc_id", F.explode("bands").alias("key"))
-    borderline = []
+    shared = members.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = stash(members.join(shared, F.col("key") == F.col("k"), "left_semi"), "members")
+    # the ids grow with the corpus, so this is never a broadcast; texts are read and moved this once
+    ids = members.select(F.col("doc_id").alias("a")).distinct()
+    texts = docs.join(ids.hint("merge"), F.col("doc_id") == F.col("a"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = stash(texts.mapInArrow(_set_rows(words), "doc_id long, set binary"), "sets")
+
+    def paired(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+        s = of.select(F.col("doc_id").alias("u"), F.col(column).alias("x"))
+        t = of.select(F.col("doc_id").alias("v"), F.col(column).alias("y"))
+        return pairs.join(s, F.col("a") == F.col("u")).join(t, F.col("b") == F.col("v")).select("a", "b", "x", "y")
+
+    found, tested, stars = [same], None, []
     for _ in range(ROUNDS):
         pivots = members.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        starred = members.join(pivots, F.col("key") == F.col("k")).where("doc_id <> p").select("key", "doc_id", "p")
-        pairs = starred.select(F.col("doc_id").alias("a"), F.col("p").alias("b")).distinct()
-        if tested:
-            old = reduce(DataFrame.union, [t.select("a", "b") for t in tested])
-            fresh = stash(pairs.join(old, ["a", "b"], "left_anti"), "pairs")
-        else:
-            fresh = pairs
-        judged = links.judged(fresh)
-        verified = links.verified(judged)
+        starred = stash(members.join(pivots, F.col("key") == F.col("k")).where("doc_id <> p").select("key", F.col("doc_id").alias("a"), F.col("p").alias("b")), "starred")
+        pairs = starred.select("a", "b").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        judged = stash(paired(pairs, reps, "sig").mapInArrow(_bayes(threshold), "a long, b long, passed boolean, estimate double"), "judged")
+        verified = stash(paired(judged.where("passed").select("a", "b"), sets, "set").mapInArrow(_exact(threshold), "a long, b long"), "verified")
         found.append(verified)
-        tested.append(judged.join(verified.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", "estimate", F.coalesce("linked", F.lit(False)).alias("linked")))
-        known = stash(reduce(DataFrame.union, tested), "tested")
-        tested = [known]
-        seen = stash(starred.join(known, (F.col("doc_id") == F.col("a")) & (F.col("p") == F.col("b"))).select("key", "doc_id", "p", "estimate", "linked"), "starred")
-        borderline.append(seen)
-        members = seen.where("not linked").select("doc_id", "key")
+        new = judged.join(verified.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", "estimate", F.coalesce("linked", F.lit(False)).alias("linked"))
+        tested = stash(new if tested is None else tested.union(new), "tested")
+        members = stash(starred.join(tested.where("not linked"), ["a", "b"], "left_semi").select(F.col("a").alias("doc_id"), "key"), "members")
         if not members.limit(1).count():
             break
-    # pairs of one bucket that no pivot has settled: an unlinked member and any other whose distance to the pivot is near enough
-    x = reduce(DataFrame.union, borderline)
+    # what no pivot has settled: of each pivot, members near it but not linked, against each other and all that are linked; and
+    # members that are left in a bucket after the last round, against each other
     near = 1 - threshold
-    x1 = x.where(f"not linked and estimate >= {1 - 2 * near - SLACK}").select(F.col("key").alias("k1"), F.col("p").alias("p1"), F.col("doc_id").alias("d1"), F.col("estimate").alias("e1"))
-    x2 = x.where("linked").select(F.col("key").alias("k2"), F.col("p").alias("p2"), F.col("doc_id").alias("d2"), F.col("estimate").alias("e2"))
-    more = x1.join(x2, (F.col("k1") == F.col("k2")) & (F.col("p1") == F.col("p2"))).where(f"abs(e1 - e2) <= {near + SLACK}").select("d1", "d2", F.col("p1").alias("p"))
-    last = borderline[-1].where("not linked").select(F.col("key").alias("k1"), F.col("doc_id").alias("d1"))
-    rest = last.join(last.select(F.col("k1").alias("k2"), F.col("d1").alias("d2")), (F.col("k1") == F.col("k2")) & (F.col("d1") > F.col("d2"))).select("d1", "d2")
     first = components(reduce(DataFrame.union, found))
-    r1, r2 = first.select(F.col("node").alias("n1"), F.col("root").alias("r1")), first.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-    open_pairs = more.select("d1", "d2").union(rest).distinct().join(r1, F.col("d1") == F.col("n1"), "left").join(r2, F.col("d2") == F.col("n2"), "left")
-    open_pairs = open_pairs.where(F.coalesce("r1", "d1") != F.coalesce("r2", "d2")).select(F.greatest("d1", "d2").alias("a"), F.least("d1", "d2").alias("b")).distinct()
-    open_pairs = stash(open_pairs.join(tested[0].select("a", "b"), ["a", "b"], "left_anti"), "open")
-    if open_pairs.limit(1).count():
-        again = links.verified(links.judged(open_pairs))
-        first = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(again))
+    far = tested.where(f"not linked and estimate >= {1 - 2 * near - SLACK}").select(F.col("b").alias("g"), F.col("a").alias("doc"), "estimate", F.lit(0).alias("side"))
+    close = tested.where("linked").select(F.col("b").alias("g"), F.col("a").alias("doc"), "estimate", F.lit(1).alias("side"))
+    close = close.join(far.select(F.col("g").alias("h")).distinct(), F.col("g") == F.col("h"), "left_semi")
+    rest = members.select(F.col("key").alias("g"), F.col("doc_id").alias("doc"), F.lit(0.0).alias("estimate"), F.lit(0).alias("side")).distinct()
+    rows = far.union(close).withColumn("kind", F.lit(0)).union(rest.withColumn("kind", F.lit(1)))
+    chunks = rows.groupBy(F.col("kind").alias("k2"), F.col("g").alias("g2")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("c"), F.expr("count_if(side = 0)").alias("n0"), F.count(F.lit(1)).alias("n")).where("n0 > 0 and n > 1")
+    rows = rows.join(chunks, (F.col("kind") == F.col("k2")) & (F.col("g") == F.col("g2"))).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("c")).cast("int"))
+    # every pair of chunks meets once: a row goes to the pairs its chunk is in
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    rows = rows.join(first, F.col("doc") == F.col("node"), "left").join(reps.select("doc_id", "sig"), F.col("doc") == F.col("doc_id")).drop("doc_id").join(sets, F.col("doc") == F.col("doc_id"))
+    rows = rows.select("kind", "g", "lo", "hi", "doc", F.coalesce("root", "doc").alias("root"), "side", "estimate", "sig", "set")
+    more = stash(rows.groupBy("kind", "g", "lo", "hi").applyInArrow(_cross(threshold), "a long, b long"), "more")
+    if more.limit(1).count():
+        first = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     out = all_rows.select("doc_id", F.col("n").alias("n_shingles")).join(first, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
