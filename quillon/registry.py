@@ -23,7 +23,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from .plans import sql_queries  # noqa: F401  registers its queries
+    from .plans import frame_queries, sql_queries  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
