@@ -36,7 +36,9 @@ MOST_SAMPLED, PER_BUCKET = 4_000, 50
 _DOC = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("first", "<u4")])
 _RUN = np.dtype([("key", "u1", 6), ("run", "u1", 5), ("serial", "u1", 3)])
 _PART = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("q", "<u4"), ("n", "u1"), ("off", "u1"), ("key", "<u8")])
-_BACK = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("n", "u1")])
+_BACK = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("kind", "u1")])
+#: Kinds of returned rows: a run that is repeated and one to compare, both by number in the document; a repeated string, by place.
+_GONE, _OPEN, _STRING = range(3)
 
 
 class Suffixes:
@@ -149,7 +151,7 @@ def _send(splits: np.ndarray, homes: int, length: int):
                 if len(gone):
                     back = np.zeros(len(gone), _BACK)
                     back["doc"], back["tag"] = docs[s.doc[gone]], tags[s.doc[gone]]
-                    back["at"], back["n"] = s.q1[gone] - s.begin[s.doc[gone]], s.q2[gone] - s.q1[gone] + 1
+                    back["at"], back["kind"] = gone - np.searchsorted(s.doc, s.doc[gone]), _GONE
                     yield from _returns(back, homes, -1)
                 kept = np.sort(order[d == smallest])
                 bucket = np.searchsorted(splits, s.leads(kept), "right")
@@ -173,7 +175,7 @@ def _send(splits: np.ndarray, homes: int, length: int):
 
 
 def _returns(back: np.ndarray, homes: int, kind: int):
-    """Rows for documents, by home; kind -1 passes through the buckets (home in place of the bucket)."""
+    """Rows for documents, one for each home; kind -1 passes through the buckets (home in place of the bucket)."""
     at = home(back["doc"], homes)
     order = np.argsort(at, kind="stable")
     at, back = at[order], back[order]
@@ -184,11 +186,12 @@ def _returns(back: np.ndarray, homes: int, kind: int):
 
 
 def _settle(homes: int):
-    """Step 1, bucket side: (home, kind, data) with kind 0 whole runs that are repeated, by serial, and 1 runs to compare byte by byte."""
+    """Step 1, bucket side: (home, 0, data) of whole runs that are repeated and runs to compare byte by byte."""
 
     def run(key, table):
         kinds, blobs = table["kind"].to_pylist(), table["data"].to_pylist()
-        out = [_out([key[0].as_py()] * kinds.count(-1), [2] * kinds.count(-1), [x for x, k in zip(blobs, kinds) if k == -1])]
+        passed = b"".join(x for x, k in zip(blobs, kinds) if k == -1)
+        out = [_out([key[0].as_py()], [0], [passed])] if passed else []
         docs, tags, serials, keys, runs = [], [], [], [], []
         for x, k in zip(blobs, kinds):
             if k == 0:
@@ -214,34 +217,27 @@ def _settle(homes: int):
             group = np.cumsum(new_key) - 1
             starts = np.flatnonzero(new_key)
             several = (np.add.reduceat(new.astype(np.int64), starts) > 1) & (np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts))
-            for kind, which in ((0, gone), (1, several[group] & ~gone)):
-                back = np.zeros(int(which.sum()), _BACK)
-                back["doc"], back["tag"], back["at"] = d[which], t[which], s[which]
-                out += _returns(back, homes, kind)
-        return pa.Table.from_batches(out)
+            which = gone | several[group]
+            back = np.zeros(int(which.sum()), _BACK)
+            back["doc"], back["tag"], back["at"], back["kind"] = d[which], t[which], s[which], np.where(gone[which], _GONE, _OPEN)
+            out += _returns(back, homes, 0)
+        return pa.Table.from_batches(out, schema=_out([], [], []).schema)
 
     return run
 
 
 def _matched(docs: pa.Table, rows: pa.Table, kinds: tuple[int, ...]):
-    """Each document with its returned rows: (position, its rows by kind)."""
+    """Each document with its returned rows: (position, places or numbers by kind)."""
     ids = _ids(docs["doc_id"])
     tags = np.array(docs["tag"].to_pylist(), np.int64).astype(np.uint64).astype(np.uint16)
-    found = {}
-    for kind in kinds:
-        blobs = [x for x, k in zip(rows["data"].to_pylist(), rows["kind"].to_pylist()) if k == kind]
-        back = np.frombuffer(b"".join(blobs), _BACK)
-        back = back[np.lexsort((back["tag"], back["doc"]))]
-        found[kind] = back, np.searchsorted(back["doc"], ids, "left"), np.searchsorted(back["doc"], ids, "right")
+    back = np.frombuffer(b"".join(rows["data"].to_pylist()), _BACK)
+    back = back[np.isin(back["kind"], kinds)]
+    back = back[np.lexsort((back["tag"], back["doc"]))]
+    first, last = np.searchsorted(back["doc"], ids, "left"), np.searchsorted(back["doc"], ids, "right")
     for i in range(len(ids)):
-        some = {}
-        for kind, (back, a, e) in found.items():
-            if e[i] > a[i]:
-                part = back[a[i] : e[i]]
-                part = part[part["tag"] == tags[i]]
-                if len(part):
-                    some[kind] = part
-        yield i, some
+        part = back[first[i] : last[i]]
+        part = part[part["tag"] == tags[i]]
+        yield i, {k: at for k in kinds if len(at := part["at"][part["kind"] == k])}
 
 
 def _contents(splits: np.ndarray, length: int):
@@ -252,11 +248,11 @@ def _contents(splits: np.ndarray, length: int):
         if rows.num_rows:
             ids = _ids(docs["doc_id"])
             tags = np.array(docs["tag"].to_pylist(), np.int64).astype(np.uint64).astype(np.uint16)
-            for i, some in _matched(docs, rows, (1,)):
+            for i, some in _matched(docs, rows, (_OPEN,)):
                 if not some:
                     continue
                 s = Suffixes([docs["text"][i].as_py()], length)
-                which = np.unique(some[1]["at"]).astype(np.int64)
+                which = np.unique(some[_OPEN]).astype(np.int64)
                 p = np.zeros(len(which), _PART)
                 p["doc"], p["tag"], p["q"], p["n"], p["off"], p["key"] = ids[i], tags[i], s.q1[which], s.q2[which] - s.q1[which] + 1, s.at[which] - s.q1[which], s.key[which]
                 parts.append(p)
@@ -309,7 +305,7 @@ def _compare(homes: int, length: int):
         p, body = np.concatenate(parts), np.concatenate(bodies)
         size = p["n"].astype(np.int64) + length - 1
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        out = []
+        found = []
         off, n = p["off"].astype(np.int64), p["n"].astype(np.int64)
         for o in range(length - GRAM + 1):  # strings that start o bytes before their suffix
             has = np.flatnonzero((off >= o) & (off - n < o))
@@ -324,8 +320,9 @@ def _compare(homes: int, length: int):
             smallest = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
             gone = has[order[doc > smallest]]
             back = np.zeros(len(gone), _BACK)
-            back["doc"], back["tag"], back["at"], back["n"] = p["doc"][gone], p["tag"][gone], p["q"][gone] + off[gone] - o, 1
-            out += _returns(back, homes, 2)
+            back["doc"], back["tag"], back["at"], back["kind"] = p["doc"][gone], p["tag"][gone], p["q"][gone] + off[gone] - o, _STRING
+            found.append(back)
+        out = list(_returns(np.concatenate(found), homes, 0)) if found else []
         return pa.Table.from_batches(out, schema=_out([], [], []).schema)
 
     return run
@@ -334,18 +331,18 @@ def _compare(homes: int, length: int):
 def _finish(length: int, texts: bool):
     def run(key, docs, rows):
         result = []
-        for i, some in _matched(docs, rows, (0, 2)):
+        for i, some in _matched(docs, rows, (_GONE, _STRING)):
             text = docs["text"][i].as_py()
             raw = text.encode()
             edge = np.zeros(len(raw) + 1, np.int32)
-            if 0 in some:
+            if _GONE in some:
                 s = Suffixes([text], length)
-                which = some[0]["at"]
+                which = some[_GONE]
                 np.add.at(edge, s.q1[which], 1)
                 np.add.at(edge, s.q2[which] + length, -1)
-            if 2 in some:
-                np.add.at(edge, some[2]["at"], 1)
-                np.add.at(edge, some[2]["at"].astype(np.int64) + some[2]["n"] - 1 + length, -1)
+            if _STRING in some:
+                np.add.at(edge, some[_STRING], 1)
+                np.add.at(edge, some[_STRING].astype(np.int64) + length, -1)
             if some:
                 cut = np.cumsum(edge[:-1]) > 0
                 removed, spans = int(cut.sum()), int((np.diff(cut.astype(np.int8), prepend=0) == 1).sum())
@@ -380,8 +377,8 @@ def splitters(docs: DataFrame, buckets: int, length: int) -> np.ndarray:
 
 def dedup(docs: DataFrame, length: int = LENGTH, buckets: int | None = None, texts: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs(doc_id, text); kept only if ``texts``."""
-    buckets = buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    homes = buckets | 1
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets, homes = buckets or 2 * parts, (buckets or parts) | 1
     d = docs.select("doc_id", text_or_empty().alias("text"))
     splits = splitters(d, buckets, length)
     d = d.select("doc_id", F.xxhash64("text").alias("tag"), "text", _homes(homes).alias("home"))
@@ -389,9 +386,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, buckets: int | None = None, tex
     shape = "bucket int, kind int, data binary"
     settled = stash(sent.groupBy("bucket").applyInArrow(_settle(homes), shape), "suffixes")
     by_home = d.groupBy("home")
-    contents = by_home.cogroup(settled.where("kind = 1").groupBy("bucket")).applyInArrow(_contents(splits, length), shape)
+    contents = by_home.cogroup(settled.groupBy("bucket")).applyInArrow(_contents(splits, length), shape)
     compared = contents.groupBy("bucket").applyInArrow(_compare(homes, length), shape)
-    back = settled.where("kind <> 1").union(compared)
+    back = settled.union(compared)
     out = by_home.cogroup(back.groupBy("bucket")).applyInArrow(_finish(length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out
 
