@@ -14,12 +14,15 @@ import base64
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 #: Pre-tokens whose ids a Python worker remembers.
 MOST_CACHED = 300_000
@@ -124,22 +127,23 @@ def coder(path: str, pattern: str) -> Coder:
     return _CODERS[path, pattern]
 
 
-def encode_column(text: Column, path: str, pattern: str) -> Column:
-    @F.pandas_udf("array<int>")
-    def run(s: pd.Series) -> pd.Series:
-        c = coder(path, pattern)
-        return pd.Series([list(map(int, x.split(" "))) if (x := c.encode(t)) else [] for t in s], dtype=object)
+def _coded(path: str, pattern: str, at: int):
+    """Batches with the text at column ``at`` replaced by what its ids decode to, the ids, and their number."""
 
-    return run(F.coalesce(text, F.lit("")))
-
-
-def decode_column(ids: Column, path: str, pattern: str) -> Column:
-    @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        c = coder(path, pattern)
-        return pd.Series([c.decode(" ".join(map(str, x))) if x is not None else b"" for x in s], dtype=object)
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, column=at):
+                c, ids, n, back = coder(path, pattern), [], [], []
+                for t in b.column(at).to_pylist():
+                    x = c.encode(t or "")
+                    ids.append(np.fromstring(x, np.int32, sep=" ") if x else np.zeros(0, np.int32))
+                    n.append(len(ids[-1]))
+                    back.append(None if t is None else c.decode(x).decode())
+                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+                columns = [pa.array(back, pa.string()) if i == at else b.column(i) for i in range(b.num_columns)]
+                yield pa.RecordBatch.from_arrays([*columns, flat, pa.array(n, pa.int64())], names=[*b.schema.names, "ids", "n_tokens"])
 
-    return run(ids)
+    return run
 
 
 def digest_column(text: Column, path: str, pattern: str) -> Column:
@@ -157,9 +161,10 @@ def digest_column(text: Column, path: str, pattern: str) -> Column:
 
 
 def stage(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` with ids and n_tokens; text is replaced by what the ids decode to (null texts stay null)."""
-    d = docs.withColumn("ids", encode_column(F.col("text"), path, pattern)).withColumn("n_tokens", F.size("ids").cast("long"))
-    return d.withColumn("text", F.when(F.col("text").isNotNull(), decode_column(F.col("ids"), path, pattern).cast("string")))
+    """``docs`` with ids and n_tokens (in place of columns with these names); text is what the ids decode to (null texts stay null)."""
+    d = docs.drop("ids", "n_tokens")
+    kept = StructType([StructField(f.name, f.dataType) for f in d.schema.fields])
+    return d.mapInArrow(_coded(path, pattern, d.columns.index("text")), kept.add("ids", ArrayType(IntegerType())).add("n_tokens", LongType()))
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
