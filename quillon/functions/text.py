@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 
 def chunk_markdown(text: Column, limit: int = 3000) -> Column:
     """Cut at headings, pack pieces greedily below ``limit`` characters, and cut longer pieces hard."""
-    parts = F.filter(F.transform(F.split(text, r"\n(?=##+\s)"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, r"\n(?=##+\s)"), lambda x: F.trim(x)), lambda x: x != "")
     hard = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / limit)), lambda i: p.substr((i * limit + 1).cast("int"), F.lit(limit)))))
     empty = F.array().cast("array<string>")
 

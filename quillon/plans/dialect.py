@@ -30,6 +30,8 @@ class Spark:
     split = staticmethod(lambda c, s: f"split({c}, '{s}')")
     array_of = staticmethod(lambda *x: f"array({', '.join(x)})")
     size = staticmethod(lambda a: f"cast(size({a}) as bigint)")
+    row = staticmethod(lambda **v: "named_struct(" + ", ".join(f"'{k}', cast({x} as bigint)" for k, x in v.items()) + ")")
+    row_type = staticmethod(lambda *names: "struct<" + ", ".join(f"{n}: bigint" for n in names) + ">")
     dot = staticmethod(lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> cast(x as double) * cast(y as double)), cast(0 as double), (s, x) -> s + x)")
 
     @staticmethod
@@ -63,6 +65,8 @@ class Duck:
     split = staticmethod(lambda c, s: f"string_split({c}, '{s}')")
     array_of = staticmethod(lambda *x: f"[{', '.join(x)}]")
     size = staticmethod(lambda a: f"cast(len({a}) as bigint)")
+    row = staticmethod(lambda **v: "{" + ", ".join(f"'{k}': cast({x} as bigint)" for k, x in v.items()) + "}")
+    row_type = staticmethod(lambda *names: "struct(" + ", ".join(f"{n} bigint" for n in names) + ")")
     dot = staticmethod(lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: cast(z[1] as double) * cast(z[2] as double)))")
 
     @staticmethod

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import learner, tables
 from ..registry import query
+from ..sources import files
 from .dialect import Duck, Spark, with_views
 
 OLD = "select n_nationkey as code, n_name as name, n_regionkey as region from nation"
@@ -82,3 +83,36 @@ def fn_sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     stream = F.concat(F.lit("event: "), F.col("role"), F.lit("\ndata: x"), F.col("turn").cast("string"), F.lit("\n\n"))
     return c.select("conv_id", "turn", F.inline(text.sse_events(stream)))
+
+
+@query("dom_graph_build", """select a.src, 'part-' || cast(a.l as varchar) as link, b.p_partkey as dst from
+    (select distinct p_partkey as src, unnest([p_partkey // 2, p_partkey * 3]) as l from part) a left join part b on b.p_partkey = a.l""")
+def dom_graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    notes = p.selectExpr(r"concat('---\nid: ', p_partkey, '\nname: part-', p_partkey, '\n---\nsee [[part-', p_partkey div 2, ']] and [[part-', p_partkey * 3, '|another]]') as text")
+    edges = files.note_graph(notes)[1]
+    return edges.select(F.col("src").cast("long").alias("src"), "link", F.col("dst").cast("long").alias("dst"))
+
+
+@query("src_cypher", "select 'Point' as label, cast(p_partkey as varchar) as id, 'name ' || cast(p_size as varchar) as name from part")
+def src_cypher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "script")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p.select(F.format_string("MERGE (n:Point {id: '%s', name: 'name %s'})", F.col("p_partkey").cast("string"), F.col("p_size").cast("string"))).write.text(path)
+    return files.graph_script(spark, path)[0]
+
+
+@query("src_jsonl", "select p_partkey, p_name, p_size from part")
+def src_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "jsonl")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size")
+    p.write.json(path)
+    return files.jsonl(spark, path, p.schema)
+
+
+@query("snk_file_per_group", "select p_type as subject, p_name as line from part")
+def snk_file_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "groups")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("subject"), F.col("p_name").alias("line"))
+    files.write_by_group(p, path, "subject", "line")
+    return spark.read.schema("value string, subject string").text(path).select("subject", F.col("value").alias("line"))

@@ -245,3 +245,48 @@ q("dom_node_questions", "kps questions", "select k.id, count(*) as n from (selec
 q("dom_dashboard", "practice wrong checkins", "select a.email, a.n as practiced, a.acc, coalesce(w.n, 0) as wrong_count, c.n as days from (select email, count(*) as n, round(avg(case when is_correct then 100.0 else 0.0 end), 4) as acc from practice group by email) a left join (select email, count(*) as n from wrong group by email) w on w.email = a.email join (select email, count(*) as n from checkins group by email) c on c.email = a.email")
 q("st_fixed_window_limit", "practice", lambda d: f"select email, cast({d.fold(d.dow_seconds('ts'), 'ts, id', '0', 'case when x - s >= 60000000 then x else s end', 'bigint')} as bigint) as window_start_us from practice group by email")
 q("ext_tumbling", "practice", "select cast(ts as date) as day, subject, count(*) as n from practice group by cast(ts as date), subject")
+
+
+def token_bucket(d, most: int, seconds: int) -> str:
+    """Requests granted at once of a bucket that starts full with ``most`` tokens and refills them in ``seconds``; levels are in microseconds of refill."""
+    unit = seconds * 1_000_000 // most
+    full = unit * most
+    level = f"case when s.last < 0 then {full} else least({full}, s.level + x.last - s.last) end"
+    step = d.row(level=f"greatest(0, {level} - {unit})", last="x.last", used=f"s.used + case when {level} >= {unit} then 1 else 0 end")
+    fold = d.fold(d.row(level="0", last=d.dow_seconds("ts"), used="0"), "ts, id", d.row(level="0", last="-1", used="0"), step, d.row_type("level", "last", "used"))
+    return f"select email, b.used as granted, n - b.used as delayed from (select email, {fold} as b, count(*) as n from practice group by email) a"
+
+
+q("st_token_bucket", "practice", lambda d: token_bucket(d, 2, 86_400))
+
+
+def resend_guard(d, again: int, expiry: int, tries: int) -> str:
+    """Purchases ask for a code, other events try one. A code is sent at most every ``again`` seconds, lives ``expiry`` seconds and allows ``tries`` tries."""
+    early = f"s.sent >= 0 and x.sent - s.sent < {again * 1_000_000}"
+    dead = f"(s.sent < 0 or x.sent - s.sent > {expiry * 1_000_000} or s.tries >= {tries})"
+    step = d.row(
+        sent=f"case when x.tries = 1 then case when {early} then s.sent else x.sent end when {dead} or x.good = 1 then -1 else s.sent end",
+        tries=f"case when x.tries = 1 then case when {early} then s.tries else 0 end when {dead} or x.good = 1 then 0 else s.tries + 1 end",
+        sends=f"s.sends + case when x.tries = 1 and not ({early}) then 1 else 0 end",
+        good=f"s.good + case when x.tries = 0 and x.good = 1 and not {dead} then 1 else 0 end",
+        refused=f"s.refused + case when x.tries = 1 and {early} then 1 when x.tries = 0 and {dead} then 1 else 0 end",
+    )
+    item = d.row(sent=d.dow_seconds("ts"), tries="case when subject = 'purchase' then 1 else 0 end", sends="0", good="case when is_correct then 1 else 0 end", refused="0")
+    fold = d.fold(item, "ts, id", d.row(sent="-1", tries="0", sends="0", good="0", refused="0"), step, d.row_type("sent", "tries", "sends", "good", "refused"))
+    return f"select email, b.sends, b.good as verified, b.refused from (select email, {fold} as b from practice group by email) a"
+
+
+q("st_resend_guard", "practice", lambda d: resend_guard(d, 6 * 3600, 5 * 86_400, 5))
+# the id that was given, else the inferred one, else the first name that begins alike
+q("dom_kp_resolution", "kps wrong practice", lambda d: f"""select w.id, coalesce(a.id, b.id, c.id) as kp, coalesce(a.name, b.name, c.name) as kp_name, coalesce(a.id, b.id, c.id) is not null as kp_validated
+    from (select id, kp * 37 as given, cast({d.json('data', 'k')} as bigint) * 31 as inferred, lower(substr(subject, 1, 1)) as initial from wrong) w left join kps a on a.id = w.given left join kps b on b.id = w.inferred
+    left join (select f.initial, k.id, k.name from (select lower(substr(name, 1, 1)) as initial, min(id) as id from kps group by lower(substr(name, 1, 1))) f join kps k on k.id = f.id) c on c.initial = w.initial""")
+# 20 places: 13 to select, 4 to fill in, 3 to solve; a learner's weak points come first and take turns
+SLOTS = ", ".join(f"({i})" for i in range(20))
+q("dom_paper", "mastery kps", f"""select r.email, v.i + 1 as number, case when v.i < 13 then 'selection' when v.i < 17 then 'fill' else 'solution' end as section, r.kp, r.weak, case when v.i < 17 then 5 when v.i < 19 then 12 else 14 end as score,
+    case when v.i < 5 or v.i in (13, 14) then 'easy' when v.i = 19 then 'hard' else 'medium' end as level
+    from (select email, kp, weak, row_number() over (partition by email order by case when weak then 0 else 1 end, difficulty desc, kp) - 1 as i, count(*) over (partition by email) as n
+      from (select m.email, m.kp, m.score < 0.6 as weak, k.difficulty from mastery m join kps k on k.id = m.kp) a) r join (values {SLOTS}) v(i) on v.i % r.n = r.i""")
+# fill missing values, keep the first of double questions, link them to points and mark the links without one
+q("dom_migration", "questions kps", """select x.paper_id, x.question_number, x.kp, coalesce(x.difficulty, 3) as difficulty, coalesce(x.qtype, 'unknown') as qtype, k.id is null as orphan
+    from (select *, row_number() over (partition by paper_id, question_number order by seq) as r from questions) x left join (select id from kps where difficulty < 5) k on k.id = x.kp where r = 1""")

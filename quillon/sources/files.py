@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -53,4 +56,25 @@ def frontmatter(text: Column, key: str) -> Column:
 
 def wiki_links(text: Column) -> Column:
     """Names in [[name|alias]], distinct, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x)))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share; a temporary one only where the session names none (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{where.rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
+
+
+def write_by_group(df: DataFrame, path: str, group: str, line: str) -> None:
+    """A folder of text for each group, its lines in order over numbered files; a large group spans several tasks."""
+    d = df.select(group, line).repartitionByRange(F.col(group), F.col(line)).sortWithinPartitions(group, line)
+    d.write.partitionBy(group).text(path)
+
+
+def note_graph(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, name) and edges (src, link, dst) of notes(text) with front matter and links; dst is null where no note has the name."""
+    n = notes.select(frontmatter(F.col("text"), "id").alias("id"), frontmatter(F.col("text"), "name").alias("name"), wiki_links(F.col("text")).alias("links"))
+    nodes = n.select("id", "name")
+    first = nodes.groupBy(F.col("name").alias("link")).agg(F.min("id").alias("dst"))
+    edges = n.select(F.col("id").alias("src"), F.explode("links").alias("link")).join(first, "link", "left")
+    return nodes, edges.select("src", "link", "dst")
