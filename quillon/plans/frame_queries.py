@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import text
-from ..operators import learner, tables
+from ..operators import learner, tables, vector
 from ..registry import query
 from ..sources import files
 from .dialect import Duck, Spark, with_views
@@ -116,3 +117,20 @@ def snk_file_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("subject"), F.col("p_name").alias("line"))
     files.write_by_group(p, path, "subject", "line")
     return spark.read.schema("value string, subject string").text(path).select("subject", F.col("value").alias("line"))
+
+
+@query("top_vector_ann")
+def top_vector_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return vector.nearest(e, e.where("id % 50 = 0"), 5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("src_metadata_json", "select p_partkey as question, 'point ' || cast(p_size as varchar) as point from part")
+def src_metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "metadata")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    # a file is one array, of at most 1,000 annotations
+    arrays = p.groupBy(F.expr("p_partkey div 1000")).agg(F.to_json(F.collect_list(F.expr("named_struct('question', p_partkey, 'points', array(concat('point ', p_size)))"))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    found = files.json_array(spark, path, StructType([StructField("question", LongType()), StructField("points", ArrayType(StringType()))]))
+    return found.select("question", F.explode("points").alias("point"))

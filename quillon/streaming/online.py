@@ -43,6 +43,59 @@ def rate_limit(events: DataFrame, most: int, seconds: int) -> DataFrame:
     return events.groupBy("email").applyInPandasWithState(run, "email long, id long, allowed boolean", "start long, n long", "append", "NoTimeout")
 
 
+def token_bucket(events: DataFrame, most: int, seconds: int) -> DataFrame:
+    """events(email, ts, id) -> (email, id, granted): a bucket starts full with ``most`` tokens and refills them in ``seconds``.
+
+    State is the level, in microseconds of refill, and the time of the last request; requests of one micro-batch are taken in (ts, id) order."""
+    unit = seconds * 1_000_000 // most
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        level, last = state.get if state.exists else (unit * most, None)
+        ids, granted = [], []
+        for r in pd.concat(list(frames)).sort_values(["ts", "id"]).itertuples():
+            at = int(r.ts.value // 1000)
+            level = min(unit * most, level + (at - last if last is not None else 0))
+            ids.append(r.id)
+            granted.append(level >= unit)
+            level, last = max(0, level - unit), at
+        state.update((level, last))
+        yield pd.DataFrame({"email": key[0], "id": ids, "granted": granted})
+
+    return events.groupBy("email").applyInPandasWithState(run, "email long, id long, granted boolean", "level long, last long", "append", "NoTimeout")
+
+
+def resend_guard(events: DataFrame, again: int, expiry: int, tries: int) -> DataFrame:
+    """events(email, ts, id, asks, good) -> (email, id, outcome): sent, verified, wrong or refused.
+
+    An event asks for a code or tries one. A code is sent at most every ``again`` seconds, lives ``expiry`` seconds and allows ``tries`` tries;
+    a right or dead code is forgotten."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        sent, n = state.get if state.exists else (None, 0)
+        ids, outcomes = [], []
+        for r in pd.concat(list(frames)).sort_values(["ts", "id"]).itertuples():
+            at = int(r.ts.value // 1000)
+            ids.append(r.id)
+            if r.asks:
+                early = sent is not None and at - sent < again * 1_000_000
+                outcomes.append("refused" if early else "sent")
+                if not early:
+                    sent, n = at, 0
+            elif sent is None or at - sent > expiry * 1_000_000 or n >= tries:
+                outcomes.append("refused")
+                sent, n = None, 0
+            elif r.good:
+                outcomes.append("verified")
+                sent, n = None, 0
+            else:
+                outcomes.append("wrong")
+                n += 1
+        state.update((sent, n))
+        yield pd.DataFrame({"email": key[0], "id": ids, "outcome": outcomes})
+
+    return events.groupBy("email").applyInPandasWithState(run, "email long, id long, outcome string", "sent long, tries long", "append", "NoTimeout")
+
+
 def daily_activity(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Answers a day and subject; a day is final when the watermark passes it."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "subject").agg(F.count(F.lit(1)).alias("n"))

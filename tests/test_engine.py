@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 
 from quillon import registry
 from quillon.functions import text
-from quillon.operators import learner, tables
+from quillon.operators import learner, tables, vector
 from quillon.sources import files
 from quillon.streaming import online
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["agg_student_perf", "dom_mastery_fold", "win_streak", "agg_percentiles", "dom_sm2", "snk_upsert_keep", "snk_replace", "top_two_phase", "fn_json_repair", "fn_sse_parse", "st_token_bucket", "st_resend_guard", "dom_kp_resolution", "dom_paper", "dom_migration", "dom_graph_build", "src_cypher", "src_jsonl", "snk_file_per_group"])
+@pytest.mark.parametrize("name", ["agg_student_perf", "dom_mastery_fold", "win_streak", "agg_percentiles", "dom_sm2", "snk_upsert_keep", "snk_replace", "top_two_phase", "fn_json_repair", "fn_sse_parse", "st_token_bucket", "st_resend_guard", "dom_kp_resolution", "dom_paper", "dom_migration", "dom_graph_build", "src_cypher", "src_jsonl", "src_metadata_json", "snk_file_per_group"])
 def test_oracle(spark, name):
     import duckdb
 
@@ -61,6 +61,76 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert last == want
 
 
+def test_streaming_limits_equal_batch(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id as email", "cast(ts as timestamp) as ts", "event_id as id", "event_type = 'purchase' as asks", "event_type <> 'error' as good").orderBy("ts")
+    parts = rows.toPandas()
+    for k in range(3):
+        spark.createDataFrame(parts.iloc[len(parts) * k // 3 : len(parts) * (k + 1) // 3], rows.schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+
+    def replay(name, f):
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
+        q = f(stream).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+        return spark.table(name)
+
+    views = registry.queries()
+    got = {r.email: (r.g, r.n) for r in replay("bucket_out", lambda s: online.token_bucket(s, 2, 86_400)).groupBy("email").agg(F.expr("count_if(granted)").alias("g"), F.count("*").alias("n")).collect()}
+    want = {r.email: (r.granted, r.granted + r.delayed) for r in views["st_token_bucket"](spark, SF).collect()}
+    assert got == want and any(g < n for g, n in got.values())
+
+    def outcomes(again, expiry, tries):
+        sent, n, out = {}, {}, {}
+        for r in parts.sort_values(["ts", "id"]).itertuples():
+            at, e = r.ts.timestamp(), r.email
+            if r.asks:
+                out[r.id] = "refused" if e in sent and at - sent[e] < again else "sent"
+                if out[r.id] == "sent":
+                    sent[e], n[e] = at, 0
+            elif e not in sent or at - sent[e] > expiry or n[e] >= tries:
+                out[r.id] = "refused"
+                sent.pop(e, None)
+            elif r.good:
+                out[r.id] = "verified"
+                sent.pop(e)
+            else:
+                out[r.id] = "wrong"
+                n[e] += 1
+        return out
+
+    got = {r.id: r.outcome for r in replay("guard_out", lambda s: online.resend_guard(s, 6 * 3600, 5 * 86_400, 5)).collect()}
+    assert got == outcomes(6 * 3600, 5 * 86_400, 5) and set(got.values()) == {"sent", "verified", "wrong", "refused"}
+
+
+def test_nearest(spark):
+    import numpy as np
+
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x = np.array(e["embedding"].tolist(), np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, hits, total = e["vec_id"].to_numpy(), 0, 0
+    got = {}
+    for r in registry.queries()["top_vector_ann"](spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.id, {})[r.rank] = r.neighbour
+    asked = np.flatnonzero(ids % 50 == 0)
+    for i in asked:
+        s = x @ x[i]
+        s[i] = -np.inf
+        best = set(ids[np.argsort(-s, kind="stable")[:5]].tolist())
+        hits, total = hits + len(best & set(got[ids[i]].values())), total + 5
+    assert len(got) == len(asked) and hits / total >= 0.9
+
+
+def test_nearest_cases(spark, monkeypatch):
+    monkeypatch.setattr(vector, "CHUNK", 2)  # several chunks on either side of a cell
+    kind = "id long, v array<double>"
+    odd = [(None, [1.0, 0.0]), (90, None), (91, [0.0, 0.0]), (92, [1.0]), (93, [float("nan"), 1.0]), (94, [None, 1.0])]
+    d = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(9)] + [(3, [1.0, 0.3]), (20, [1.0, 0.4])] + odd, kind)
+    got = [(r.id, r.rank, r.neighbour) for r in vector.nearest(d, d.where("id in (4, 20, 90, 92)"), 3, 1.0).orderBy("id", "rank").collect()]
+    assert got == [(4, 1, 20), (4, 2, 5), (4, 3, 3), (20, 1, 4), (20, 2, 5), (20, 3, 3)]
+    assert vector.nearest(d.limit(0), d, 3).count() == 0
+
+
 def test_text(spark):
     md = "intro\n## A\n" + "a" * 50 + "\n## B\n" + "b" * 130
     df = spark.createDataFrame([(md,), ("",), (None,)], "t string")
