@@ -168,6 +168,22 @@ def test_quality(spark, none):
     assert [quality.kth_largest(x, "v", k) for k in (1, 777, 15000, 30000)] == [v[k - 1] for k in (1, 777, 15000, 30000)]
 
 
+def test_quality_toxic(spark):
+    r = random.Random(4)
+    vocab = [f"{a}{b}" for a in "ba co di fu ge".split() for b in "lan mer tis von rud".split()]
+    mean = "zorg blat fizk gnarp".split()
+    text = lambda toxic: " ".join(r.sample([r.choice(vocab) for _ in range(120)] + (r.sample(mean, 2) if toxic else []), 120 + 2 * toxic))
+    junk = lambda: " ".join(r.choice("BUY!! $$$ click%%% win### free***".split()) for _ in range(60))
+    toxic = lambda i: i % 8 == 3
+    data = [(i, junk() if i % 8 == 0 else text(toxic(i))) for i in range(800)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 > 0), int(toxic(i))) for i in range(400)], "doc_id long, quality int, toxic int")
+    keep = {x.doc_id: x.keep for x in quality.digest(docs, labels).collect()}
+    for part in (range(400), range(400, 800)):  # labelled and unseen
+        assert sum(keep[i] for i in part if toxic(i)) <= 2
+        assert sum(not keep[i] for i in part if i % 8 and not toxic(i)) <= 8
+
+
 def test_byte_bpe(docs, none):
     import base64
 
