@@ -7,7 +7,8 @@
    the threshold, given the matches so far, falls below ``MISS``. Survivors are verified exactly on their full shingle sets.
 3. Members that fail against their pivot form the bucket again without it, for ``ROUNDS`` rounds. A member that fails may still be linked to
    one that doesn't: Jaccard distance is a metric, so only members whose estimated distances to the pivot differ by no more than the
-   allowed distance plus ``SLACK`` can be. These, and members left in a bucket after the last round, are compared inside tasks, in pairs of
+   allowed distance plus ``slack`` can be. The estimate is taken from all values of the signatures, also where pruning stopped early, and either
+   bound of ``slack`` loses a pair with probability below ``MISS``. These, and members left in a bucket after the last round, are compared inside tasks, in pairs of
    chunks of at most about ``CHUNK`` rows; a task returns only links that join two components, never pairs.
 4. Components are found by alternating large-star and small-star steps over tables.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import mix64, shingle_sets, slices, stash, text_or_empty, unstash
 
 BANDS, ROWS, BATCH = 32, 6, 32
-MISS, SLACK, ROUNDS = 1e-6, 0.15, 3
+MISS, ROUNDS = 1e-6, 3
 _SEEDS = np.random.default_rng(7_032_024).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -100,6 +101,28 @@ def least_matches(threshold: float) -> list[int]:
     return out
 
 
+def slack(threshold: float) -> float:
+    """How far estimates from whole signatures may be beyond the bounds of the triangle inequality before a linked pair is ruled out.
+
+    For members x and y that are linked, and y to the pivot: x has at least similarity 2 * threshold - 1 to the pivot, and matches of x and of y
+    with the pivot differ in number by at most the places where x and y differ. Both counts are binomial at worst; each tail cut off is below ``MISS``."""
+    n, chance = BANDS * ROWS, 1 / 256
+
+    def tail(p: float) -> int:
+        """The largest m with P(Binomial(n, p) <= m) < MISS, or -1."""
+        total = 0.0
+        for m in range(n + 1):
+            total += math.comb(n, m) * p**m * (1 - p) ** (n - m)
+            if total >= MISS:
+                return m - 1
+        return n
+
+    least = max(0.0, 2 * threshold - 1)
+    below = least - ((tail(least + (1 - least) * chance) + 1) / n - chance) / (1 - chance)
+    apart = (n - tail(threshold) - 1) / n / (1 - chance) - (1 - threshold)
+    return max(below, apart) + 1e-9
+
+
 def _bayes(threshold: float):
     least = least_matches(threshold)
 
@@ -108,11 +131,10 @@ def _bayes(threshold: float):
             x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
             y = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1)
             alive, matches = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
-            share = np.zeros(b.num_rows)
+            share = (x == y).mean(axis=1)
             for k, need in enumerate(least):
                 cut = slice(k * BATCH, (k + 1) * BATCH)
                 matches[alive] += (x[alive, cut] == y[alive, cut]).sum(axis=1)
-                share[alive] = matches[alive] / ((k + 1) * BATCH)
                 alive = alive[matches[alive] >= need]
             passed = np.zeros(b.num_rows, bool)
             passed[alive] = True
@@ -166,7 +188,7 @@ def _cross(threshold: float):
     """Links between rows of side 0 and rows of either side of a group that have different roots, by signature batches and then exactly.
 
     Roots merge as links are found, so a group gives fewer links than it has rows."""
-    least, per_cent = least_matches(threshold), round(threshold * 100)
+    least, per_cent, apart = least_matches(threshold), round(threshold * 100), 1 - threshold + slack(threshold)
 
     def run(key, table):
         t = table.sort_by([("side", "ascending"), ("doc", "ascending")])
@@ -184,7 +206,7 @@ def _cross(threshold: float):
         out = []
         for i in range(sides.count(0)):
             alive = np.arange(i + 1, len(docs))
-            alive = alive[np.abs(near[alive] - near[i]) <= 1 - threshold + SLACK]
+            alive = alive[np.abs(near[alive] - near[i]) <= apart]
             matches = np.zeros(len(docs), np.int64)
             for k, need in enumerate(least):
                 cut = slice(k * BATCH, (k + 1) * BATCH)
@@ -246,7 +268,7 @@ def link(docs: DataFrame, words: int, threshold: float = 0.8) -> DataFrame:
     # members that are left in a bucket after the last round, against each other
     near = 1 - threshold
     first = components(reduce(DataFrame.union, found))
-    far = tested.where(f"not linked and estimate >= {1 - 2 * near - SLACK}").select(F.col("b").alias("g"), F.col("a").alias("doc"), "estimate", F.lit(0).alias("side"))
+    far = tested.where(f"not linked and estimate >= {1 - 2 * near - slack(threshold)}").select(F.col("b").alias("g"), F.col("a").alias("doc"), "estimate", F.lit(0).alias("side"))
     close = tested.where("linked").select(F.col("b").alias("g"), F.col("a").alias("doc"), "estimate", F.lit(1).alias("side"))
     close = close.join(far.select(F.col("g").alias("h")).distinct(), F.col("g") == F.col("h"), "left_semi")
     rest = members.select(F.col("key").alias("g"), F.col("doc_id").alias("doc"), F.lit(0.0).alias("estimate"), F.lit(0).alias("side")).distinct()

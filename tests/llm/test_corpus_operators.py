@@ -340,6 +340,22 @@ def test_bayes_bound():
         assert m < n * p and (draws >= p).mean() < 1e-4
 
 
+def test_triangle_bound():
+    import pyarrow as pa
+
+    # signatures of a pivot and of x at similarity 0.6, the least that a member linked to one that is linked to the pivot can have
+    g, n, size = np.random.default_rng(9), 20_000, near_dedup.BANDS * near_dedup.ROWS
+    p = g.integers(0, 256, (n, size), dtype=np.uint8)
+    y = np.where(g.random((n, size)) < 0.6, p, g.integers(0, 256, (n, size), dtype=np.uint8))
+    b = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([v.tobytes() for v in p]), pa.array([v.tobytes() for v in y])], names=list("abxy"))
+    est = next(near_dedup._bayes(0.8)([b])).column(3).to_numpy()
+    assert (est < 0.45).mean() < 5e-4 and abs(est.mean() - 0.6) < 0.01
+    e = near_dedup.slack(0.8)
+    assert 0.15 <= e < 0.2 and (est < 0.6 - e).sum() == 0
+    # places where linked members differ, as matches with the pivot can differ in number
+    assert (g.binomial(size, 0.2, 1_000_000) / size / (255 / 256) > 0.2 + e).sum() <= 10
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
