@@ -41,6 +41,8 @@ BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main nav
     ol p pre section summary table tbody td tfoot th thead title tr ul""".split()
 )
+#: What may stand in head; anything else ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"head", "html", "body", "title", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "legend", "summary", "dd", "dt"}
 # fixed values: words in class and id names, and roles, of what isn't main text
@@ -60,28 +62,33 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORDS = re.compile(r"\w+")
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is unwanted, and whether only its names say so."""
     if tag in SKIPPED or (tag == "header" and not in_article):
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    named = False
     for name, a, b, c in _NAMED.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in BAD_ROLES):
-            return True
+            return True, False
         if name in ("class", "id"):
             for x in _PARTS.findall(value):
                 if x.lower() in BAD_NAMES or (x.lower() == "header" and not in_article):
-                    return True
-    return False
+                    named = True
+    return named, named
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
-    """(text, link density, unwanted, in an article or main element) of each block that has text, in page order."""
+def blocks(page: str, spared: frozenset = frozenset()) -> list[tuple[str, float, bool, bool]]:
+    """(text, link density, unwanted, in an article or main element) of each block that has text, in page order.
+
+    ``spared``: where elements start whose names don't count, as an outermost article or main stands in them; found on the way, they are read again."""
     out: list[tuple[str, float, bool, bool]] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, int | None]] = []  # the last: where an element starts that is unwanted for its names only
+    holders: set[int] = set()
     bad = articles = links = at = 0
 
     def flush() -> None:
@@ -95,15 +102,17 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
 
     def close(i: int) -> None:
         nonlocal bad, articles, links
-        if any(t in BLOCKS for t, _ in stack[i:]):
+        if any(t in BLOCKS for t, *_ in stack[i:]):
             flush()
-        for tag, unwanted in stack[i:]:
+        for tag, unwanted, _ in stack[i:]:
             bad -= unwanted
             articles -= tag in ("article", "main")
             links -= tag == "a"
         del stack[i:]
 
     for m in _TOKEN.finditer(page):
+        if m.start() > at and stack and stack[-1][0] == "head" and page[at : m.start()].strip():
+            close(len(stack) - 1)
         if m.start() > at and not bad:
             piece = html.unescape(page[at : m.start()])
             text.append(piece)
@@ -113,6 +122,8 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
         tag, end = m[2], m[4]
         if tag is not None:
             tag = tag.lower()
+            if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+                close(len(stack) - 1)
             if tag in VOID:
                 if tag == "hr":
                     flush()
@@ -143,8 +154,12 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
                 flush()
             if m[3].endswith("/") and tag not in BLOCKS:
                 continue
-            unwanted = _unwanted(tag, m[3], articles > 0)
-            stack.append((tag, unwanted))
+            unwanted, named = _unwanted(tag, m[3], articles > 0)
+            if named and m.start() in spared:
+                unwanted = named = False
+            if tag in ("article", "main") and not articles and bad and all(where is not None for _, x, where in stack if x):
+                holders.update(where for _, x, where in stack if x)
+            stack.append((tag, unwanted, m.start() if named else None))
             bad += unwanted
             articles += tag in ("article", "main")
             links += tag == "a"
@@ -157,6 +172,10 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             else:
                 if end in BLOCKS:
                     flush()
+    if holders:
+        return blocks(page, spared | holders)
+    if at < len(page) and stack and stack[-1][0] == "head" and page[at:].strip():
+        close(len(stack) - 1)
     if at < len(page) and not bad:
         text.append(html.unescape(page[at:]))
     flush()

@@ -289,6 +289,20 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_wrappers():
+    text = "It was the best of times and it was the worst of times, so we went to the sea with all of our friends and they were happy to be there for a while."
+    ad = "<div class='widget'><p>Buy this.</p></div>"
+    for wrap in ("layout has-sidebar", "widget-container"):
+        page = f"<html><head><title>t</title></head><body><div class='{wrap}'>{ad}<nav>Menu</nav><article><p>{text}</p>{ad}</article></div></body></html>"
+        assert html_text.main_text(page) == text
+        assert html_text.main_text(page.replace("article>", "main>")) == text
+    # names still decide inside an article, and navigation stays unwanted whatever stands in it
+    assert html_text.main_text(f"<article><p>{text}</p><div class='comments'><article><p>{text} First!</p></article></div></article>") == text
+    assert html_text.main_text(f"<main><p>{text}</p></main><nav><div class='widget'><article><p>{text}</p></article></div></nav>") == text
+    for start in ("<body>", "<div>", "<h1></h1>", "<br>", ""):
+        assert html_text.main_text(f"<html><head><meta charset=utf-8><title>t</title><style>p</style>{start}<article><p>{text}</p></article>") == text
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_dedup(spark, none, words):
     r = random.Random(11)
