@@ -2,8 +2,8 @@
 
 Every document is the sequence of its non-blank lines (blanks at both ends of a line are ignored). In each window of
 ``run`` lines the smallest line hash (the rightmost, where it repeats) is the window's fingerprint. Two equal windows have
-the same fingerprint line, so a fingerprint that occurs at one position only rules out all its windows. Positions of the
-others are joined, each is extended both ways to the windows it represents, and a window whose lines
+the same fingerprint line, so a fingerprint that occurs at one position only rules out all its windows. The others are
+grouped by a hash of their lines (matches are not extended both ways), and a window whose lines
 stood earlier (by doc_id, nulls first, then position) is a repeat. Overlapping repeats grow into runs and the later run
 is deleted: a line goes exactly if it lies in ``run`` consecutive lines that stood earlier.
 
