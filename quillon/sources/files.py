@@ -60,8 +60,12 @@ def wiki_links(text: Column) -> Column:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that all executors share; a temporary one only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    """A new folder in spark.checkpoint.dir, which all executors share; a temporary one only where a session on one machine (tests) names none."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return f"{where.rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
 
 
