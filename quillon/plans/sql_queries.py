@@ -41,7 +41,6 @@ def q(name: str, views: str, body) -> None:
 
 # --- filters and projections ------------------------------------------------------------------------------------------
 q("src_table", "", lambda d: f"select n_nationkey, n_name, n_regionkey from {d.t['nation']}")
-q("flt_dynamic", "papers", "select id, province, yr, subject from papers where subject = '1-URGENT' and level = 'O' and province = 3")
 q("flt_range", "questions", "select paper_id, seq, score from questions where score between 10 and 20 and difficulty >= 4")
 q("flt_in_list", "kps", "select id, name from kps where id in (1, 5, 17, 99, 100000)")
 q("flt_in_subquery", "questions papers", "select paper_id, seq from questions where paper_id in (select id from papers where province = 7)")
@@ -50,14 +49,12 @@ q("flt_prefix_like", "kps", "select id, subject from kps where subject like 'S%'
 q("flt_ilike", "kps", lambda d: "select id, name from kps where lower(name) like '%e%' order by name, id limit 5")
 q("flt_is_null", "practice", lambda d: f"select count(*) as n from practice where {d.json('props', 'k')} is not null")
 q("flt_exclude_id", "rag", "select id, kp from rag where id <> 7 and kp = 3")
-q("flt_optional_or", "wrong practice", "select id, subject from wrong where '' = '' and (subject = 'click' or subject = 'view')")
 q("flt_relative_date", "practice", lambda d: f"select count(*) as n, count(distinct email) as users from practice where ts >= {d.plus_days(AS_OF, -7)}")
 q("flt_relative_year", "papers", lambda d: f"select yr, count(*) as n from papers where yr >= (select max(yr) from papers) - 3 group by yr")
 q("prj_case_bucket", "sessions", "select id, case when acc >= 90 then '90-100' when acc >= 80 then '80-89' when acc >= 70 then '70-79' when acc >= 60 then '60-69' else '0-59' end as bucket from (select id, 100.0 * correct_count / question_count as acc from sessions) s")
 q("prj_coalesce", "users sessions", "select u.email, coalesce(s.n, 0) as n_sessions from users u left join (select email, count(*) as n from sessions group by email) s on u.email = s.email")
 q("prj_rename_struct", "questions", "select paper_id as paper, seq as number, qtype as question_type from questions where score > 45")
 q("prj_default", "kps", "select id, case when name is null or name = '' then cast(id as varchar(20)) else name end as label, case when difficulty is null or difficulty = 0 then 3 else difficulty end as difficulty from kps")
-q("prj_clamp_param", "rag", lambda d: f"select id from rag order by id limit {min(max(500, 1), 50)}")
 
 # --- joins ------------------------------------------------------------------------------------------------------------
 q("jn_left_lookup", "papers provinces", "select p.id, p.province, v.name from papers p left join provinces v on p.province = v.code")
@@ -74,11 +71,8 @@ q("jn_group_attach", "papers questions", lambda d: f"select p.id, coalesce({d.jo
 q("jn_map_lookup", "kps mastery", "select k.id, m.score from kps k left join (select * from mastery where email = 10) m on k.id = m.kp where k.id < 60")
 q("jn_semi_edges", "edges kps", "select src, dst from edges where src in (select id from kps where difficulty <= 3) and dst in (select id from kps where difficulty <= 3)")
 q("jn_anti_insert", "wrong practice", "select distinct email, kp from practice p where not exists (select 1 from wrong w where w.email = p.email and w.kp = p.kp)")
-q("jn_membership", "questions papers sessions", "select x.paper_id, x.seq from questions x where exists (select 1 from papers p where p.id = x.paper_id and p.subject = '2-HIGH')")
 q("jn_first_match", "questions", "select paper_id, question_number, min(kp) as kp from questions group by paper_id, question_number")
 q("jn_update_from", "questions papers", "select x.paper_id, x.seq, coalesce(case when x.qtype = 'N' then null else x.qtype end, p.subject) as subject from questions x left join papers p on x.paper_id = p.id")
-q("jn_cross_keyword", "kps", lambda d: f"select w.word, count(*) as n from (select 'small' as word union all select 'st' union all select 'e' union all select 'o') w join kps k on lower(k.subject) like '%' || w.word || '%' or lower(k.name) like '%' || w.word || '%' group by w.word")
-q("jn_fuzzy_bidir", "kps regions", "select r.code, count(*) as n from regions r join kps k on lower(k.subject) like '%' || lower(substr(r.name, 1, 1)) || '%' or lower(r.name) like '%' || lower(k.subject) || '%' group by r.code")
 q("jn_name_resolve", "kps", "select a.id, b.id as target from kps a left join (select name, min(id) as id from kps group by name) b on b.name = a.name where a.id < 100")
 q("jn_subject_group", "kps", "select a.subject, count(*) as pairs from kps a join kps b on a.subject = b.subject and a.id < b.id and a.id < 200 and b.id < 200 group by a.subject")
 
@@ -147,8 +141,6 @@ q("win_group_topn", "kps", "select difficulty, id, cast(r as int) as r from (sel
 
 # --- sorts and limits -------------------------------------------------------------------------------------------------
 q("top_offset", "papers", "select id, created_at, (select count(*) from papers) as total from papers order by created_at desc, id limit 20 offset 40")
-q("top_page_meta", "papers", "select n as total, cast(ceil(n / 20.0) as bigint) as pages, n > 60 as has_next, true as has_prev from (select count(*) as n from papers) a")
-q("top_sort_whitelist", "mastery", "select email, kp, score, attempts from mastery order by score asc, attempts desc, email, kp limit 500")
 PRIORITY = lambda d: f"round(0.6 * (1 - score) + 0.4 * least(1.0, greatest(0.0, {d.days(AS_OF, 'cast(last_at as date)')} / 7.0)), 3)"
 q("top_two_phase", "mastery", lambda d: f"select email, kp, score, priority from (select email, kp, score, {PRIORITY(d)} as priority from (select * from mastery where attempts > 0 order by score, email, kp limit 60) a) b order by priority desc, score, email, kp limit 20")
 q("top_random", "questions", lambda d: f"select paper_id, seq from questions order by md5('seed' || {d.text('paper_id')} || '-' || {d.text('seq')}), paper_id, seq limit 20")
@@ -182,23 +174,13 @@ q("fn_json_safe", "practice", lambda d: f"select id, coalesce({d.json('props', '
 q("fn_backfill", "wrong practice", lambda d: f"select id, cast(greatest(1, least(5, coalesce(cast({d.json('data', 'k')} as int), 3))) as int) as difficulty, coalesce(subject, 'unknown') as subject from wrong")
 q("fn_subject_map", "practice", "select id, case subject when 'click' then 'maths' when 'view' then 'physics' when 'purchase' then 'chemistry' else subject end as name from practice")
 q("fn_weakness_index", "kps wrong practice", "select k.id, round(count(*) * k.difficulty / 3.0 * case k.frequency when 'high' then 1.5 when 'medium' then 1.0 else 0.7 end, 6) as weakness from wrong w join kps k on w.kp = k.id group by k.id, k.difficulty, k.frequency")
-q("fn_keyword_match", "", lambda d: f"select doc_id, 2 * (case when lower(text) like '%the%' then 1 else 0 end) + (case when lower(text) like '%ing%' then 1 else 0 end) + (case when lower(text) like '%zu%' then 1 else 0 end) as score, ((case when lower(text) like '%the%' then 1 else 0 end) + (case when lower(text) like '%ing%' then 1 else 0 end) + (case when lower(text) like '%zu%' then 1 else 0 end)) / 3.0 as confidence from {d.t['documents']}")
-q("fn_detect_year", "", lambda d: f"select page_id, {d.extract('url', '[0-9]{3,4}')} as number from {d.t['pages']}")
-q("fn_path_metadata", "", lambda d: f"select page_id, {d.extract('url', '://([^/]+)/', 1)} as host, {d.extract('url', '://[^/]+/([a-z]{2})/', 1)} as lang, case when url like '%.html%' then 'html' when url like '%?%' then 'query' else 'plain' end as kind from {d.t['pages']}")
 q("fn_classify_file", "", lambda d: f"select page_id, case when {d.matches('url', 'blog')} then 'blog' when {d.matches('url', '^https')} then 'secure' when {d.matches('url', 'm[.]')} then 'mobile' else 'other' end as subject from {d.t['pages']}")
 q("fn_sha256", "", lambda d: f"select doc_id, {d.sha('text')} as hash from {d.t['documents']}")
 q("fn_chunk_filter", "", lambda d: f"select doc_id from {d.t['documents']} where length(trim(text)) >= 50")
 q("fn_chunk_id", "", lambda d: f"select doc_id, 'idx_' || {d.text('doc_id')} || '_0' as chunk_id, {d.size(d.split('text', chr(92) + 'n' if isinstance(d, Spark) else chr(10)))} as total_chunks from {d.t['documents']}")
 q("fn_metadata_header", "", lambda d: f"select doc_id, '[' || source || '|' || lang || '] ' || substr(text, 1, 20) as header from {d.t['documents']}")
-q("fn_strip_think", "", lambda d: f"select conv_id, turn, {d.replace(chr(39) + '<think>x</think>' + chr(39) + ' || text', '<think>[^<]*</think>', '')} as text from {d.t['conversations']}")
 q("fn_strip_data_url", "", lambda d: f"select conv_id, turn, {d.replace(chr(39) + 'data:image/png;base64,' + chr(39) + ' || role', '^data:image/[a-z]+;base64,', '')} as body from {d.t['conversations']}")
-q("fn_sanitize_html", "", lambda d: f"select page_id, {d.replace('html', '<[^>]*>', '')} as text from {d.t['pages']}")
-q("fn_detect_xss", "", lambda d: f"select page_id, {d.matches('html', '<script')} or {d.matches('html', 'javascript:')} or {d.matches('html', 'on(click|load|error)=')} as suspicious from {d.t['pages']}")
-q("fn_validate", "users", "select email, email > 0 and grade is not null and province between 0 and 24 as valid, (case when email <= 0 then 1 else 0 end) + (case when grade is null then 1 else 0 end) + (case when balance < 0 then 1 else 0 end) as violations from users")
-q("fn_select_index", "papers", "select id, case when subject = '1-URGENT' and level = 'F' then 'urgent_final' when province < 5 then 'region_a' when level = 'O' then 'open' else 'default' end as idx from papers")
 q("fn_index_filter", "", lambda d: f"select doc_id from {d.t['documents']} where lang = 'fr' and source in ('src1', 'src2', 'src3') order by doc_id")
-q("fn_quality_explain", "", lambda d: f"select conv_id, turn, least(100, (case when length(text) > 100 then 40 when length(text) > 30 then 20 else 0 end) + (case when {d.matches('text', '[0-9]')} then 10 else 0 end) + (case when {d.matches('text', '[.!?]')} then 25 else 0 end) + (case when role = 'assistant' then 25 else 0 end)) as quality from {d.t['conversations']}")
-q("fn_citations", "", lambda d: f"select doc_id, {d.size(d.distinct(d.extract_all('text', '[0-9]+')))} as n from {d.t['documents']}")
 q("fn_vec_cosine", "rag", lambda d: f"select a.id as id_a, b.id as id_b, round({d.dot('a.embedding', 'b.embedding')} / sqrt({d.dot('a.embedding', 'a.embedding')} * {d.dot('b.embedding', 'b.embedding')}), 4) as similarity from rag a join rag b on a.kp = b.kp where a.id < 10 and a.id <> b.id")
 
 # --- domain -----------------------------------------------------------------------------------------------------------
@@ -212,38 +194,16 @@ q("dom_daily_tasks", "mastery", lambda d: f"select kp, score, priority, overdue
 q("dom_prereq", "edges", "select src, node, min(hop) as hop from (select src, dst as node, 1 as hop from edges union all select a.src, b.dst, 2 from edges a join edges b on a.dst = b.src) h where src % 10 = 0 group by src, node")
 q("dom_upstream", "edges kps", "select e.src as id, k.id as prerequisite, k.name from edges e join kps k on e.dst = k.id")
 q("dom_downstream", "edges kps", "select e.dst as id, k.id as dependent, k.name from edges e join kps k on e.src = k.id")
-q("dom_context", "edges mastery", "select e.src, e.dst, m.score, coalesce(m.score < 0.6, false) as weak from edges e left join (select * from mastery where email = 5) m on m.kp = e.dst where e.src < 100")
-q("dom_depth", "edges mastery", "select src, case when max(case when m.score < 0.3 then 1 else 0 end) = 1 then 'review_only' when max(case when m.score < 0.6 then 1 else 0 end) = 1 then 'guided_review' else 'full_solution' end as depth, max(case when m.score < 0.6 then 1 else 0 end) = 0 as skip_allowed from edges e left join (select * from mastery where email = 5) m on m.kp = e.dst where src < 100 group by src")
-q("dom_path_plan", "edges mastery", "select src, dst, cast(row_number() over (partition by src order by m.score, dst) as int) as step from edges e join (select * from mastery where score < 0.6) m on m.kp = e.dst where m.email = 5")
-q("dom_graph_export", "kps edges mastery", "select k.id, k.name, coalesce(m.score, 0.0) as mastery, coalesce(e.n, 0) as prerequisites from kps k left join (select * from mastery where email = 5) m on m.kp = k.id left join (select src, count(*) as n from edges group by src) e on e.src = k.id")
-q("dom_ripple_up", "mastery edges", "select m.email, e.dst as kp, cast(sum(2) as bigint) as bonus_percent from mastery m join edges e on e.src = m.kp where m.score >= 0.8 group by m.email, e.dst")
-q("dom_ripple_down", "mastery edges", "select m.email, e.src as kp, cast(sum(-5) as bigint) as malus_percent from mastery m join edges e on e.dst = m.kp where m.score <= 0.4 group by m.email, e.src")
 SIM = lambda d: d.dot("q.embedding", "r.embedding")
 q("dom_vec_search", "rag", lambda d: f"select id, similarity from (select r.id, round({SIM(d)}, 4) as similarity from rag r cross join (select embedding from rag where id = 7) q where r.id <> 7 and r.difficulty <= 4) a where similarity > 0.1 order by similarity desc, id limit 10")
 q("top_vector", "rag", lambda d: f"select id, similarity from (select r.id, round({SIM(d)}, 4) as similarity from rag r cross join (select embedding from rag where id = 11) q) a order by similarity desc, id limit 5")
 q("dom_vec_rag", "rag", lambda d: f"select id, similarity from (select r.id, round({SIM(d)}, 4) as similarity from rag r cross join (select embedding, kp from rag where id = 3) q where r.kp = q.kp and r.id <> 3) a where similarity > 0.05 order by similarity desc, id limit 3")
-q("dom_ingest_rules", "", lambda d: f"select doc_id, length(trim(text)) >= 10 as long_enough from {d.t['documents']}")
-q("dom_ability", "sessions", "select email, floor(sum(perf * w) / sum(w) * 4 + 1 + 0.5) as ability from (select email, 1.0 * correct_count / question_count * (0.5 + 0.5 * avg_difficulty / 5) as perf, 1.0 / (1 + 0.3 * (r - 1)) as w from (select *, row_number() over (partition by email order by started_at desc, id desc) as r from sessions) a where r <= 10) b group by email")
-q("dom_adaptive", "mastery", "select email, greatest(1.5, least(4.5, case when weak > 0.6 then greatest(1.5, 3.0 - 0.5) when weak < 0.2 then least(4.5, 3.0 + 0.5) else 3.0 end)) as difficulty from (select email, 1.0 * count(case when score < 0.6 then 1 end) / count(*) as weak from mastery group by email) a")
-q("dom_distribution", "mastery", "select email, case when d <= 2 then 12 when d <= 3 then 8 when d <= 3.5 then 5 else 3 end as easy, case when d <= 2 then 6 when d <= 3 then 8 when d <= 3.5 then 8 else 6 end as medium, case when d <= 2 then 2 when d <= 3 then 4 when d <= 3.5 then 7 else 11 end as hard from (select email, 1 + 4 * avg(score) as d from mastery group by email) a")
-q("dom_weak_level", "wrong practice mastery", "select m.kp, case when coalesce(w.n, 0) >= 5 then 'critical' when coalesce(w.n, 0) >= 3 then 'high' when coalesce(w.n, 0) >= 1 then 'medium' when m.score < 0.6 and m.score > 0 then 'warning' else 'normal' end as level from (select * from mastery where email = 9) m left join (select kp, count(*) as n from wrong where email = 9 group by kp) w on w.kp = m.kp")
-q("dom_weak_kp", "kps wrong practice", "select k.id, count(*) as errors, round(count(*) * k.difficulty / 3.0 * case k.frequency when 'high' then 1.5 when 'medium' then 1.0 else 0.7 end, 4) as weakness from wrong w join kps k on w.kp = k.id where w.email < 20 group by k.id, k.difficulty, k.frequency order by weakness desc, k.id limit 30")
-q("dom_suggestions", "mastery wrong practice", "select email, max(case when score < 0.3 and attempts >= 3 then 1 else 0 end) = 1 as critical, avg(score) < 0.7 and sum(attempts) >= 3 as low_accuracy, avg(score) >= 0.7 as doing_well from mastery group by email")
-q("dom_phases", "kps", "select phase, id from (select case when difficulty <= 3 then 'basics' else 'advanced' end as phase, id, row_number() over (partition by case when difficulty <= 3 then 'basics' else 'advanced' end order by difficulty, id) as r from kps) a where r <= 3")
 q("dom_recommend", "wrong practice", "select email, case when n = 0 then 30 when n <= 3 then 45 when n <= 6 then 60 else 90 end as minutes_a_day from (select email, count(*) as n from wrong group by email) a")
-q("dom_exam_grade", "sessions", "select id, 5 * correct_count as earned, 5 * question_count as total, floor(1000.0 * correct_count / question_count + 0.5) / 10 as accuracy, correct_count + 10 as points from sessions")
 q("dom_exam_start", "questions", lambda d: f"select paper_id, seq, qtype, score from questions where qtype = 'R' order by md5('exam' || {d.text('paper_id')} || '-' || {d.text('seq')}), paper_id, seq limit 20")
 q("dom_checkin", "checkins", lambda d: f"select email, d, streak, 5 + least(streak, 20) as points from ({STREAK(d)}) s")
-q("dom_badges", "practice checkins", "select p.email, b.badge, least(100, cast(floor(100.0 * case b.stat when 'practice' then p.n when 'correct' then p.c else coalesce(c.n, 0) end / b.target) as int)) as progress from (select email, count(*) as n, count(case when is_correct then 1 end) as c from practice group by email) p left join (select email, count(*) as n from checkins group by email) c on c.email = p.email cross join (select 'first_step' as badge, 'practice' as stat, 1 as target union all select 'hundred', 'practice', 100 union all select 'sharp', 'correct', 50 union all select 'week', 'checkin', 7) b")
-q("dom_trend_summary", "questions papers", "select p.yr, count(*) as questions, case when avg(x.difficulty) < 2.5 then 'easy' when avg(x.difficulty) < 3.5 then 'medium' else 'hard' end as label from questions x join papers p on p.id = x.paper_id group by p.yr")
-q("dom_task_transition", "practice", "select id, case when hint and time_ms > 60000 then 'failed' when hint then 'pending' when is_correct then 'completed' else 'processing' end as status, case when hint then least(3, 1 + id % 4) else 0 end as retries from practice")
-q("dom_job_status", "practice", "select id, case when is_correct then ts end as finished_at, case when not is_correct then 'running' else 'completed' end as status from practice")
 q("dom_exam_score_ui", "sessions", "select id, correct_count as correct, question_count - correct_count as wrong_or_blank, cast(floor(100.0 * correct_count / question_count + 0.5) as int) as percent from sessions")
 q("dom_trend_client", "questions papers", "select x.kp, count(case when p.yr = 1995 then 1 end) as y1995, count(case when p.yr = 1996 then 1 end) as y1996, count(case when p.yr = 1997 then 1 end) as y1997, count(*) as total from questions x join papers p on p.id = x.paper_id group by x.kp order by total desc, x.kp limit 20")
 q("dom_retrieve_docs", "", lambda d: f"select doc_id, source from {d.t['documents']} where n_chars > 100 and lang = 'en' order by doc_id")
-q("dom_node_questions", "kps questions", "select k.id, count(*) as n from (select * from kps where id < 50) k join questions x on x.kp = k.id group by k.id")
-q("dom_dashboard", "practice wrong checkins", "select a.email, a.n as practiced, a.acc, coalesce(w.n, 0) as wrong_count, c.n as days from (select email, count(*) as n, round(avg(case when is_correct then 100.0 else 0.0 end), 4) as acc from practice group by email) a left join (select email, count(*) as n from wrong group by email) w on w.email = a.email join (select email, count(*) as n from checkins group by email) c on c.email = a.email")
-q("st_fixed_window_limit", "practice", lambda d: f"select email, cast({d.fold(d.dow_seconds('ts'), 'ts, id', '0', 'case when x - s >= 60000000 then x else s end', 'bigint')} as bigint) as window_start_us from practice group by email")
 q("ext_tumbling", "practice", "select cast(ts as date) as day, subject, count(*) as n from practice group by cast(ts as date), subject")
 
 
