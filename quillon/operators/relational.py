@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that ``mentions`` compares with every row: they are broadcast.
@@ -73,3 +73,41 @@ class _Row:
         if name not in self.names:
             raise KeyError(name)
         return F.col(name)
+
+
+def numbered(df: DataFrame, order: list[str], name: str, path: str) -> DataFrame:
+    """``df`` with the position (from 0) of each row in an order that ends in a key.
+
+    Rows are cut into ranges of the order and numbered inside them; a range's offset is a sum over ranges, of which there are as many as
+    partitions. Ranges are cut at a sample, so the cut rows are written to ``path`` once and read from there."""
+    spark = df.sparkSession
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    d.select("*", F.shiftright("_id", 33).cast("int").alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_at")).drop("_id").write.parquet(path)
+    d = spark.read.parquet(path)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    return d.join(F.broadcast(parts), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def nearest_ranks(df: DataFrame, group: str, value: str, shares: dict[str, float], buckets: int = 1024) -> DataFrame:
+    """(group, lo, hi, and by name the value at rank ceil(share * n)) of whole numbers, exactly.
+
+    Values are counted by bucket first, at most ``buckets`` a group; only the buckets that hold a wanted rank are counted by value, so no task
+    orders a group."""
+    d = df.where(F.col(value).isNotNull()).select(group, F.col(value).alias("v"))
+    ends = d.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    ends = ends.withColumn("width", F.floor((F.col("hi") - F.col("lo")) / buckets) + 1)
+    on = F.col("g").eqNullSafe(F.col(group))
+    d = d.join(F.broadcast(ends.withColumnRenamed(group, "g")), on).drop("g")  # a row for each group
+    d = d.withColumn("b", F.floor((F.col("v") - F.col("lo")) / F.col("width")))
+    ordered = lambda by: Window.partitionBy(group).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = d.groupBy(group, "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).withColumn("upto", F.sum("c").over(ordered(["b"])))
+    ranks = {k: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n"))) for k, p in shares.items()}
+    holds = reduce(lambda x, y: x | y, [(F.col("upto") >= r) & (F.col("upto") - F.col("c") < r) for r in ranks.values()])
+    some = b.where(holds).select(F.col(group).alias("g"), F.col("b").alias("bb"), (F.col("upto") - F.col("c")).alias("before"))
+    v = d.join(F.broadcast(some), on & (F.col("b") == F.col("bb"))).groupBy(group, "b", "v").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("before").alias("before"))
+    inside = Window.partitionBy(group, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = v.withColumn("upto", F.col("before") + F.sum("c").over(inside))
+    found = v.groupBy(group).agg(*[F.min(F.when(F.col("upto") >= r, F.col("v"))).alias(k) for k, r in ranks.items()])
+    e = ends.select(F.col(group).alias("g"), "lo", "hi")
+    return found.join(F.broadcast(e), on).select(group, "lo", "hi", *shares)

@@ -1,4 +1,8 @@
-"""Keyed writes as DataFrame operators: each returns the new state of a table, so that a run can be repeated."""
+"""Keyed writes as DataFrame operators: each returns the new state of a table, which ``save`` writes as its next version.
+
+Parquet can't change rows in place, so a write never touches the version it reads and a run can be repeated. Keys that are null match nothing: such
+rows are always added and never replaced or deleted. Of new rows with the same key, upsert, upsert_keep, update and insert_ignore take one, the largest row.
+"""
 
 from __future__ import annotations
 
@@ -6,25 +10,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def save(state: DataFrame, path: str) -> DataFrame:
+    """The state as written to a new folder."""
+    state.write.parquet(path)
+    return state.sparkSession.read.schema(state.schema).parquet(path)
+
+
+def _one_each(new: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each key; rows whose key has a null all stay."""
+    whole = F.lit(True)
+    for k in key:
+        whole = whole & F.col(k).isNotNull()
+    rest = [c for c in new.columns if c not in key]
+    if not rest:
+        return new.where(whole).distinct().unionByName(new.where(~whole))
+    one = new.where(whole).groupBy(*key).agg(F.max(F.struct(*rest)).alias("_x")).select(*key, "_x.*").select(*new.columns)
+    return one.unionByName(new.where(~whole))
+
+
 def insert(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new.select(*old.columns))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """New rows replace old ones of the same key."""
-    return new.select(*old.columns).unionByName(old.join(new.select(*key), key, "left_anti"))
+    new = _one_each(new.select(*old.columns), key)
+    return new.unionByName(old.join(new.select(*key), key, "left_anti").select(*old.columns))
 
 
 def upsert_keep(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """As upsert, but a null in a new row keeps the old value."""
-    o, n = old.alias("o"), new.alias("n")
+    o, n = old.alias("o"), _one_each(new.select(*old.columns), key).alias("n")
     on = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in key]
     return o.join(n, on, "full_outer").select(*[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in old.columns])
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Only new keys are added, one row each."""
-    return old.unionByName(new.select(*old.columns).dropDuplicates(key).join(old.select(*key), key, "left_anti").select(*old.columns))
+    return old.unionByName(_one_each(new.select(*old.columns), key).join(old.select(*key), key, "left_anti").select(*old.columns))
 
 
 def replace(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -35,7 +58,7 @@ def replace(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def update(old: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """Columns of ``changes`` replace those of the rows that have its key, where not null."""
     extra = {c: f"_new_{c}" for c in changes.columns if c not in key}
-    c = changes.select(*key, *[F.col(a).alias(b) for a, b in extra.items()])
+    c = _one_each(changes, key).select(*key, *[F.col(a).alias(b) for a, b in extra.items()])
     return old.join(c, key, "left").select(*[F.coalesce(extra[x], x).alias(x) if x in extra else F.col(x) for x in old.columns])
 
 

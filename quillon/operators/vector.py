@@ -86,35 +86,25 @@ def _search(width: int, k: int):
     return run
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, recall: float = 0.95) -> DataFrame:
-    """rows(id, v), queries(id, v) -> (id, rank, neighbour, similarity): about this share of the k nearest rows of each query, other than itself."""
-    spark = rows.sparkSession
-    result = "id long, rank int, neighbour long, similarity double"
+def _sound(d: DataFrame, width: int) -> DataFrame:
+    """Rows whose vector can be compared, as doubles."""
+    d = d.withColumns({"id": F.col("id").cast("long"), "v": F.col("v").cast("array<double>")}).where(F.col("id").isNotNull() & (F.size("v") == width))
+    return d.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
+
+
+def _width(rows: DataFrame) -> int:
     head = rows.where("id is not null and size(v) > 0").select(F.size("v")).first()
-    if head is None:
-        return spark.createDataFrame([], result)
-    width = head[0]
+    return head[0] if head else 0
 
-    def sound(d: DataFrame) -> DataFrame:
-        d = d.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == width))
-        return d.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
 
-    rows, queries = sound(rows), sound(queries)
-    bound = max(1, min(SAMPLE, FLOATS // width))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(bound).select("v").toArrow()
-    if not sample.num_rows:
-        return spark.createDataFrame([], result)
-    cells = int(min(MOST_CELLS, max(1, rows.count() ** 0.5 / 2)))
-    known = _units(sample["v"], width)
-    c = centres(known, cells)
-    probes = probes_for(known, c, k, recall)
-    kind = "id long, v array<double>, cell int"
-    r, q = rows.mapInArrow(_assign(c, 1), kind), queries.mapInArrow(_assign(c, probes), kind)
+def _ranked(r: DataFrame, q: DataFrame, k: int, width: int) -> DataFrame:
+    """r(cell, id, v), q(cell, id, v): of each query the k most similar rows in its cells. Cells are cut into pieces, and every piece of queries meets every
+    piece of rows of its cell in a task of its own."""
 
     def counted(d: DataFrame, name: str) -> DataFrame:
         return d.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(name))
 
-    sizes = F.broadcast(counted(r, "rows").join(counted(q, "asks"), "cell"))  # a row for each cell
+    sizes = counted(r, "rows").join(counted(q, "asks"), "cell")
 
     def piece(n: str):
         return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -126,3 +116,36 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, recall: float = 0.9
     found = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "similarity")
+
+
+RESULT = "id long, rank int, neighbour long, similarity double"
+
+
+def exact(rows: DataFrame, queries: DataFrame, k: int, within: str | None = None, above: float | None = None) -> DataFrame:
+    """As ``nearest``, but all rows are compared, block by block; with ``within``, only rows whose value of that column is the query's;
+    with ``above``, only similarities above it are returned."""
+    width = _width(rows)
+    if not width:
+        return rows.sparkSession.createDataFrame([], RESULT)
+    cell = F.col(within) if within else F.lit(0)
+    r, q = (_sound(d.select("id", "v", cell.alias("cell")), width) for d in (rows, queries))
+    out = _ranked(r, q, k, width)
+    return out if above is None else out.where(F.col("similarity") > above)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, recall: float = 0.95) -> DataFrame:
+    """rows(id, v), queries(id, v) -> (id, rank, neighbour, similarity): about this share of the k nearest rows of each query, other than itself."""
+    spark, width = rows.sparkSession, _width(rows)
+    if not width:
+        return spark.createDataFrame([], RESULT)
+    rows, queries = (_sound(d.select("id", "v"), width) for d in (rows, queries))
+    bound = max(1, min(SAMPLE, FLOATS // width))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(bound).select("v").toArrow()
+    if not sample.num_rows:
+        return spark.createDataFrame([], RESULT)
+    cells = int(min(MOST_CELLS, max(1, rows.count() ** 0.5 / 2)))
+    known = _units(sample["v"], width)
+    c = centres(known, cells)
+    probes = probes_for(known, c, k, recall)
+    kind = "id long, v array<double>, cell int"
+    return _ranked(rows.mapInArrow(_assign(c, 1), kind), queries.mapInArrow(_assign(c, probes), kind), k, width)

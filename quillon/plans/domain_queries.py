@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..operators import learner, relational, study
+from ..functions import text as documents
+from ..operators import relational, study, vector
 from ..registry import query
+from ..sources import files
 from ..streaming import online
 from .dialect import Duck, Spark, VIEWS, with_views
 
@@ -528,3 +530,115 @@ def st_mastery_online(v: Views) -> DataFrame:
     """The log as it would arrive, through the streaming state machine; the last state of each point."""
     log = v.practice.select("email", "kp", "ts", "id", F.expr("cast(case when is_correct and hint then 5 when is_correct then 15 else -20 end as long)").alias("delta"))
     return online.replay(log, online.Mastery()).groupBy("email", "kp").agg(F.max_by("mastery_percent", "attempts").alias("mastery_percent"), F.max("attempts").alias("attempts"))
+
+
+BUCKET = """, r as (select email, epoch_us(ts) as t, row_number() over (partition by email order by ts, id) as i from practice),
+  walk as (select email, i, t, 86400000000 - 43200000000 as level, 1 as n from r where i = 1 union all
+    select w.email, r.i, r.t, greatest(0, least(86400000000, w.level + r.t - w.t) - 43200000000), w.n + case when least(86400000000, w.level + r.t - w.t) >= 43200000000 then 1 else 0 end from walk w join r on r.email = w.email and r.i = w.i + 1)
+  select email, max(n) as granted, count(*) - max(n) as delayed from walk group by email"""
+
+
+@ask("st_token_bucket", "practice", BUCKET)
+def st_token_bucket(v: Views, most: int = 2, seconds: int = 86_400) -> DataFrame:
+    out = online.replay(v.practice.select("email", "ts", "id"), online.TokenBucket(most, seconds))
+    return out.groupBy("email").agg(F.count_if("granted").alias("granted"), F.count_if(~F.col("granted")).alias("delayed"))
+
+
+GUARD = """, r as (select email, epoch_us(ts) as t, subject = 'purchase' as asks, is_correct as good, row_number() over (partition by email order by ts, id) as i from practice),
+  walk as (select email, i, case when asks then t else -1 end as sent, 0 as tries, case when asks then 1 else 0 end as sends, 0 as ok, case when asks then 0 else 1 end as refused from r where i = 1 union all
+    select email, i, case when asks then case when early then sent else t end when dead or good then -1 else sent end, case when asks then case when early then tries else 0 end when dead or good then 0 else tries + 1 end,
+      sends + case when asks and not early then 1 else 0 end, ok + case when not asks and good and not dead then 1 else 0 end, refused + case when asks and early or not asks and dead then 1 else 0 end
+    from (select r.*, w.sent, w.tries, w.sends, w.ok, w.refused, w.sent >= 0 and r.t - w.sent < 21600000000 as early, w.sent < 0 or r.t - w.sent > 432000000000 or w.tries >= 5 as dead from walk w join r on r.email = w.email and r.i = w.i + 1))
+  select email, max(sends) as sends, max(ok) as verified, max(refused) as refused from walk group by email"""
+
+
+@ask("st_resend_guard", "practice", GUARD)
+def st_resend_guard(v: Views, again: int = 6 * 3600, expiry: int = 5 * 86_400, tries: int = 5) -> DataFrame:
+    log = v.practice.select("email", "ts", "id", (F.col("subject") == "purchase").alias("asks"), F.col("is_correct").alias("good"))
+    n = lambda x, name: F.count_if(F.col("outcome") == x).alias(name)
+    return online.replay(log, online.ResendGuard(again, expiry, tries)).groupBy("email").agg(n("sent", "sends"), n("verified", "verified"), n("refused", "refused"))
+
+
+@ask("win_fold", "practice", """, r as (select email, case when is_correct and hint then 5 when is_correct then 15 else -20 end as x, row_number() over (partition by email order by ts, id) as i from practice),
+  walk as (select email, i, greatest(0, least(100, x)) as s from r where i = 1 union all select w.email, r.i, greatest(0, least(100, w.s + r.x)) from walk w join r on r.email = w.email and r.i = w.i + 1)
+  select email, cast(arg_max(s, i) as bigint) as mastery_percent from walk group by email""")
+def win_fold(v: Views) -> DataFrame:
+    log = v.practice.select("email", F.lit(0).cast("long").alias("kp"), "ts", "id", F.expr("cast(case when is_correct and hint then 5 when is_correct then 15 else -20 end as long)").alias("delta"))
+    return online.replay(log, online.Mastery()).groupBy("email").agg(F.max_by("mastery_percent", "attempts").alias("mastery_percent"))
+
+
+# --- whole tables ----------------------------------------------------------------------------------------------------------------
+@ask("jn_subject_group", "kps", "select a.subject, count(*) as pairs from kps a join kps b on a.subject = b.subject and a.id < b.id group by a.subject")
+def jn_subject_group(v: Views) -> DataFrame:
+    """How many pairs of points share a subject: counted, never made."""
+    n = v.kps.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
+    return n.where("n > 1").select("subject", F.expr("n * (n - 1) div 2").alias("pairs"))
+
+
+@ask("win_index", "edges", "select 'e' || cast(row_number() over (order by src, dst) - 1 as varchar) as id, src, dst from edges")
+def win_index(v: Views) -> DataFrame:
+    d = relational.numbered(v.edges, ["src", "dst"], "i", files.scratch(v.spark, "numbered"))
+    return d.select(F.concat(F.lit("e"), F.col("i").cast("string")).alias("id"), "src", "dst")
+
+
+@ask("win_round_robin", "questions kps", """select x.paper_id, x.seq, k.id as kp from (select paper_id, seq, row_number() over (order by paper_id, seq) - 1 as i from questions) x
+  join (select id, row_number() over (order by id) - 1 as j, count(*) over () as n from kps) k on x.i % k.n = k.j""")
+def win_round_robin(v: Views) -> DataFrame:
+    """Questions take the points in turns."""
+    q = relational.numbered(v.questions.select("paper_id", "seq"), ["paper_id", "seq"], "i", files.scratch(v.spark, "numbered"))
+    k = relational.numbered(v.kps.select(F.col("id").alias("kp")), ["kp"], "j", files.scratch(v.spark, "numbered"))
+    n = k.count()
+    return q.withColumn("j", F.col("i") % max(1, n)).join(k, "j").select("paper_id", "seq", "kp")
+
+
+@ask("agg_percentiles", "practice", """, a as (select subject, time_ms, row_number() over (partition by subject order by time_ms) as r, count(*) over (partition by subject) as n from practice)
+  select subject, min(time_ms) as lo, max(time_ms) as hi, min(time_ms) filter (where r >= ceil(0.50 * n)) as p50, min(time_ms) filter (where r >= ceil(0.95 * n)) as p95, min(time_ms) filter (where r >= ceil(0.99 * n)) as p99 from a group by subject""")
+def agg_percentiles(v: Views) -> DataFrame:
+    return relational.nearest_ranks(v.practice, "subject", "time_ms", {"p50": 0.50, "p95": 0.95, "p99": 0.99})
+
+
+COSINE = "list_cosine_similarity(cast(q.embedding as double[]), cast(r.embedding as double[]))"
+
+
+def _vectors(v: Views, *more: str) -> tuple[DataFrame, DataFrame]:
+    """All rows, and as queries those whose id 50 divides."""
+    r = v.rag.select("id", F.col("embedding").alias("v"), *more)
+    return r, r.where("id % 50 = 0")
+
+
+def _searched(sql_rows: str, k: int, above: str = "") -> str:
+    return f""", s as (select q.id, r.id as neighbour, {COSINE} as sim from rag q join rag r on q.id % 50 = 0 and r.id <> q.id {sql_rows}), t as (select *, row_number() over (partition by id order by sim desc, neighbour) as rank from s)
+  select id, cast(rank as int) as rank, neighbour, round(sim, 4) as similarity from t where rank <= {k} {above}"""
+
+
+@ask("top_vector", "rag", _searched("", 5))
+def top_vector(v: Views, k: int = 5) -> DataFrame:
+    return vector.exact(*_vectors(v), k).withColumn("similarity", F.round("similarity", 4))
+
+
+@ask("fn_vec_cosine", "rag", _searched("and r.kp = q.kp", 1_000_000))
+def fn_vec_cosine(v: Views) -> DataFrame:
+    """The similarity of every query to every row of its point."""
+    return vector.exact(*_vectors(v, "kp"), 1_000_000, within="kp").withColumn("similarity", F.round("similarity", 4))
+
+
+@ask("dom_vec_search", "rag", _searched("and r.difficulty <= 4", 10, "and sim > 0.1"))
+def dom_vec_search(v: Views, k: int = 10, above: float = 0.1, hardest: int = 4) -> DataFrame:
+    rows, queries = _vectors(v, "difficulty")
+    return vector.exact(relational.between(rows, "difficulty", None, hardest), queries, int(relational.clamp(k, 1, 50)), above=above).withColumn("similarity", F.round("similarity", 4))
+
+
+@ask("dom_vec_rag", "rag", _searched("and r.kp = q.kp", 3, "and sim > 0.05"))
+def dom_vec_rag(v: Views, k: int = 3, above: float = 0.05) -> DataFrame:
+    return vector.exact(*_vectors(v, "kp"), k, within="kp", above=above).withColumn("similarity", F.round("similarity", 4))
+
+
+@ask("fn_chunk_id", "", None)
+def fn_chunk_id(v: Views) -> DataFrame:
+    """Ids of a document's chunks, and how many it has."""
+    d = v.documents.select("doc_id", documents.chunk_markdown(F.col("text")).alias("c"))
+    return d.select("doc_id", F.size("c").alias("total_chunks"), F.posexplode("c").alias("i", "chunk")).select("doc_id", F.concat_ws("_", F.lit("idx"), F.col("doc_id"), "i").alias("chunk_id"), "total_chunks", F.length("chunk").alias("n_chars"))
+
+
+by_cases("fn_frontmatter", {"---\nid: k1\nname: \"A b\"\n---\nbody": "k1,A b", "---\nname: x\n---\nid: no": "~,x", "no block\n---\nid: k\n---": "~,~", "---\nid: \n---\n": "~,~"}, lambda c: F.concat_ws(",", *[F.coalesce(files.frontmatter(c, k), F.lit("~")) for k in ("id", "name")]))
+by_cases("fn_wikilinks", {"see [[A]] and [[B|b]] and [[A]]": "A|B", "[[ C ]] [[]] [D]": "C", "none": ""}, lambda c: _join(files.wiki_links(c)))

@@ -24,9 +24,10 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _keyed(name: str, f, oracle: str) -> None:
-    query(name, f"with o as ({OLD}), n as ({NEW}) {oracle}")(lambda spark, sf_dir: f(*_tables(spark, sf_dir)))
+    query(name, f"with o as ({OLD}), n as ({NEW}) {oracle}")(lambda spark, sf_dir: tables.save(f(*_tables(spark, sf_dir)), files.scratch(spark, name)))
 
 
+# every one is written as the table's next version and read from there
 _keyed("snk_insert", lambda o, n: tables.insert(o, n), "select * from o union all select * from n")
 _keyed("snk_upsert", lambda o, n: tables.upsert(o, n, ["code"]), "select * from n union all select * from o where code not in (select code from n)")
 _keyed("snk_upsert_keep", lambda o, n: tables.upsert_keep(o, n, ["code"]), "select coalesce(n.code, o.code) as code, coalesce(n.name, o.name) as name, coalesce(n.region, o.region) as region from o full join n on o.code = n.code")
@@ -134,3 +135,51 @@ def src_metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     found = files.json_array(spark, path, StructType([StructField("question", LongType()), StructField("points", ArrayType(StringType()))]))
     return found.select("question", F.explode("points").alias("point"))
+
+
+@query("src_json_seed", "select n_nationkey as code, n_name as name, n_regionkey as region from nation")
+def src_json_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.scratch(spark, "seed")
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    rows = F.collect_list(F.struct(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
+    n.agg(F.to_json(rows, {"pretty": "true"}).alias("value")).write.text(path)  # a seed file is one array
+    return files.json_array(spark, path, "code int, name string, region int")
+
+
+@query("src_kp_seed", """select cast(p_partkey as varchar) as id, p_type as subject, p_name as name, case when p_partkey % 3 = 0 then 'zhongkao' else 'gaokao' end as level from part where p_partkey < 100
+    union all select 'old-' || cast(p_partkey as varchar), p_type, 'kept', 'other' from part where p_partkey between 50 and 60""")
+def src_kp_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points from a seed file, with a default level, in place of all rows of the table that have a level of the file."""
+    path = files.scratch(spark, "points")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    seed = p.where("p_partkey < 100").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("subject"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 3 == 0, "zhongkao").alias("level"))
+    seed.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)
+    named = lambda d, i, level: d.select(F.concat(F.lit(i), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("subject"), F.lit("kept" if level == "other" else "gone").alias("name"), F.lit(level).alias("level"))
+    old = named(p.where("p_partkey between 50 and 60"), "old-", "other").union(named(p.where("p_partkey between 10 and 90"), "gone-", "gaokao"))
+    new = files.knowledge_points(spark, path, "gaokao").select("id", "subject", "name", "level")
+    return tables.save(tables.replace(old, new, ["level"]), files.scratch(spark, "points-table"))
+
+
+def _notes_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of Markdown files, one for each region, and one of another kind."""
+    path = files.scratch(spark, "notes")
+    r = spark.read.parquet(f"{sf_dir}/region.parquet")
+    body = F.concat(F.lit("---\nid: r"), F.col("r_regionkey").cast("string"), F.lit("\nname: "), F.col("r_name"), F.lit("\n---\nsee [[REGION_0]]"))
+    r.select(F.explode(F.array(F.struct(F.lit("md").alias("kind"), body.alias("value")), F.struct(F.lit("txt").alias("kind"), F.lit("other").alias("value")))).alias("x")).select("x.*").where("kind = 'md' or value = 'other'").repartition(1).write.option("maxRecordsPerFile", 1).partitionBy("kind").text(path)
+    files.rename_suffix(spark, f"{path}/kind=md", ".txt", ".md")
+    return path
+
+
+@query("src_markdown_dir", "select 'r' || cast(r_regionkey as varchar) as id, r_name as name, 'REGION_0' as links from region")
+def src_markdown_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = files.markdown_folder(spark, _notes_folder(spark, sf_dir))
+    return d.select(files.frontmatter(F.col("text"), "id").alias("id"), files.frontmatter(F.col("text"), "name").alias("name"), F.array_join(files.wiki_links(F.col("text")), ",").alias("links"))
+
+
+@query("src_registry_scan", """select sha256('---' || chr(10) || 'id: r' || r_regionkey || chr(10) || 'name: ' || r_name || chr(10) || '---' || chr(10) || 'see [[REGION_0]]' || chr(10)) as hash from region where r_regionkey <> 0""")
+def src_registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of Markdown files that aren't known yet; the first region's is."""
+    path = _notes_folder(spark, sf_dir)
+    known = files.registry_scan(spark, path, [".md"], spark.createDataFrame([], "hash string"))
+    first = files.markdown_folder(spark, path).where("text like '%id: r0%'").select(F.sha2("text", 256).alias("hash"))
+    return known.select("hash").join(first, "hash", "left_anti")

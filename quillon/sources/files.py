@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 KNOWLEDGE_POINT = StructType([StructField(n, t) for n, t in (("id", StringType()), ("subject", StringType()), ("name", StringType()), ("subtopics", ArrayType(StringType())), ("difficulty", IntegerType()), ("frequency", StringType()), ("level", StringType()))])
 
 
-def json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A file that is one JSON array, as rows."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
@@ -69,6 +69,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
 
 
+def rename_suffix(spark: SparkSession, path: str, old: str, new: str) -> None:
+    """Give the files of one folder another suffix; for a small folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(folder):
+        name = f.getPath().getName()
+        if name.endswith(old):
+            fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, name[: -len(old)] + new))
+
+
 def write_by_group(df: DataFrame, path: str, group: str, line: str) -> None:
     """A folder of text for each group, its lines in order over numbered files; a large group spans several tasks."""
     d = df.select(group, line).repartitionByRange(F.col(group), F.col(line)).sortWithinPartitions(group, line)
