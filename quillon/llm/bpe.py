@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import slices, text_or_empty
+from .common import slices, text_or_empty, tidy
 
 #: Pre-tokens whose ids a Python worker remembers.
-MOST_CACHED = 300_000
+MOST_CACHED = 150_000
 # fixed values: Unicode's White_Space; letters and numbers below U+0100
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _L1_LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -130,6 +130,7 @@ def coder(path: str, pattern: str) -> Coder:
 def _coded(path: str, pattern: str, at: int):
     """Batches with the text at column ``at`` replaced by what its ids decode to, the ids, and their number."""
 
+    @tidy
     def run(batches):
         for whole in batches:
             for b in slices(whole, column=at):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where a session on one machine (tests) names none, it gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -92,18 +98,20 @@ _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Powers that a worker keeps; longer runs of them, for very long texts, are made when needed.
+_KEPT = 1 << 21
 _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int, base: np.uint64, key: str) -> np.ndarray:
     have = _POWERS.get(key)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
+        have = np.full(max(n, 1 << 16), base, np.uint64)
+        have[0] = 1
         with np.errstate(over="ignore"):
-            np.multiply.accumulate(p, out=p)
-        _POWERS[key] = have = p
+            np.multiply.accumulate(have, out=have)
+        if n <= _KEPT:
+            _POWERS[key] = have
     return have[:n]
 
 
@@ -158,19 +166,48 @@ def shingle_sets(texts: list, words: int):
                 yield np.zeros(0, np.uint64)
 
 
-def slices(batch, most_bytes: int = 4 << 20, column: int = 1):
+def slices(batch, most_bytes: int = 1 << 20, column: int = 1):
     """Cut an Arrow batch where its texts pass ``most_bytes``, so that a task's memory doesn't follow the batch size."""
-    n, i = batch.num_rows, 0
-    if not n:
+    if not batch.num_rows:
         return
-    sizes = [len(x) if x is not None else 0 for x in batch.column(column).to_pylist()] if batch.nbytes > most_bytes else None
-    if sizes is None:
-        yield batch
-        return
-    total = 0
-    for k, s in enumerate(sizes):
-        if total and total + s > most_bytes:
-            yield batch.slice(i, k - i)
-            i, total = k, 0
-        total += s
-    yield batch.slice(i, n - i)
+    end = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        done = end[i - 1] if i else 0
+        k = max(i + 1, int(np.searchsorted(end, done + most_bytes, "right")))
+        yield batch.slice(i, k - i)
+        i = k
+
+
+def runs_of(values, most_chars: int = 1 << 20):
+    """(start, end) of runs of texts of about ``most_chars``."""
+    i = 0
+    while i < len(values):
+        j, size = i, 0
+        while j < len(values) and (j == i or size + len(values[j]) <= most_chars):
+            size += len(values[j])
+            j += 1
+        yield i, j
+        i = j
+
+
+def _release() -> None:
+    """Give freed memory back to the machine: Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """For ``mapInArrow``: the worker gives memory back when the task's batches end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import math
 from functools import reduce
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shingle_sets, slices, stash, text_or_empty, unstash
+from .common import mix64, shingle_sets, slices, stash, text_or_empty, tidy, unstash
 
 BANDS, ROWS, BATCH = 32, 6, 32
 MISS, ROUNDS = 1e-6, 3
@@ -50,6 +49,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _profile(words: int):
+    @tidy
     def run(batches):
         for whole in batches:
             for b in slices(whole):
@@ -77,6 +77,7 @@ def _profile(words: int):
 
 
 def _set_rows(words: int):
+    @tidy
     def run(batches):
         for whole in batches:
             for b in slices(whole):

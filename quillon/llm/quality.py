@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_words, mix64, slices, stash, text_or_empty, unit_hash
+from .common import batch_words, mix64, runs_of, slices, stash, text_or_empty, tidy, unit_hash
 
 BUCKETS = 10_000
 SMOOTH = 1.0
@@ -54,18 +54,6 @@ def ngram_buckets(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def _by_size(values: list):
-    """(start, end) of runs of texts of about 4 MB."""
-    i = 0
-    while i < len(values):
-        j, size = i, 0
-        while j < len(values) and (j == i or size + len(values[j]) <= 4 << 20):
-            size += len(values[j])
-            j += 1
-        yield i, j
-        i = j
-
-
 def toxic_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of each text's distinct words, ordered."""
     h, at = batch_words(texts, lower=True)
@@ -84,6 +72,7 @@ def toxicity(texts: list, ratio: np.ndarray) -> np.ndarray:
     return np.bincount(doc, weights=np.where(rank < STRONGEST, x, 0.0), minlength=len(texts))
 
 
+@tidy
 def _counts(batches):
     """Raw and target counts by n-gram bucket; after them clean and toxic rows by word bucket; last how many clean and toxic rows there are."""
     raw, target = (np.zeros(BUCKETS + TOXIC_BUCKETS + 1, np.int64) for _ in range(2))
@@ -117,7 +106,7 @@ def toxic_bound(rows: DataFrame, toxic: np.ndarray, clean: np.ndarray, n_toxic:
     @F.pandas_udf("double")
     def score(text: pd.Series, kind: pd.Series) -> pd.Series:
         out, values, is_toxic = np.zeros(len(text)), text.tolist(), kind.to_numpy() == TOXIC
-        for i, j in _by_size(values):
+        for i, j in runs_of(values):
             for side, ratio in without.items():
                 at = i + np.flatnonzero(is_toxic[i:j] == side)
                 out[at] = toxicity([values[k] for k in at], ratio)
@@ -166,7 +155,7 @@ def log_weight(ratio: np.ndarray, tox_ratio: np.ndarray, bound: float) -> Column
         out, n = np.zeros(len(text)), np.zeros(len(text), np.int64)
         values = text.tolist()
         over = np.zeros(len(text))
-        for i, j in _by_size(values):
+        for i, j in runs_of(values):
             grams, at = ngram_buckets(values[i:j])
             each = np.append(np.where(grams >= 0, ratio[grams], 0.0).sum(axis=1), 0.0)
             some = np.flatnonzero(np.diff(at))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, _TABLE, _powers, mix64, slices, stash, text_or_empty
+from .common import _BASE, _BASE_INV, _TABLE, _powers, mix64, slices, stash, text_or_empty, tidy
 
 LENGTH, GRAM, LEAD = 50, 20, 16
 #: Documents that a sample for splitters reads at most, and splitters a bucket is chosen from.
@@ -133,6 +133,7 @@ def _out(bucket, kind, blobs):
 def _send(splits: np.ndarray, homes: int, length: int):
     """Step 1, map side."""
 
+    @tidy
     def run(batches):
         for whole in batches:
             for b in slices(whole, column=2):
