@@ -1,11 +1,18 @@
 """Main text of web pages by two-pass block rules.
 
 The markup is cut into blocks at block-level tags. Pass one decides each block by its container, length, link density and
-stop-word density: blocks in navigation, forms, notices and the like are bad, as are blocks that are mostly links; where a page
-has an article or main element, its blocks are candidates and blocks outside are bad; without one, long blocks with many
-stop words are good and long blocks without them bad. Pass two gives each ambiguous short block the label of its nearest decided
-neighbours: good if both sides are, bad if both are, and where they differ the nearer one's; in an article
-with no decided neighbour a short block is good.
+stop-word density: blocks in navigation, forms, notices and the like are bad, as are blocks that are mostly links. Where a page
+has an article or main element, blocks outside are bad; inside, long blocks with enough stop words are good, and what else isn't mostly links is
+ambiguous. Without one, long blocks with many stop words are good and long blocks without them bad. Pass two gives each ambiguous block the label
+of its nearest decided neighbours: good if both sides are, bad if both are, and where they differ the nearer one's; in an article
+with no decided neighbour a block is good.
+
+Stop words are those of five languages. Where a page's long blocks hold almost none of them, its language is another one, and length and link
+density decide alone. Characters of scripts without blanks between words count three times as long as others.
+
+Class and id names speak for a whole token only, each part of which must be a word of unwanted things or of layout: "comments" and "comments-list" are
+unwanted, "comments-open" and "has-sidebar" are not. They never speak against an element that holds an outermost article
+or main or, in a page without these, most of the text, unless they are of readers' comments.
 
 Defined cases: null and empty html give an empty text; unclosed tags, comments and scripts run to their natural end, a tag cut
 off at the end of the page is dropped; character references without a semicolon are decoded as browsers do;
@@ -23,7 +30,9 @@ from pyspark.sql import functions as F
 
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH, MOST_LINKS = 0.30, 0.32, 0.2
-MOST_LINKS_IN_ARTICLE = 0.8
+MOST_LINKS_IN_ARTICLE, STOP_IN_ARTICLE = 0.8, 0.1
+#: A page whose long blocks have a smaller share of stop words is in another language.
+STOP_KNOWN = 0.1
 
 # fixed values: function words
 STOP_WORDS = frozenset(
@@ -33,7 +42,9 @@ STOP_WORDS = frozenset(
     au aux avec ce ces cette comme dans de des du elle en est et il ils je la le les leur lui mais ne nous on ont ou par pas plus pour qu que qui sa se ses son sont sur un une vous
     aber als am auch auf aus bei bis das dass dem den der des die durch ein eine einem einen einer es für hat ich im in ist mit nach nicht noch nur oder sich sie sind so und um
     von vor war wie wird zu zum zur über
-    al como con del desde donde el ella en entre era es esta este fue ha la las lo los más mi muy no o para pero por que se ser sin sobre su sus también un una y ya""".split()
+    al como con del desde donde el ella en entre era es esta este fue ha la las lo los más mi muy no o para pero por que se ser sin sobre su sus también un una y ya
+    а без бы был была были было в во вот все всё вы где да для до его ее её если есть еще ещё же за и из или им их к как ко когда кто ли мы на над не нет но ну о об он она они оно от по под
+    при с со так также там то того только ты у уже что чтобы эта эти это этот я""".split()
 )
 # fixed values: element names
 SKIPPED = frozenset("head nav footer aside form script style noscript template iframe object embed svg math canvas button select option textarea dialog menu audio video map title".split())
@@ -51,6 +62,10 @@ BAD_NAMES = frozenset(
     menubar modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion recommended related reply replies respond share sharing sidebar signup social sponsor sponsored
     subscribe toolbar widget""".split()
 )
+#: Words of layout that a name of unwanted things may also have.
+LAYOUT_NAMES = frozenset("area bar block body bottom box button buttons center col column container content footer header icons inner item items left line link links list main outer page panel primary right row secondary section site text title top wrap wrapper".split())
+#: Those that stay unwanted even where most of a page's text stands in them.
+READERS_NAMES = frozenset("comment comments disqus reply replies respond".split())
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 _TOKEN = re.compile(
@@ -60,35 +75,41 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORDS = re.compile(r"\w+")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is unwanted, and whether only its names say so."""
+def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is unwanted, whether only its names say so, and whether they are of readers' comments."""
     if tag in SKIPPED or (tag == "header" and not in_article):
-        return True, False
+        return True, False, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False, False
-    named = False
+        return False, False, False
+    named = readers = False
     for name, a, b, c in _NAMED.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in BAD_ROLES):
-            return True, False
+            return True, False, False
         if name in ("class", "id"):
-            for x in _PARTS.findall(value):
-                if x.lower() in BAD_NAMES or (x.lower() == "header" and not in_article):
-                    named = True
-    return named, named
+            for token in value.split():
+                parts = [x.lower() for x in _PARTS.findall(token)]
+                bad = BAD_NAMES if in_article else BAD_NAMES | {"header"}
+                if any(x in bad for x in parts) and all(x in bad or x in LAYOUT_NAMES or x.isdigit() for x in parts):
+                    named, readers = True, readers or any(x in READERS_NAMES for x in parts)
+    return named, named, readers
 
 
 def blocks(page: str, spared: frozenset = frozenset()) -> list[tuple[str, float, bool, bool]]:
     """(text, link density, unwanted, in an article or main element) of each block that has text, in page order.
 
-    ``spared``: where elements start whose names don't count, as an outermost article or main stands in them; found on the way, they are read again."""
+    ``spared``: where elements start whose names don't count, as an outermost article or main or most of the text stands in them; found on the way, the page
+    is read again without them."""
     out: list[tuple[str, float, bool, bool]] = []
     text: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, int | None]] = []  # the last: where an element starts that is unwanted for its names only
     holders: set[int] = set()
+    under: dict[int, int] = {}  # characters in elements that only their names speak against, by where the outermost starts
+    firm: set[int] = set()
     bad = articles = links = at = 0
 
     def flush() -> None:
@@ -118,6 +139,9 @@ def blocks(page: str, spared: frozenset = frozenset()) -> list[tuple[str, float,
             text.append(piece)
             if links:
                 linked.append(piece)
+        elif m.start() > at and not links and all(where is not None for _, x, where in stack if x):
+            first = next(where for _, x, where in stack if x)
+            under[first] = under.get(first, 0) + len(page[at : m.start()].strip())
         at = m.end()
         tag, end = m[2], m[4]
         if tag is not None:
@@ -154,7 +178,9 @@ def blocks(page: str, spared: frozenset = frozenset()) -> list[tuple[str, float,
                 flush()
             if m[3].endswith("/") and tag not in BLOCKS:
                 continue
-            unwanted, named = _unwanted(tag, m[3], articles > 0)
+            unwanted, named, readers = _unwanted(tag, m[3], articles > 0)
+            if readers:
+                firm.add(m.start())
             if named and m.start() in spared:
                 unwanted = named = False
             if tag in ("article", "main") and not articles and bad and all(where is not None for _, x, where in stack if x):
@@ -172,6 +198,10 @@ def blocks(page: str, spared: frozenset = frozenset()) -> list[tuple[str, float,
             else:
                 if end in BLOCKS:
                     flush()
+    if not holders and under and not any(article for *_, article in out):
+        most = max(under, key=under.get)
+        if most not in firm and 2 * under[most] > sum(under.values()) + sum(len(t) for t, *_ in out) + sum(map(len, text)):
+            holders.add(most)
     if holders:
         return blocks(page, spared | holders)
     if at < len(page) and stack and stack[-1][0] == "head" and page[at:].strip():
@@ -182,24 +212,39 @@ def blocks(page: str, spared: frozenset = frozenset()) -> list[tuple[str, float,
     return out
 
 
+def _size(text: str) -> int:
+    """Length, where a character of a script without blanks between words counts three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_UNSPACED.findall(text))
+
+
+def _density(text: str) -> float:
+    words = _WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def labels(found: list[tuple[str, float, bool, bool]]) -> list[bool]:
     """Both passes: True for each block of the main text."""
     inside = any(article and not bad for _, _, bad, article in found)
+    counted = [(t, bad or (inside and not article), links) for t, links, bad, article in found]
+    sizes = [0 if out else _size(t) for t, out, _ in counted]
+    stops = [_density(t) if n >= SHORT and links <= MOST_LINKS_IN_ARTICLE else 0.0 for (t, _, links), n in zip(counted, sizes)]
+    long = [(n, d) for n, d, (_, _, links) in zip(sizes, stops, counted) if n >= SHORT and links <= MOST_LINKS]
+    known = sum(n * d for n, d in long) >= STOP_KNOWN * sum(n for n, _ in long)
     first: list[bool | None] = []
-    for text, links, bad, article in found:
-        if bad or (inside and not article):
+    for (text, out, links), size, density in zip(counted, sizes, stops):
+        if out:
             first.append(False)
         elif inside:
-            first.append(False if links > MOST_LINKS_IN_ARTICLE else True if len(text) >= SHORT and links <= MOST_LINKS else None)
+            good = size >= SHORT and links <= MOST_LINKS and (density >= STOP_IN_ARTICLE or not known)
+            first.append(False if links > MOST_LINKS_IN_ARTICLE else True if good else None)
+        elif links > MOST_LINKS:
+            first.append(False)
+        elif size < SHORT:
+            first.append(None)
+        elif known:
+            first.append(True if density >= STOP_HIGH and size > LONG else None if density >= STOP_LOW else False)
         else:
-            words = _WORDS.findall(text.lower())
-            density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if links > MOST_LINKS:
-                first.append(False)
-            elif len(text) < SHORT:
-                first.append(None)
-            else:
-                first.append(True if density >= STOP_HIGH and len(text) > LONG else None if density >= STOP_LOW else False)
+            first.append(True if size > LONG else None)
     scope = [i for i, b in enumerate(found) if not inside or (b[3] and not b[2])]
     out = [bool(x) for x in first]
     before: list[int | None] = []
