@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import slices, text_or_empty, tidy
+from .common import release, slices, text_or_empty, tidy
 
 #: Pre-tokens whose ids a Python worker remembers.
 MOST_CACHED = 150_000
@@ -156,6 +156,7 @@ def digest_column(text: Column, path: str, pattern: str) -> Column:
         for t in s:
             ids = c.encode(t)
             rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
+        release()
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run(F.coalesce(text, F.lit("")))

@@ -13,11 +13,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that ``join_counted`` may broadcast.
+HOT = 1_000
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 8 << 20
 #: Words everywhere in this package: maximal runs without these ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, unless the session has set another bound than Spark's default of 64 MB: long texts would else make them large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,6 +62,22 @@ def unstash(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, on: dict[str, str], n: str) -> DataFrame:
+    """rows joined to a stashed table with one row a key, by rows' columns -> its columns; ``n`` is how many rows have the key.
+
+    Keys that more than one in HOT of all these rows have would each land in one task: these, HOT at most, are joined by broadcast, the others by shuffle."""
+    total = counted.agg(F.sum(n)).first()[0]
+    if total is None:
+        total = 0
+    hot = F.col(n) > max(1, total // HOT)
+    cond = [F.col(a) == F.col(b) for a, b in on.items()]
+    few = rows.join(F.broadcast(counted.where(hot)), cond)
+    # rows of hot keys find nothing on the other way, and don't travel: they are left out before the shuffle
+    keys = counted.where(hot).select(*[F.col(b).alias(f"_q_hot{i}") for i, b in enumerate(on.values())])
+    cold = rows.join(F.broadcast(keys), [F.col(a) == F.col(f"_q_hot{i}") for i, a in enumerate(on)], "left_anti")
+    return few.unionByName(cold.join(counted.where(~hot), cond))
+
+
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -191,7 +219,7 @@ def runs_of(values, most_chars: int = 1 << 20):
         i = j
 
 
-def _release() -> None:
+def release() -> None:
     """Give freed memory back to the machine: Python workers live on after a task."""
     pa.default_memory_pool().release_unused()
     try:
@@ -208,6 +236,6 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            _release()
+            release()
 
     return wrapped

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_words, mix64, runs_of, slices, stash, text_or_empty, tidy, unit_hash
+from .common import batch_words, mix64, release, runs_of, slices, stash, text_or_empty, tidy, unit_hash
 
 BUCKETS = 10_000
 SMOOTH = 1.0
@@ -165,6 +165,7 @@ def log_weight(ratio: np.ndarray, tox_ratio: np.ndarray, bound: float) -> Column
             if bound < math.inf:
                 over[i:j] = np.maximum(toxicity(values[i:j], tox_ratio) - bound, 0.0)
         out = LENGTH * (out / (np.maximum(2 * n - 1, 0) + SHRINK) - over)
+        release()
         return pd.DataFrame({"w": out, "n": n})
 
     return weigh(text_or_empty())

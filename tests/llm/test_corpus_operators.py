@@ -21,11 +21,14 @@ def rows(seed=1, n=60):
     words = ["alpha", "beta", "Gamma", "délta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "λάμδα", "mu."]
     line = lambda k: " ".join(r.choice(words) for _ in range(k))
     block = "\n".join(line(9) for _ in range(5))
+    long, pair = line(55), line(30) + "\n" + line(24)
     texts = [None, "", "   \n\t ", "one", "two words", "x" * 400, line(4000)]
     while len(texts) < n:
         t = "\n".join(line(r.randint(3, 14)) for _ in range(r.randint(1, 9)))
         if r.random() < 0.3:
             t += "\n" + block
+        if r.random() < 0.15:
+            t += "\n" + r.choice([long, pair])
         if r.random() < 0.2 and texts[-1]:
             t = texts[-1]
         elif r.random() < 0.3 and texts[-1] and len(texts[-1]) > 100:
@@ -51,10 +54,12 @@ def test_line_dedup(docs, none):
     for i, t in data:
         solid = [(p, x.strip(" ")) for p, x in enumerate((t or "").split("\n")) if x.strip(" ")]
         gone = set()
-        for s in range(len(solid) - 2):
-            key = tuple(x for _, x in solid[s : s + 3])
-            if seen.setdefault(key, (i, s)) < (i, s):
-                gone |= {p for p, _ in solid[s : s + 3]}
+        for s in range(len(solid)):
+            for size in (1, 2, 3):
+                some = solid[s : s + size]
+                if len(some) == size and (size == 3 or sum(len(WORD.findall(x)) for _, x in some) >= 50):
+                    if seen.setdefault(tuple(x for _, x in some), (i, s)) < (i, s):
+                        gone |= {p for p, _ in some}
         want[i] = (len(solid), len(gone), "\n".join(x for p, x in enumerate((t or "").split("\n")) if p not in gone))
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.digest(docs).collect()}
     assert got == {i: (a, b, hashlib.sha256(c.encode()).hexdigest()) for i, (a, b, c) in want.items()}
@@ -63,6 +68,11 @@ def test_line_dedup(docs, none):
     assert out.columns == docs.columns
     assert {r.doc_id: r.text or "" for r in out.collect()} == {i: c for i, (a, b, c) in want.items() if not b or c.strip("\n ")}
     assert line_dedup.stage(none).count() == line_dedup.digest(none).count() == 0
+    # null and repeated ids, and one line in most documents: it alone is short, so it stays
+    some = [(None, "a\nb\nc"), (1, "a\nb\nc\nx"), (1, "a\nb\nc\nx"), (1, "a\nb\nc\ny"), *((i, f"p{i}\ncommon\nq{i}") for i in range(2, 300)), (300, "a\nb\ncommon\na\nb\nc\nd")]
+    odd = docs.sparkSession.createDataFrame([(i, t, "k") for i, t in some], "doc_id long, text string, f string")
+    got = [(r.doc_id, r.text) for r in line_dedup.stage(odd).collect()]
+    assert sorted(got, key=str) == sorted([(None, "a\nb\nc"), (1, "x"), (1, "x"), (1, "y"), *some[4:-1], (300, "a\nb\ncommon\nd")], key=str)
 
 
 def test_fingerprints(docs, none, spark):
@@ -258,8 +268,9 @@ def test_token_store(docs, none, spark):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    for text in ["a,b .. ., it's IT'S \x1cA b<|endoftext|>c, ΑΣ. ΟΔΟΣ, 1,2 x1. É, don't, ab.. A.B. 　x", "é́ ﬁ, Ǆ."]:
-        assert np.frombuffer(token_store.token_ids(text, path), "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
+    latin = ["ÀÉÎ's ªº µm ß×÷ x² ½ a\x85b\xa0c \x1cd\x1f ''s 'RE'll 12 3.4!?,; naïve't", "".join(map(chr, range(1, 256))) * 2]
+    for text in [*latin, "a,b .. ., it's IT'S \x1cA b<|endoftext|>c, ΑΣ. ΟΔΟΣ, 1,2 x1. É, don't, ab.. A.B. 　x", "é́ ﬁ, Ǆ."]:
+        assert np.frombuffer(token_store.token_ids([text], path)[0], "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
     rng = np.random.default_rng(2)
     for ids in (np.zeros(0, int), rng.integers(0, 49408, 5000), np.tile(rng.integers(0, 49408, 50), 200), np.full(3000, 49407), rng.zipf(1.2, 9000) % 49408):
         coded = token_store.encode_blocks(ids)
@@ -303,6 +314,45 @@ def test_html_wrappers():
         assert html_text.main_text(f"<html><head><meta charset=utf-8><title>t</title><style>p</style>{start}<article><p>{text}</p></article>") == text
 
 
+def test_html_names_and_languages():
+    text = "It was the best of times and it was the worst of times, so we went to the sea with all of our friends and they were happy to be there for a while."
+    for start, end in (("<div class='page has-sidebar'>", "</div>"), ("<div class='layout with-sidebar'>", "</div>"), ("<section class='post comments-open'>", "</section>"), ("<div id='share-article'>", "</div>"), ("<div class='sidebar'>", "</div>")):
+        assert html_text.main_text(f"<body>{start}<article><p>{text}</p></article>{end}</body>") == text
+        # without an article: the names don't speak for a whole token, or the element holds most of the text
+        plain = html_text.main_text(f"<body><div><a href=1>Home</a></div>{start}<p>{text} {text}</p><p>{text} {text}</p>{end}</body>")
+        assert plain == f"{text} {text}\n\n{text} {text}"
+    for name in ("comments", "comment-list", "cookie-notice", "site-footer", "nav-bar", "sidebarLeft", "social_links", "page-header"):
+        assert html_text.main_text(f"<body><p>{text} {text}</p><div class='{name}'><p>{text}</p></div><p>{text} {text}</p></body>") == f"{text} {text}\n\n{text} {text}"
+    for other in ("Жили-были старик со старухой у самого синего моря и жили они в ветхой землянке ровно тридцать лет и три года. " * 3, "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。何でも薄暗いじめじめした所でニャーニャー泣いていた事だけは記憶している。" * 2, "Lanku mirto sevali dorne, pasku telimo ravni kusto belari, nomi trasku velo dinare. " * 4):
+        page = f"<body><ul><li><a href=1>{other[:20]}</a></li><li><a href=2>{other[:15]}</a></li></ul><h1>{other[:12].strip()}</h1><p>{other}</p><p>{other}</p><div><a href=3>{other[:30]}</a></div></body>"
+        assert html_text.main_text(page) == f"{other[:12].strip()}\n\n{other.strip()}\n\n{other.strip()}"
+    # rules inside an article: a list of links between paragraphs goes, a table of numbers stays
+    page = f"<article><p>{text}</p><ul><li><a href=1>Read this</a></li><li><a href=2>And this</a></li></ul><p>{text}</p><table><tr><td>1,234 5,678 9,012 3,456 7,890 1,234 5,678 9,012 3,456 7,890 1,234 5,678</td></tr></table><p>{text}</p></article>"
+    got = html_text.main_text(page)
+    assert "Read this" not in got and "1,234" in got and got.count(text) == 3
+
+
+def test_html_blocks_of_made_pages():
+    # pages without article or main, made of blocks whose kind is known
+    r, wrong, total = random.Random(5), 0, 0
+    common = "the of and to in a is that it was for on are with as at be this have from or by not but".split()
+    word = lambda: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(r.randint(3, 9)))
+    prose = lambda n: " ".join(r.choice(common) if r.random() < 0.45 else word() for _ in range(n)).capitalize() + "."
+    for _ in range(60):
+        blocks_ = [(False, "".join(f"<li><a href=/{i}>{word()} {word()}</a></li>" for i in range(6)), "ul")]
+        for _ in range(r.randint(3, 7)):
+            blocks_.append((True, prose(r.randint(50, 120)), "p"))
+            if r.random() < 0.4:
+                blocks_.append((True, prose(r.randint(3, 8)), "p"))
+        blocks_ += [(False, f"<a href=/x>{word()}</a> <a href=/y>{word()} {word()}</a>", "div"), (False, " ".join(word() for _ in range(60)), "div")]
+        page = "<html><body>" + "".join(f"<{t}>{x}</{t}>" for _, x, t in blocks_) + "</body></html>"
+        got = html_text.main_text(page).split("\n\n")
+        want = [x for good, x, _ in blocks_ if good]
+        wrong += len(set(got) ^ set(want))
+        total += len(want)
+    assert wrong <= 0.02 * total
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_dedup(spark, none, words):
     r = random.Random(11)
