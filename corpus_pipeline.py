@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import bpe, line_dedup, mixing, near_dedup, quality
-from quillon.llm.common import stash, table
+from quillon.llm.common import bounded, stash, table
 from quillon.llm.queries import tokenizer_path
 
 
@@ -16,16 +16,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of lines that stood earlier."""
+    bounded(spark)
     return line_dedup.stage(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    bounded(spark)
     return near_dedup.stage(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    bounded(spark)
     return mixing.stage(docs)
 
 
@@ -33,6 +36,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their ids; text is what the ids decode to."""
     import public_tokenizers
 
+    bounded(spark)
     return bpe.stage(docs, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
