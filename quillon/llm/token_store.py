@@ -1,13 +1,14 @@
 """Token-id files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
 Ids stand in ascending doc_id order. A block has ``BLOCK`` ids and starts from an empty model. For every id an order-2 and an order-1 table (of the
-ids before it) and an order-0 candidate each predict one id; which prediction hits, if any, is one of four events whose probabilities are
-mixed from two adaptive models (one sees the tables' confidences, one the last events) by a weight that follows the better. An id that
-nobody predicted is coded by adaptive order-0 classes of its upper bits and ten plain bits. The events drive a 32-bit range coder with carries.
+ids before it) and an order-0 candidate each predict one id; which prediction hits, or else in which of five classes by size the id lies (the adaptive
+order-0 distribution), is one of eight events. Their probabilities are mixed from two adaptive models (one sees the tables' confidences, one the last
+event) by a weight that follows the better, and drive a range coder with 48-bit state and carries. The low bits of ids that nobody predicted, close to
+even within a class, follow as plain bits.
 
-Blocks don't depend on each other, so NumPy codes ``LANES`` of them in step, one id of each at a time. A block is a row of a table:
-(part, block, data); data is a header, the pieces of documents it holds (place in its part, id, number of ids, whether the document ends), the coded words
-and a CRC-32 of all that.
+Blocks don't depend on each other, so NumPy codes up to ``LANES`` of them in step, one id of each at a time. Eight probabilities of 16 bits are two
+64-bit integers, so that one operation mixes, sums up or ages four of them. A block is a row of a table: (part, block, data); data is a header,
+the pieces of documents it holds (place in its part, id, number of ids, whether the document ends), the coded words, the plain bits and a CRC-32 of all that.
 
 Defined cases: null and empty texts are the end id alone; null doc_ids come first; rows of one doc_id are ordered by text; damaged blocks raise
 ``ValueError``; an empty table makes no block.
@@ -15,6 +16,8 @@ Defined cases: null and empty texts are the end id alone; null doc_ids come firs
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 
@@ -26,190 +29,232 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import slices, stash, text_or_empty
+from .common import slices, stash, text_or_empty, tidy
 
-BLOCK, LANES = 2048, 1024
+BLOCK, LANES = 2048, 3072
 END = 1
-MOST_CACHED = 700_000
-MAGIC = b"QTK1"
-_T2, _T1 = 1024, 512
-_LOW, _MASK = 24, np.uint64(0xFFFFFFFF)
-#: Where the boundaries of eight classes, and the shares of four events, move when one of them happens.
-_TARGET = np.where(np.arange(8)[None, :] <= np.arange(8)[:, None], np.arange(8) * 32, 4096 - (8 - np.arange(8)) * 32).astype(np.int16)
-_EVENT = np.where(np.eye(4, dtype=bool), 4096 - 3 * _LOW, _LOW).astype(np.int16)
+#: Letter runs and other marks whose ids a task remembers.
+MOST_CACHED = 800_000
+MAGIC = b"QTK2"
+_T2, _T1 = 512, 256
+_BITS = 15
+_ONES, _HIGH, _DECAY, _TOP = np.uint64(0x0001000100010001), np.uint64(0x8000800080008000), np.uint64(0x00FF00FF00FF00FF), np.uint64(48)
+_FULL = np.uint64((1 << 48) - 1)
+#: Events: a hit of order 2, 1 or 0, then five classes of ids with their smallest id and plain bits.
+_FLOOR = np.array([0, 0, 0, 0, 512, 1024, 2048, 10240], np.int32)
+_WIDTH = np.array([0, 0, 0, 9, 9, 10, 13, 16], np.int32)
+_CLASS = np.searchsorted(_FLOOR[4:], np.arange(1 << 16), "right") + 3
+_ADD = np.array([[1 << 16 * (e & 3) if e >> 2 == w else 0 for e in range(8)] for w in range(2)], np.uint64)
+#: How a table's confidence moves, by hit * 4 + confidence.
+_DELTA = np.array([0, -1, -1, -1, 1, 1, 1, 0], np.int32)
 
 
 class _Coder:
     """Range coder state of all lanes; encodes if ``words`` is None."""
 
     def __init__(self, lanes: int, words: np.ndarray | None):
-        self.range = np.full(lanes, 1 << 32, np.uint64)
+        self.range = np.full(lanes, 1 << 48, np.uint64)
         self.low = np.zeros(lanes, np.uint64)
-        self.words, self.out = words, None
-        self.width = BLOCK * 2 + 4 if words is None else words.shape[1]
+        self.encoding = words is None
+        self.width = BLOCK // 2 + 8 if words is None else words.shape[1]
         self.at = np.arange(lanes) * self.width  # places in the flat array of words
         if words is None:
             self.out = np.zeros(lanes * self.width, np.uint16)
+            self.at += 1  # below the first word, so that a carry never meets another lane
         else:
-            self.words = words.ravel()
-            self.at += 2
-            self.low[:] = (words[:, 0].astype(np.uint64) << np.uint64(16)) | words[:, 1]
-
-    def take(self, lanes: np.ndarray | None, bits: int) -> np.ndarray:
-        """Decoding: where in [0, 2**bits) each lane's value lies."""
-        low, width = (self.low, self.range) if lanes is None else (self.low[lanes], self.range[lanes])
-        return np.minimum(low // (width >> np.uint64(bits)), np.uint64((1 << bits) - 1)).astype(np.int32)
-
-    def code(self, lanes: np.ndarray | None, start: np.ndarray, size: np.ndarray | None, bits: int) -> None:
-        """Narrow the lanes (None: all) to [start, start + size) of 2**bits; size None: 1."""
-        width, low = (self.range, self.low) if lanes is None else (self.range[lanes], self.low[lanes])
-        width = width >> np.uint64(bits)
-        step = width * start.astype(np.uint64)
-        if size is not None:
-            width = width * size.astype(np.uint64)
-        if self.out is not None:
-            low = low + step
-            over = low > _MASK
-            if over.any():
-                at = (self.at if lanes is None else self.at[lanes])[over] - 1
+            self.out = words.ravel()
+            for _ in range(3):
+                self.low = self.low << np.uint64(16) | self.out[self.at]
+                self.at += 1
+
+    def divide(self) -> None:
+        self.unit = self.range >> np.uint64(_BITS)
+
+    def place(self) -> np.ndarray:
+        """Decoding: where in [0, 2**_BITS) each lane's value lies."""
+        return np.minimum(self.low // self.unit, np.uint64((1 << _BITS) - 1))
+
+    def code(self, start: np.ndarray, size: np.ndarray) -> None:
+        """Narrow all lanes to [start, start + size) of 2**_BITS."""
+        shift = self.unit * start
+        self.range = self.unit * size
+        if self.encoding:
+            self.low += shift
+            over = np.flatnonzero(self.low >> _TOP)
+            if len(over):
+                at = self.at[over] - 1
                 while len(at):  # a carry runs on through words that are full
                     self.out[at] += np.uint16(1)
                     at = at[self.out[at] == 0] - 1
-                low &= _MASK
+                self.low[over] &= _FULL
         else:
-            low = low - step
-        small = np.flatnonzero(width < np.uint64(1 << 16))
+            self.low -= shift
+        small = np.flatnonzero(self.range < np.uint64(1 << 32))
         if len(small):
-            which = small if lanes is None else lanes[small]
-            at, part = self.at[which], low[small]
-            if self.out is not None:
-                self.out[at] = part >> np.uint64(16)
-                low[small] = (part << np.uint64(16)) & _MASK
+            low, at = self.low.take(small), self.at.take(small)
+            if self.encoding:
+                self.out[at] = low >> np.uint64(32)
+                self.low[small] = (low << np.uint64(16)) & _FULL
             else:
-                low[small] = (part << np.uint64(16)) | self.words[at]
-            self.at[which] = at + 1
-            width[small] <<= np.uint64(16)
-        if lanes is None:
-            self.low, self.range = low, width
-        else:
-            self.low[lanes], self.range[lanes] = low, width
+                self.low[small] = low << np.uint64(16) | self.out[at]
+            self.range[small] <<= np.uint64(16)
+            self.at[small] = at + 1
+
+    def finish(self) -> list[np.ndarray]:
+        """Encoding: each lane's words, with the last 48 bits of its low end."""
+        for k in (32, 16, 0):
+            self.out[self.at] = (self.low >> np.uint64(k)) & np.uint64(0xFFFF)
+            self.at += 1
+        return [self.out[i * self.width + 1 : end] for i, end in enumerate(self.at)]
 
-    def finish(self) -> list[bytes]:
-        """Encoding: each lane's words, with the last 32 bits of its low end."""
-        self.out[self.at] = self.low >> np.uint64(16)
-        self.out[self.at + 1] = self.low & np.uint64(0xFFFF)
-        return [self.out[i * self.width : end + 2].astype("<u2").tobytes() for i, end in enumerate(self.at)]
 
+def _walk(lanes: int, ids: np.ndarray | None, words: np.ndarray | None, raw: tuple[np.ndarray, np.ndarray] | None):
+    """Code ``ids`` (lane, BLOCK) to (words, events), or decode ``words`` and plain bits (32-bit windows at every byte, each lane's first) to ids.
 
-def _run(lanes: int, ids: np.ndarray | None, words: np.ndarray | None) -> np.ndarray | list[bytes]:
-    """Code ``ids`` (lane, BLOCK), or decode ``words``; both walk through the same model."""
+    Both walk through the same model."""
     every = np.arange(lanes)
-    flat4 = every * 4
+    every4, half = every * 4, lanes * 4
     c = _Coder(lanes, words)
-    out = None if words is None else np.zeros((BLOCK, lanes), np.int32)
-    source = None if ids is None else np.ascontiguousarray(ids.T.astype(np.int32))
+    encoding = ids is not None
+    if encoding:
+        source = np.ascontiguousarray(ids.T)
+        events = np.zeros((BLOCK, lanes), np.uint8)
+    else:
+        out = np.zeros((BLOCK, lanes), np.uint16)
+        bits = np.zeros(lanes, np.int64)
+        window, window_at = raw
+        cands = np.zeros((4, lanes), np.int32)
     # a table entry is an id and, in its low two bits, the confidence in it
-    t2, t1 = np.zeros(lanes * _T2, np.int32), np.zeros(lanes * _T1, np.int32)
-    base2, base1 = every * _T2, every * _T1
-    p0, k0 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-    # a row of four or eight 16-bit numbers moves as one item
-    a = np.tile(np.array([1024, 1024, 512, 1536], np.int16), lanes * 32).view(np.int64)
-    b = np.tile(np.array([1024, 1024, 512, 1536], np.int16), lanes * 16).view(np.int64)
-    rows_a, rows_b = every * 32, every * 16
-    weight = np.full(lanes, 128, np.int32)
-    upper = np.tile(np.arange(8, dtype=np.int16) * 512, lanes).view(np.complex128)
-    middle = np.tile(np.arange(8, dtype=np.int16) * 512, lanes * 8).view(np.complex128)
-    before, last, last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    cum = np.zeros((lanes, 5), np.int32)
-    cum[:, 4] = 4096
-    flat5 = every * 5
-
-    def classes(which: np.ndarray, table: np.ndarray, row: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        bound = table[row].view(np.int16).reshape(-1, 8)
-        if symbol is None:
-            symbol = (bound[:, 1:] <= c.take(which, 12)[:, None]).sum(axis=1)
-        i = np.arange(len(which)) * 8 + symbol
-        start = bound.ravel()[i].astype(np.int32)
-        end = bound.ravel()[np.minimum(i + 1, bound.size - 1)].astype(np.int32)
-        end[symbol == 7] = 4096
-        c.code(which, start, end - start, 12)
-        table[row] = (bound + ((_TARGET[symbol] - bound) >> 4)).view(np.complex128).ravel()
-        return symbol
-
+    table = np.zeros(lanes * (_T2 + _T1), np.int32)
+    base = np.stack([every * _T2, lanes * _T2 + every * _T1])
+    # of every lane, two words for each context of either model
+    counts = np.full(lanes * 80, 256 * int(_ONES), np.uint64)
+    rows = np.stack([every * 32, lanes * 32 + every * 8])
+    where = np.zeros((2, lanes), np.int64)
+    ctx = np.zeros((2, 2, lanes), np.int64)
+    weight = np.full(lanes, 8, np.uint64)
+    p0, k0 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int8)
+    mixed1, last1 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    event = np.zeros(lanes, np.int64)
+    n4, n16, one, most = np.uint64(4), np.uint64(16), np.uint64(1), np.uint64(15)
+    place = np.concatenate([np.arange(4), half + np.arange(4)])
     for t in range(BLOCK):
-        i2 = base2 + (((last2 * 40503 + last * 30011) >> 4) & (_T2 - 1))
-        i1 = base1 + (((last * 40503) >> 5) & (_T1 - 1))
-        g2, g1 = t2[i2], t1[i1]
-        p2, m2, p1, m1 = g2 >> 2, g2 & 3, g1 >> 2, g1 & 3
-        ia, ib = rows_a + (m2 * 8 + m1 * 2 + (p1 == p2)), rows_b + before
-        pa_, pb = a[ia].view(np.int16).reshape(-1, 4), b[ib].view(np.int16).reshape(-1, 4)
-        pb32 = pb.astype(np.int32)
-        mixed = pb32 + (((pa_ - pb32) * weight[:, None]) >> 8)
-        cum[:, 1] = mixed[:, 0]
-        np.add(cum[:, 1], mixed[:, 1], out=cum[:, 2])
-        np.add(cum[:, 2], mixed[:, 2], out=cum[:, 3])
-        if source is not None:
-            x = source[t]
-            event = np.full(lanes, 3)
+        np.bitwise_and((last1 + mixed1) >> 4, _T2 - 1, out=where[0])
+        np.bitwise_and(last1 >> 5, _T1 - 1, out=where[1])
+        where += base
+        old = table.take(where)
+        guess, sure = old >> 2, old & 3
+        at = sure[0] * 8
+        at += sure[1] * 2
+        at += guess[0] == guess[1]
+        np.add(rows[0], at, out=ctx[0, 0])
+        np.add(rows[1], event, out=ctx[0, 1])
+        np.add(ctx[0], lanes * 40, out=ctx[1])
+        row = counts.take(ctx)
+        mix = row[:, 0] * weight
+        mix += row[:, 1] * (n16 - weight)
+        cum = mix * _ONES
+        first = cum << n16
+        first[1] += (cum[0] >> _TOP) * _ONES
+        c.divide()
+        if encoding:
+            x = source[t].astype(np.int32)
+            event = _CLASS.take(x)
             event[x == p0] = 2
-            event[x == p1] = 1
-            event[x == p2] = 0
+            hit = guess == x
+            event[hit[1]] = 1
+            event[hit[0]] = 0
+            events[t] = event
         else:
-            v = c.take(None, 12)
-            event = (cum[:, 1] <= v).astype(np.int64)
-            event += cum[:, 2] <= v
-            event += cum[:, 3] <= v
-            x = np.where(event == 0, p2, np.where(event == 1, p1, p0))
-        i = flat5 + event
-        start = cum.ravel()[i]
-        c.code(None, start, cum.ravel()[i + 1] - start, 12)
-        which = np.flatnonzero(event == 3)
-        if len(which):
-            y = x[which] if source is not None else None
-            hi = classes(which, upper, which, None if y is None else y >> 13)
-            mid = classes(which, middle, which * 8 + hi, None if y is None else (y >> 10) & 7)
-            low = c.take(which, 10) if y is None else y & 1023
-            if y is None:
-                x[which] = (hi << 13) | (mid << 10) | low
-            c.code(which, low, None, 10)
-        if out is not None:
+            v = c.place() * _ONES | _HIGH
+            event = np.bitwise_count((v - first) & _HIGH).sum(axis=0, dtype=np.int64) - 1
+            w = _WIDTH.take(event)
+            cands[0], cands[1], cands[2] = guess[0], guess[1], p0
+            cands[3] = (window.take(window_at + (bits >> 3)) >> (32 - w - (bits & 7))) & ((1 << w) - 1)
+            cands[3] += _FLOOR.take(event)
+            bits += w
+            x = cands.ravel().take(np.minimum(event, 3) * lanes + every)
             out[t] = x
-        # the models learn from what happened
-        i = flat4 + event
-        weight += np.sign(pa_.ravel()[i] - pb.ravel()[i]) * 4
-        np.clip(weight, 16, 240, out=weight)
-        target = _EVENT[event]
-        for table, row, old in ((a, ia, pa_), (b, ib, pb)):
-            new = old + ((target - old) >> 4)
-            new[:, 3] = 4096 - new[:, 0] - new[:, 1] - new[:, 2]
-            table[row] = new.view(np.int64).ravel()
-        for table, row, old, guess, m in ((t2, i2, g2, p2, m2), (t1, i1, g1, p1, m1)):
             hit = guess == x
-            table[row] = np.where(hit, old + (m < 3), np.where(m > 0, old - 1, x << 2))
-        k0 += np.where(p0 == x, 1, -1).astype(np.int32)
-        lost = k0 < 0
-        p0 = np.where(lost, x, p0)
-        k0[lost] = 1
-        before = (before & 3) * 4 + event
-        last2, last = last, x.astype(np.int64)
-    return c.finish() if out is None else out.T
+        at = place.take(event) + every4
+        c.code(first.view(np.uint16).ravel().take(at).astype(np.uint64), mix.view(np.uint16).ravel().take(at).astype(np.uint64))
+        # the models learn from what happened
+        a, b = row[:, 0].ravel().view(np.uint16).take(at), row[:, 1].ravel().view(np.uint16).take(at)
+        weight += a > b
+        weight -= a < b
+        np.minimum(np.maximum(weight, one), most, out=weight)
+        lost = (row >> n4) & _DECAY
+        row -= lost
+        total = ((lost[0] + lost[1]) * _ONES) >> _TOP
+        row[0] += total * _ADD[0].take(event)
+        row[1] += total * _ADD[1].take(event)
+        counts[ctx] = row
+        state = hit * np.int32(4)
+        state += sure
+        old += _DELTA.take(state)
+        np.copyto(old, x << 2, where=state == 0)
+        table[where] = old
+        same = p0 == x
+        k0 += same
+        k0 -= ~same
+        gone = k0 < 0
+        np.copyto(p0, x, where=gone)
+        np.copyto(k0, 1, where=gone)
+        np.minimum(k0, 100, out=k0)
+        mixed1 = last1 * 3
+        last1 = x.astype(np.int64) * 40503
+    return (c.finish(), events.T) if encoding else out.T
+
+
+def _plain(ids: np.ndarray, events: np.ndarray) -> list[bytes]:
+    """The plain bits of each lane, from the top of 32-bit words."""
+    out = []
+    for a in range(0, len(ids), 64):
+        e = events[a : a + 64]
+        w = _WIDTH[e].astype(np.int64)
+        end = np.cumsum(w, axis=1)
+        base = np.concatenate([[0], np.cumsum(-(-end[:, -1] // 32))])
+        start, some = end - w, w > 0
+        word = (base[:-1, None] + (start >> 5))[some]
+        x = (ids[a : a + 64].astype(np.int32) - _FLOOR[e])[some].astype(np.uint64) << (64 - w - (start & 31))[some].astype(np.uint64)
+        n = int(base[-1])
+        # bits of different ids never overlap, so sums are unions
+        total = np.bincount(word, (x >> np.uint64(32)).astype(np.float64), n) + np.bincount(word + 1, (x & np.uint64(0xFFFFFFFF)).astype(np.float64), n + 1)[:n]
+        flat = total.astype(np.uint32).astype(">u4")
+        out += [flat[base[i] : base[i + 1]].tobytes() for i in range(len(e))]
+    return out
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The coded words of each block of ``ids`` (the last one is filled up with zeros)."""
+    """Each block of ``ids`` (the last one is filled up with zeros): number of coded words, these, the plain bits."""
     n = -(-len(ids) // BLOCK)
-    full = np.zeros(n * BLOCK, np.int64)
+    if not n:
+        return []
+    full = np.zeros(n * BLOCK, np.uint16)
     full[: len(ids)] = ids
-    return _run(n, full.reshape(n, BLOCK), None) if n else []
+    full = full.reshape(n, BLOCK)
+    words, events = _walk(n, full, None, None)
+    return [len(w).to_bytes(2, "little") + w.astype("<u2").tobytes() + r for w, r in zip(words, _plain(full, events))]
 
 
 def decode_blocks(coded: list[bytes]) -> np.ndarray:
     """(block, BLOCK) ids."""
-    width = max(len(x) for x in coded) // 2 + 2
-    words = np.zeros((len(coded), width), np.uint16)
-    for i, x in enumerate(coded):
-        words[i, : len(x) // 2] = np.frombuffer(x, "<u2")
-    return _run(len(coded), None, words)
+    sizes = [int.from_bytes(x[:2], "little") for x in coded]
+    if any(len(x) < 2 + 2 * s for x, s in zip(coded, sizes)):
+        raise ValueError("a token block is damaged")
+    words = np.zeros((len(coded), max(sizes) + 4), np.uint16)
+    width = max(len(x) - 2 - 2 * s for x, s in zip(coded, sizes)) + 8
+    raw = np.zeros((len(coded), width), np.uint8)
+    for i, (x, s) in enumerate(zip(coded, sizes)):
+        words[i, :s] = np.frombuffer(x, "<u2", s, 2)
+        body = np.frombuffer(x, np.uint8, -1, 2 + 2 * s)
+        raw[i, : len(body)] = body
+    each = raw.ravel()
+    window = each.astype(np.uint32)
+    for k in (1, 2, 3):
+        window <<= np.uint32(8)
+        window[:-k] |= each[k:]
+    return _walk(len(coded), None, words, (window, np.arange(len(coded)) * width))
 
 
 _PIECE = np.dtype([("place", "<i8"), ("doc", "<i8"), ("null", "u1"), ("ends", "u1"), ("piece", "<u4"), ("n", "<u4")])
@@ -230,46 +275,77 @@ def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
     return pieces, data[12 + pieces.nbytes : -4]
 
 
-# fixed values: marks that often end a word
-_MARKS = (b",", b".")
-_TOKENIZERS: dict[str, tuple] = {}
+# fixed values: lower-case letters, numbers and blanks below U+0100, and the endings that the vocabulary's pattern cuts off
+_LETTER, _NUMBER, _BLANK = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+#: The vocabulary's own cuts, for lower-case text below U+0100.
+_LATIN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
+#: Strings the library is asked at once, joined by blanks.
+_ASKED = 2000
+_TOKENIZERS: dict[str, "_Words"] = {}
 
 
-def _tokenizer(path: str):
-    """The library's tokenizer, and the ids of what stands between ASCII blanks, which no token of this kind crosses."""
-    if path not in _TOKENIZERS:
-        import os
+class _Words:
+    """The library's tokenizer, the ids of what it was asked, and which ids end what its pattern cut."""
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        self.library = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(1 << 16, bool)
+        for word, i in self.library.get_vocab().items():
+            self.ends[i] = word.endswith("</w>")
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def learn(self, parts: set[str]) -> None:
+        new = [p for p in parts if p not in self.known]
+        if len(self.known) + len(new) > MOST_CACHED:
+            self.known.clear()
+            new = list(parts)
+        for a in range(0, len(new), _ASKED):
+            asked = new[a : a + _ASKED]
+            ids = np.array(self.library.encode(" ".join(asked), add_special_tokens=False).ids, "<u2")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(asked) and stops[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for p, e in zip(asked, stops):
+                    self.known[p] = raw[2 * at : 2 * e]
+                    at = e
+            else:  # some part that the library cuts further
+                for p in asked:
+                    self.known[p] = self.encode(p)
+
+
+def _words(path: str) -> _Words:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = _Words(path)
     return _TOKENIZERS[path]
 
 
-def token_ids(text: str, path: str) -> bytes:
-    """Ids as little-endian unsigned 16-bit integers, without the end id."""
-    tok, cache = _tokenizer(path)
-    parts = text.encode().split()
+def _cuts(text: str) -> list[str] | None:
     try:
-        return b"".join(map(cache.__getitem__, parts))
-    except KeyError:
-        pass
-    new = {p for p in parts if p not in cache}
-    if len(cache) + 2 * len(new) > MOST_CACHED:
-        cache.clear()
-        new = set(parts)
-    # the tokenizer lower-cases, and a mark after an ASCII letter is a token of its own
-    bare = {p: p[:-1].lower() if p[-1:] in _MARKS and p[:-1].isalpha() else p.lower() if p.isalpha() else p for p in new}
-    ask = list({x for x in bare.values() if x not in cache} | {m for m in _MARKS if m not in cache})
-    for p, e in zip(ask, tok.encode_batch_fast([p.decode() for p in ask], add_special_tokens=False)):
-        cache[p] = np.array(e.ids, "<u2").tobytes()
-    for p, x in bare.items():
-        cache[p] = cache[x] + cache[p[-1:]] if len(x) < len(p) else cache[x]
-    return b"".join(map(cache.__getitem__, parts))
+        if not text.isascii():
+            text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if "<|" in text else _LATIN.findall(text.lower())
+
+
+def token_ids(texts: list[str], path: str) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 16-bit integers, without the end id.
+
+    Text below U+0100 is in normal form and lower-cases letter by letter, so its cuts are looked up; other text, and text that may hold the
+    name of a special token, is left to the library as a whole."""
+    w, cuts = _words(path), [_cuts(t) for t in texts]
+    w.learn(set().union(*(c for c in cuts if c is not None)))
+    return [w.encode(t) if c is None else b"".join(map(w.known.__getitem__, c)) for t, c in zip(texts, cuts)]
 
 
 def _write(path: str):
+    @tidy
     def run(batches):
         part, block, place = TaskContext.get().partitionId(), 0, 0
         held, pieces, have = [], [], 0
@@ -305,8 +381,8 @@ def _write(path: str):
 
         for whole in batches:
             for b in slices(whole):
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ids = token_ids(text, path) + end
+                for doc, ids in zip(b.column(0).to_pylist(), token_ids(b.column(1).to_pylist(), path)):
+                    ids += end
                     held.append(ids)
                     pieces.append((place, doc or 0, doc is None, 1, 0, len(ids) // 2))
                     place += 1
@@ -319,6 +395,7 @@ def _write(path: str):
     return run
 
 
+@tidy
 def _read(batches):
     held = []
 
