@@ -5,18 +5,21 @@ many times the input, so each ``length``-byte string is represented by the suffi
 (leftmost of ties): equal strings choose the same suffix, one of about sixteen bytes starts one, and consecutive strings that
 choose the same suffix form a run.
 
-1. Suffixes are range-partitioned by their leading ``LEAD`` bytes at splitters from a sample. Within a task equal runs are merged before
-   they are sent: all but those of the smallest doc_id are repeats already, so a passage that many documents share costs one
-   record a task. Buckets sort (suffix, run, doc_id): a run with a smaller doc_id before it is repeated as a whole.
+1. Suffixes are range-partitioned by their leading ``LEAD`` bytes at splitters from a sample; equal leading bytes never straddle a splitter, so
+   suffixes across a boundary differ. Within a task equal runs are merged before they are sent: all but those of the smallest doc_id are
+   repeats already, so a passage that many documents share costs one record a task. Each bucket sorts its suffixes by multikey quicksort: eight
+   leading bytes a key, ties refined by the next eight and then by hashes of ``GRAM`` bytes and of the run. Neighbours are compared: a run that is
+   equal to one of a smaller doc_id is repeated as a whole.
 2. Suffixes that start different runs in several documents may share some of their strings only. These runs are sent with their bytes,
-   partitioned the same way, and each bucket sorts the strings by multikey quicksort (eight bytes a key, ties refined by the next
-   key) and compares neighbours. Equal leading bytes never straddle a splitter, so neighbours across a boundary differ.
+   partitioned the same way, and each bucket sorts the strings by multikey quicksort over all their bytes and compares neighbours.
 3. Removed strings return to their documents, which are read once more for what is left.
 
-Nothing depends on a hash alone but the run comparison of step 1 (48 bits of suffix and 40 bits of run must agree).
+The number of buckets and of document groups follows the bytes of text, so a task's memory doesn't grow with the corpus. Nothing depends on a hash alone
+but the run comparison of step 1 (16 leading bytes, 16 bits of the suffix's hash and 40 bits of the run's must agree).
 
-Defined cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; a null doc_id is smaller than all others; rows
-of one doc_id never remove from each other; equal rows get equal results; an empty table stays empty.
+Defined cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; a null doc_id is smaller than all others (it is the
+smallest long, should that be an id); rows of one doc_id never remove from each other, and are told apart by 32 bits of a hash of their text; equal rows get equal
+results; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,11 +35,13 @@ from .common import _BASE, _BASE_INV, _TABLE, _powers, mix64, slices, stash, tex
 
 LENGTH, GRAM, LEAD = 50, 20, 16
 #: Documents that a sample for splitters reads at most, and splitters a bucket is chosen from.
-MOST_SAMPLED, PER_BUCKET = 4_000, 50
-_DOC = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("first", "<u4")])
-_RUN = np.dtype([("key", "u1", 6), ("run", "u1", 5), ("serial", "u1", 3)])
-_PART = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("q", "<u4"), ("n", "u1"), ("off", "u1"), ("key", "<u8")])
-_BACK = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("kind", "u1")])
+MOST_SAMPLED, PER_BUCKET, MOST_BUCKETS = 4_000, 50, 20_000
+#: Bytes of text for each bucket and each group of documents.
+BUCKET_BYTES, HOME_BYTES = 16 << 20, 16 << 20
+_DOC = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("first", "<u4")])
+_RUN = np.dtype([("lead", f"S{LEAD}"), ("key", "<u2"), ("run", "u1", 5), ("serial", "u1", 3)])
+_PART = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("q", "<u4"), ("n", "u1"), ("off", "u1"), ("key", "<u8")])
+_BACK = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("at", "<u4"), ("kind", "u1")])
 #: Kinds of returned rows: a run that is repeated and one to compare, both by number in the document; a repeated string, by place.
 _GONE, _OPEN, _STRING = range(3)
 
@@ -141,7 +146,7 @@ def _send(splits: np.ndarray, homes: int, length: int):
                 if not len(s.at):
                     continue
                 docs = _ids(b.column(0))
-                tags = np.array(b.column(1).to_pylist(), np.int64).astype(np.uint64).astype(np.uint16)
+                tags = np.array(b.column(1).to_pylist(), np.int64).astype(np.uint64).astype(np.uint32)
                 run_, doc = s.runs(), docs[s.doc]
                 order = np.lexsort((doc, run_, s.key))
                 k, r, d = s.key[order], run_[order], doc[order]
@@ -155,16 +160,17 @@ def _send(splits: np.ndarray, homes: int, length: int):
                     back["at"], back["kind"] = gone - np.searchsorted(s.doc, s.doc[gone]), _GONE
                     yield from _returns(back, homes, -1)
                 kept = np.sort(order[d == smallest])
-                bucket = np.searchsorted(splits, s.leads(kept), "right")
+                lead = s.leads(kept)
+                bucket = np.searchsorted(splits, lead, "right")
                 by = np.argsort(bucket, kind="stable")
-                kept, bucket = kept[by], bucket[by]
+                kept, bucket, lead = kept[by], bucket[by], lead[by]
                 ends = np.flatnonzero(np.diff(bucket, append=-1)) + 1
                 first = np.searchsorted(s.doc, np.arange(len(docs)))  # of each document, the number of its first suffix
                 names, blobs = [], []
                 for a, e in zip(np.concatenate([[0], ends[:-1]]), ends):
                     some = kept[a:e]
                     rows = np.zeros(len(some), _RUN)
-                    rows["key"], rows["run"], rows["serial"] = _bytes(s.key[some], 6), _bytes(run_[some], 5), _bytes(some, 3)
+                    rows["lead"], rows["key"], rows["run"], rows["serial"] = lead[a:e], s.key[some] >> np.uint64(48), _bytes(run_[some], 5), _bytes(some, 3)
                     of = np.unique(s.doc[some])
                     table = np.zeros(len(of), _DOC)
                     table["doc"], table["tag"], table["first"] = docs[of], tags[of], first[of]
@@ -193,7 +199,7 @@ def _settle(homes: int):
         kinds, blobs = table["kind"].to_pylist(), table["data"].to_pylist()
         passed = b"".join(x for x, k in zip(blobs, kinds) if k == -1)
         out = [_out([key[0].as_py()], [0], [passed])] if passed else []
-        docs, tags, serials, keys, runs = [], [], [], [], []
+        docs, tags, serials, keys = [], [], [], []
         for x, k in zip(blobs, kinds):
             if k == 0:
                 t, rows = _unblob(x)
@@ -202,18 +208,17 @@ def _settle(homes: int):
                 docs.append(t["doc"][i])
                 tags.append(t["tag"][i])
                 serials.append(serial - t["first"][i])
-                keys.append(_number(rows["key"]))
-                runs.append(_number(rows["run"]))
+                lead = np.ascontiguousarray(rows["lead"]).view(">u8").reshape(-1, LEAD // 8).astype(np.uint64)
+                keys.append(np.column_stack([lead, rows["key"].astype(np.uint64), _number(rows["run"])]))
         if docs:
-            d, t, s, k, r = map(np.concatenate, (docs, tags, serials, keys, runs))
-            order = np.lexsort((d, r, k))
-            d, t, s, k, r = d[order], t[order], s[order], k[order], r[order]
-            place = np.arange(len(d))
+            d, t, s, k = map(np.concatenate, (docs, tags, serials, keys))
+            order, new = multikey_order(k)
+            d, t, s, k = d[order], t[order], s[order], k[order]
+            runs = np.flatnonzero(new)
+            smallest = np.minimum.reduceat(d, runs)[np.cumsum(new) - 1]
+            gone = d > smallest
             new_key = np.ones(len(d), bool)
-            new_key[1:] = k[1:] != k[:-1]
-            new = new_key.copy()
-            new[1:] |= r[1:] != r[:-1]
-            gone = d > d[np.maximum.accumulate(np.where(new, place, 0))]
+            new_key[1:] = (k[1:, :-1] != k[:-1, :-1]).any(axis=1)
             # of each suffix: several runs, several documents
             group = np.cumsum(new_key) - 1
             starts = np.flatnonzero(new_key)
@@ -230,7 +235,7 @@ def _settle(homes: int):
 def _matched(docs: pa.Table, rows: pa.Table, kinds: tuple[int, ...]):
     """Each document with its returned rows: (position, places or numbers by kind)."""
     ids = _ids(docs["doc_id"])
-    tags = np.array(docs["tag"].to_pylist(), np.int64).astype(np.uint64).astype(np.uint16)
+    tags = np.array(docs["tag"].to_pylist(), np.int64).astype(np.uint64).astype(np.uint32)
     back = np.frombuffer(b"".join(rows["data"].to_pylist()), _BACK)
     back = back[np.isin(back["kind"], kinds)]
     back = back[np.lexsort((back["tag"], back["doc"]))]
@@ -248,7 +253,7 @@ def _contents(splits: np.ndarray, length: int):
         out, parts, bodies, leads = [], [], [], []
         if rows.num_rows:
             ids = _ids(docs["doc_id"])
-            tags = np.array(docs["tag"].to_pylist(), np.int64).astype(np.uint64).astype(np.uint16)
+            tags = np.array(docs["tag"].to_pylist(), np.int64).astype(np.uint64).astype(np.uint32)
             for i, some in _matched(docs, rows, (_OPEN,)):
                 if not some:
                     continue
@@ -358,30 +363,37 @@ def _finish(length: int, texts: bool):
     return run
 
 
-def _sample(length: int):
+def _sample(length: int, share: float):
+    """Leading bytes of suffixes, each kept by a hash with probability ``share``."""
+
+    @tidy
     def run(batches):
-        for b in batches:
-            leads = np.unique(Suffixes(b.column(0).to_pylist(), length).leads())
-            yield pa.RecordBatch.from_arrays([pa.array([bytes(x) for x in leads[:: max(1, len(leads) // 2000)]], pa.binary())], names=["lead"])
+        for whole in batches:
+            for b in slices(whole, column=0):
+                found = Suffixes(b.column(0).to_pylist(), length)
+                leads = np.unique(found.leads()[(found.key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(np.float64) < share * 2**53])
+                yield pa.RecordBatch.from_arrays([pa.array([bytes(x) for x in leads], pa.binary())], names=["lead"])
 
     return run
 
 
-def splitters(docs: DataFrame, buckets: int, length: int) -> np.ndarray:
-    """Leading bytes that part the suffixes of a sample evenly."""
-    n = docs.count()
-    every = max(1, n // MOST_SAMPLED)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    leads = np.array(sorted(bytes(r[0]) for r in some.mapInArrow(_sample(length), "lead binary").orderBy(F.xxhash64("lead")).limit(buckets * PER_BUCKET).collect()), f"S{LEAD}")
+def splitters(docs: DataFrame, n: int, buckets: int, length: int) -> np.ndarray:
+    """Leading bytes that part the suffixes of a sample evenly: about ``buckets * PER_BUCKET`` of them come to the driver, 16 bytes each."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // MOST_SAMPLED))) == 0).select("text")
+    size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = min(1.0, buckets * PER_BUCKET * (length - GRAM + 2) / 2 / max(1, size))
+    leads = np.array(sorted(bytes(r[0]) for r in some.mapInArrow(_sample(length, share), "lead binary").distinct().collect()), f"S{LEAD}")
     return np.unique(leads[[len(leads) * i // buckets for i in range(1, buckets)]]) if len(leads) else leads
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, buckets: int | None = None, texts: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs(doc_id, text); kept only if ``texts``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets, homes = buckets or 2 * parts, (buckets or parts) | 1
     d = docs.select("doc_id", text_or_empty().alias("text"))
-    splits = splitters(d, buckets, length)
+    n, size = d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    homes = max(parts, size // HOME_BYTES) | 1
+    buckets = buckets or min(MOST_BUCKETS, max(2 * parts, size // BUCKET_BYTES))
+    splits = splitters(d, n, buckets, length)
     d = d.select("doc_id", F.xxhash64("text").alias("tag"), "text", _homes(homes).alias("home"))
     sent = d.select("doc_id", "tag", "text").mapInArrow(_send(splits, homes, length), "bucket int, kind int, data binary")
     shape = "bucket int, kind int, data binary"
