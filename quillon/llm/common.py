@@ -92,17 +92,16 @@ def unit_hash(*cols: Column) -> Column:
     return (h.cast("double") + 1) / F.lit(4294967297.0)
 
 
-def bucketed_prefix_sum(df: DataFrame, group: list[str], unit: str, order: list[Column], size: str, buckets: str, out: str) -> DataFrame:
+def bucketed_prefix_sum(df: DataFrame, group: list[str], piece: Column, order: list[Column], size: str, out: str) -> DataFrame:
     """Sum of ``size`` over the rows that precede each row of its group, without putting a group in one task.
 
-    ``unit`` is a column in [0, 1) that is monotone in ``order``; it cuts each group into ``buckets`` (a column)
-    ordered pieces. Pieces are summed first, their offsets are a window over pieces, and rows are only
+    ``piece`` is a whole number that never falls in ``order``. Pieces are summed first, their offsets are a window over pieces, and rows are only
     ordered within a piece.
     """
     from pyspark.sql import Window
 
     keys = [*group, "_q_piece"]
-    df = df.withColumn("_q_piece", F.least(F.floor(F.col(unit) * F.col(buckets)), F.col(buckets) - 1).cast("long"))
+    df = df.withColumn("_q_piece", piece.cast("long"))
     pieces = df.groupBy(*keys).agg(F.sum(size).alias("_q_sum"))
     renamed = {k: f"_q_k{i}" for i, k in enumerate(keys)}
     pieces = pieces.select(*[F.col(k).alias(v) for k, v in renamed.items()], F.coalesce(F.sum("_q_sum").over(

@@ -5,18 +5,24 @@ better documents tend to come first. A source's target is ``share`` of all words
 stop at ``most`` times the source's size and the excess goes to the others by weight. Complete epochs come first; what
 is left of the target is filled by documents in key order while at least half of a document still fits.
 
+A source is never ordered in one task. The logarithm of a key is a Gumbel variable shifted by the quality's, whose density is at most 1/e whatever
+the qualities are: pieces of it of one width hold at most ``ROWS_PER_PIECE`` rows each on average.
+
 Defined cases: null or blank text has size 0 and is never taken; a null source is a source of its own and comes last;
-a null doc_id is hashed as such; repeated rows each count; an empty table gives an empty result.
+a null doc_id is hashed as such; repeated rows each count; an empty table gives an empty result. Columns of the table whose names begin
+with ``_q_`` are not allowed in ``mix`` and ``stage``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed_prefix_sum, text_or_empty, unit_hash, word_count
+from .common import bucketed_prefix_sum, stash, text_or_empty, unit_hash, word_count
 
-#: Rows of one source that are ordered in one task.
+#: Rows of one source that are ordered in one task, at most, on average.
 ROWS_PER_PIECE = 2_000
 
 
@@ -50,27 +56,37 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, quality: Column | None = None) -> DataFrame:
     """``docs`` with _q_size, _q_source_size, _q_target and _q_copies (times the mix takes the document)."""
+    if any(c.startswith("_q_") for c in docs.columns):
+        raise ValueError("columns that begin with _q_ are this operator's own")
     text = text_or_empty()
     d = docs.withColumn("_q_size", word_count(text)).withColumn("_q_quality", quality if quality is not None else default_quality(text))
+    return _taken(d, weights, share, most)
+
+
+def _taken(d: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """``mix`` for rows that have _q_size and _q_quality."""
     d = d.withColumn("_q_key", -F.log(unit_hash(F.col("doc_id"))) / F.col("_q_quality"))
-    stats = docs.select(F.col("source").alias("_q_source"), word_count(text).alias("_q_size")).groupBy("_q_source").agg(F.count(F.lit(1)).alias("_q_n"), F.sum("_q_size").alias("_q_total"))
+    stats = d.select(F.col("source").alias("_q_source"), "_q_size").groupBy("_q_source").agg(F.count(F.lit(1)).alias("_q_n"), F.sum("_q_size").alias("_q_total"))
     t = targets(stats, weights, share, most)
     d = d.join(t, d["source"].eqNullSafe(t["_q_source"]))
-    d = d.withColumn("_q_unit", 1 - F.exp(-F.col("_q_key"))).withColumn("_q_pieces", F.ceil(F.col("_q_n") / ROWS_PER_PIECE))
+    piece = F.floor(F.log("_q_key") * F.col("_q_n") / (ROWS_PER_PIECE * math.e))
     order = [F.col("_q_key"), F.col("doc_id").asc_nulls_first(), F.col("_q_size")]
-    d = bucketed_prefix_sum(d, ["_q_source"], "_q_unit", order, "_q_size", "_q_pieces", "_q_before_words")
+    d = bucketed_prefix_sum(d, ["_q_source"], piece, order, "_q_size", "_q_before_words")
     epochs = F.when(F.col("_q_total") > 0, F.floor(F.col("_q_target") / F.col("_q_total"))).otherwise(F.lit(0))
     left = F.col("_q_target") - epochs * F.col("_q_total")
     extra = (F.col("_q_before_words") + F.col("_q_size") / 2 <= left) & (epochs < most)
     return (
         d.withColumn("_q_copies", F.when(F.col("_q_size") > 0, epochs + extra.cast("int")).otherwise(0).cast("long"))
         .withColumnRenamed("_q_total", "_q_source_size")
-        .drop("_q_source", "_q_n", "_q_quality", "_q_key", "_q_unit", "_q_pieces", "_q_before_words")
+        .drop("_q_source", "_q_n", "_q_quality", "_q_key", "_q_before_words")
     )
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    m = mix(docs.select("doc_id", "source", "text"))
+    """What the mix takes of each row; the text is read once, for its size and quality."""
+    text = text_or_empty()
+    narrow = stash(docs.select("doc_id", "source", word_count(text).alias("_q_size"), default_quality(text).alias("_q_quality")), "sizes")
+    m = _taken(narrow)
     return m.select("doc_id", F.col("_q_size").alias("size"), F.col("_q_source_size").alias("source_size"), F.col("_q_target").alias("target"), (F.col("_q_size") * F.col("_q_copies")).alias("taken"))
 
 

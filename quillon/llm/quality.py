@@ -15,7 +15,8 @@ a document's weight falls by ``LENGTH`` times what its toxicity is above the bou
 Raw counts cover every document. The target and toxic models are fitted on at most ``MOST_LABELS`` labelled rows (those whose doc_id hashes lowest), the only bound.
 
 Defined cases: null or blank text has weight 0; documents without labels are fine; with no good or no bad labels everything is kept; documents tied
-at the last place all stay; repeated rows are judged alike; null ids share one noise value; an empty table stays empty.
+at the last place all stay; repeated rows are judged alike; null ids share one noise value; an empty table stays empty; of labelled texts with the same
+id one counts. Columns of the table whose names begin with ``_q_`` are not allowed.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ TOXIC_BUCKETS, STRONGEST, LEAST_TOXIC = 1 << 18, 3, 3
 #: What a labelled row is: of the target (good, clean), toxic, or clean but bad.
 TARGET, TOXIC, BAD = 1, 2, 3
 #: Doubles that may be collected at the end of a rank search.
-MOST_COLLECTED = 10_000
+MOST_COLLECTED, SLICES = 10_000, 4_096
 
 
 def ngram_buckets(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +101,7 @@ def toxic_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: f
 
 
 def toxic_bound(rows: DataFrame, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> float:
-    """The toxicity that best parts labelled rows(text, kind); each is scored without its own counts."""
+    """The toxicity that best parts labelled rows(doc_id, text, kind); each is scored without its own counts."""
     without = {True: toxic_ratio(toxic - 1, clean, n_toxic - 1, n_clean), False: toxic_ratio(toxic, clean - 1, n_toxic, n_clean - 1)}
 
     @F.pandas_udf("double")
@@ -112,7 +113,8 @@ def toxic_bound(rows: DataFrame, toxic: np.ndarray, clean: np.ndarray, n_toxic:
                 out[at] = toxicity([values[k] for k in at], ratio)
         return pd.Series(out)
 
-    found = rows.select(score("text", "kind").alias("s"), "kind").orderBy("s").limit(2 * MOST_LABELS).toPandas()
+    # a row for each labelled id, MOST_LABELS at most; of texts with the same id the most toxic counts
+    found = rows.select("doc_id", score("text", "kind").alias("s"), "kind").groupBy("doc_id", "kind").agg(F.max("s").alias("s")).orderBy("s").toPandas()
     s, bad = found["s"].to_numpy(), found["kind"].to_numpy() == TOXIC
     good = found["kind"].to_numpy() == TARGET
     # cost of a bound above the i-th smallest toxicity, where equal ones lie on one side
@@ -129,8 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)
     kinds = sample.select(F.col("doc_id").alias("_q_l"), F.when(F.col("toxic") != 0, TOXIC).when(F.col("good") == 1, TARGET).otherwise(BAD).alias("kind"))
     d = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(kinds), F.col("doc_id") == F.col("_q_l"), "left")  # MOST_LABELS ids at most
-    d = d.select(text_or_empty().alias("text"), F.coalesce("kind", F.lit(0)).alias("kind"))
-    total = d.mapInArrow(_counts, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    d = d.select("doc_id", text_or_empty().alias("text"), F.coalesce("kind", F.lit(0)).alias("kind"))
+    total = d.select("text", "kind").mapInArrow(_counts, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     # words in too few toxic rows have no ratio; BUCKETS + TOXIC_BUCKETS + 1 rows at most
     total = total.where((F.col("bucket") < BUCKETS) | (F.col("target") >= LEAST_TOXIC) | (F.col("bucket") == BUCKETS + TOXIC_BUCKETS)).collect()
     raw, target = np.zeros(BUCKETS + TOXIC_BUCKETS + 1), np.zeros(BUCKETS + TOXIC_BUCKETS + 1)
@@ -172,29 +174,31 @@ def log_weight(ratio: np.ndarray, tox_ratio: np.ndarray, bound: float) -> Column
 
 
 def kth_largest(df: DataFrame, col: str, k: int) -> float:
-    """The exact k-th largest value: quantile sketches close in on its rank until few values are left."""
-    df = df.select(col)
-    n = df.count()
+    """The exact k-th largest of finite numbers: the range that holds it is cut into SLICES, until few values are left or all in it are equal."""
+    df = df.select(F.col(col).alias("x"))
+    n, lo, hi = df.agg(F.count("x"), F.min("x"), F.max("x")).first()
     if not n:
         return -math.inf
-    k = min(max(k, 1), n)
-    lo, hi, above, inside = -math.inf, math.inf, 0, n
-    while inside > MOST_COLLECTED:
-        part = df.where(F.col(col).between(lo, hi))
-        p = 1 - (k - above) / inside
-        a, b = part.agg(F.percentile_approx(col, [max(0.0, p - 0.002), min(1.0, p + 0.002)], 5000)).first()[0]
-        gt, ge = df.agg(F.count_if(F.col(col) > b), F.count_if(F.col(col) >= a)).first()
-        if not gt < k <= ge or (a, b) == (lo, hi):
-            return sorted((r[0] for r in part.groupBy(col).count().orderBy(F.desc(col)).limit(1).collect()), reverse=True)[0] if lo == hi else lo
-        if a == b:
-            return a
-        lo, hi, above, inside = a, b, gt, ge - gt
-    left = sorted((r[0] for r in df.where(F.col(col).between(lo, hi)).collect()), reverse=True)  # MOST_COLLECTED values at most
+    k, above = min(max(k, 1), n), 0
+    while n > MOST_COLLECTED and lo < hi:
+        width = (hi - lo) / SLICES
+        at = F.least(F.floor((F.col("x") - lo) / width), F.lit(SLICES - 1)) if width > 0 else (F.col("x") > lo).cast("long")
+        # SLICES rows at most
+        for _, c, low, high in df.where(F.col("x").between(lo, hi)).groupBy(at.alias("at")).agg(F.count(F.lit(1)), F.min("x"), F.max("x")).orderBy(F.desc("at")).collect():
+            if above + c >= k:
+                n, lo, hi = c, low, high
+                break
+            above += c
+    if lo == hi:
+        return lo
+    left = sorted((r[0] for r in df.where(F.col("x").between(lo, hi)).collect()), reverse=True)  # MOST_COLLECTED values at most
     return left[k - above - 1]
 
 
 def weighed(docs: DataFrame, *model) -> DataFrame:
     """``docs`` with _q_w (log weight and words) and _q_key (Gumbel noise added)."""
+    if any(c.startswith("_q_") for c in docs.columns):
+        raise ValueError("columns that begin with _q_ are this operator's own")
     noise = -F.log(-F.log(unit_hash(F.lit("gumbel"), F.col("doc_id"))))
     return docs.withColumn("_q_w", log_weight(*model)).withColumn("_q_key", F.col("_q_w.w") + noise)
 
@@ -202,7 +206,8 @@ def weighed(docs: DataFrame, *model) -> DataFrame:
 def wanted(scored: DataFrame, sample: DataFrame) -> int | None:
     """How many documents to keep, from the labelled rows' weights; None: all."""
     s = sample.select(F.col("doc_id").alias("_q_l"), F.when(F.col("toxic") != 0, 0).otherwise(F.col("good")).alias("good"))
-    rows = scored.join(F.broadcast(s), F.col("doc_id") == F.col("_q_l")).select("_q_s", "good").orderBy("_q_s").limit(2 * MOST_LABELS).toPandas()
+    # a row for each labelled id, MOST_LABELS at most; of texts with the same id the one with the least weight counts
+    rows = scored.join(F.broadcast(s), F.col("doc_id") == F.col("_q_l")).groupBy("doc_id", "good").agg(F.min("_q_s").alias("_q_s")).orderBy("_q_s").toPandas()
     good = rows["good"].fillna(0).to_numpy() == 1
     if good.all() or not good.any():
         return None

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import bpe, fingerprint, html_text, line_dedup, media_ogg, mixing, near_dedup, quality, suffix_dedup, token_store
 from quillon.llm.queries import tokenizer_path
@@ -157,6 +158,19 @@ def test_mixing(docs, none):
     out = mixing.stage(docs)
     assert out.columns == docs.columns and out.count() == sum(r.taken // r.size for r in got if r.size)
     assert mixing.stage(none).count() == mixing.digest(none).count() == 0
+    # repeated rows and ids each count, ties fall by size
+    twice = docs.union(docs.limit(20)).union(docs.limit(1).selectExpr("cast(null as long)", "'a b c'", "lang", "source", "n_chars", "size", "key"))
+    out = mixing.digest(twice).collect()
+    assert len(out) == twice.count() and all(r.taken in (0, r.size, 2 * r.size) for r in out)
+    with pytest.raises(ValueError):
+        mixing.stage(docs.withColumn("_q_size", F.lit(1)))
+
+
+def test_mixing_pieces(spark):
+    # whatever the qualities, no piece holds many more rows than it should
+    d = spark.range(200_000).selectExpr("id as doc_id", "case when id % 3 = 0 then 0.05 else 1.0 end as q")
+    key = d.select((F.log(-F.log(mixing.unit_hash(F.col("doc_id"))) / F.col("q")) * 200_000 / (mixing.ROWS_PER_PIECE * np.e)).alias("t"))
+    assert key.groupBy(F.floor("t")).count().agg(F.max("count")).first()[0] < 1.2 * mixing.ROWS_PER_PIECE
 
 
 def test_quality(spark, none):
@@ -178,6 +192,53 @@ def test_quality(spark, none):
     assert [quality.kth_largest(x, "v", k) for k in (1, 777, 15000, 30000)] == [v[k - 1] for k in (1, 777, 15000, 30000)]
 
 
+def test_quality_by_brute_force(spark):
+    # weights, noise, cut and kept set of the definition, with loops; no toxic labels
+    import math
+
+    r = random.Random(8)
+    word = lambda q: r.choice("alpha beta gamma delta epsilon".split() if r.random() < q else "omega psi chi phi tau".split())
+    data = [(i, " ".join(word(0.9 if i % 5 else 0.2) for _ in range(r.randint(1, 40)))) for i in range(300)] + [(300, ""), (301, None), (7, "omega " * 9)]
+    label = {i: int(i % 5 > 0) for i in range(150)}
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((x.doc_id, round(x.log_weight, 6), x.keep) for x in quality.digest(docs, spark.createDataFrame([(i, q, 0) for i, q in label.items()], "doc_id long, quality int, toxic int")).collect())
+
+    def grams(t):
+        g, _ = quality.ngram_buckets([t or ""])
+        return [x for x in g.ravel().tolist() if x >= 0]
+
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for i, t in data:
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += label.get(i) == 1
+    prior = (raw + 1) / (raw.sum() + quality.BUCKETS)
+    ratio = np.log((target + quality.BUCKETS * prior) / (target.sum() + quality.BUCKETS)) - np.log(prior)
+    rows_ = []
+    for i, t in data:
+        n = len(WORD.findall(t or ""))
+        u = (int(hashlib.md5(f"gumbel|{i}".encode()).hexdigest()[:8], 16) + 1) / 4294967297.0
+        w = 100.0 * sum(ratio[g] for g in grams(t)) / (max(2 * n - 1, 0) + 10.0)
+        rows_.append((i, w, w - math.log(-math.log(u))))
+    least = {i: min(w for j, w, _ in rows_ if j == i) for i in label}
+    order = sorted(least.items(), key=lambda x: x[1])
+    cost = [20 * sum(label[i] for i, _ in order[:c]) + sum(1 - label[i] for i, _ in order[c:]) for c in range(len(order) + 1)]
+    c = cost.index(min(cost))
+    cut = -math.inf if c == 0 else (order[c - 1][1] + order[c][1]) / 2 if c < len(order) else order[-1][1]
+    k = sum(w >= cut for _, w, _ in rows_)
+    bar = sorted((key for *_, key in rows_), reverse=True)[k - 1]
+    assert got == sorted((i, round(w, 6), key >= bar) for i, w, key in rows_)
+    assert 0 < k < len(rows_)
+
+
+def test_kth_largest(spark):
+    for values in ([5.0] * 12000 + [1.0] * 3, [float(x % 3) for x in range(15000)], [math_exp for math_exp in np.exp(np.linspace(-300, 300, 20000))], [1.0, 2.0]):
+        x = spark.createDataFrame([(float(v),) for v in values], "v double")
+        v = sorted(map(float, values), reverse=True)
+        for k in (1, len(v) // 3 + 1, len(v)):
+            assert quality.kth_largest(x, "v", k) == v[k - 1]
+
+
 def test_quality_toxic(spark):
     r = random.Random(4)
     vocab = [f"{a}{b}" for a in "ba co di fu ge".split() for b in "lan mer tis von rud".split()]
