@@ -75,7 +75,8 @@ def join_counted(rows: DataFrame, counted: DataFrame, on: dict[str, str], n: str
     # rows of hot keys find nothing on the other way, and don't travel: they are left out before the shuffle
     keys = counted.where(hot).select(*[F.col(b).alias(f"_q_hot{i}") for i, b in enumerate(on.values())])
     cold = rows.join(F.broadcast(keys), [F.col(a) == F.col(f"_q_hot{i}") for i, a in enumerate(on)], "left_anti")
-    return few.unionByName(cold.join(counted.where(~hot), cond))
+    # both sides grow with the corpus, so this is never a broadcast
+    return few.unionByName(cold.join(counted.where(~hot).hint("merge"), cond))
 
 
 def text_or_empty(c: str | Column = "text") -> Column:

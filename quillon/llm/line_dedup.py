@@ -103,7 +103,7 @@ def dedup(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     """``docs`` with repeats cut from text, and _q_removed lines."""
     gone = repeats(docs, run, words)
     d = docs.withColumn("_q_h0", F.xxhash64(text_or_empty()))
-    d = d.join(gone, d["doc_id"].eqNullSafe(gone["_q_id"]) & (d["_q_h0"] == gone["_q_h"]), "left")
+    d = d.join(gone.hint("merge"), d["doc_id"].eqNullSafe(gone["_q_id"]) & (d["_q_h0"] == gone["_q_h"]), "left")
     d = d.withColumn("_q_out", _without("text", "_q_runs"))
     return d.withColumn("text", F.col("_q_out.text")).withColumn("_q_removed", F.col("_q_out.n_removed")).drop("_q_h0", "_q_id", "_q_h", "_q_runs", "_q_out")
 
