@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 WORDS, BINS, BITS = 5, 128, 8
+#: Bytes of text that one task orders by id, and pieces that the ids are cut into at most (their ends are part of the plan).
+PIECE_BYTES, MOST_PIECES = 32 << 20, 20_000
 
 
 def _steps() -> list[int]:
@@ -82,7 +84,7 @@ def whole(text: str) -> str:
 def neighbours(docs: DataFrame, pieces: int) -> DataFrame:
     """docs(doc_id, text) with _q_next, the next document's text, without one task for all: pieces between sampled
     quantiles of doc_id are ordered separately, and the first row of each piece follows the last of the one before."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / pieces for i in range(1, pieces)], 100 * pieces)).first()[0]
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / pieces for i in range(1, pieces)], min(100 * pieces, 200_000))).first()[0]
     cuts = sorted(set(cuts or []))
     root = max(1, int(len(cuts) ** 0.5))
     if cuts:
@@ -98,8 +100,10 @@ def neighbours(docs: DataFrame, pieces: int) -> DataFrame:
 def compare(docs: DataFrame, pieces: int | None = None) -> DataFrame:
     """The fingerprints of every text and its edited text, and likenesses."""
     spark = docs.sparkSession
-    pieces = pieces or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     d = docs.select(F.col("doc_id"), text_or_empty().alias("text"))
+    if pieces is None:
+        size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        pieces = min(MOST_PIECES, max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // PIECE_BYTES))
     d = neighbours(d, pieces)
     firsts = d.groupBy("_q_p").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("text").alias("t"))).alias("f"))
     firsts = firsts.select(F.col("_q_p").alias("_q_fp"), F.col("f.t").alias("_q_ft"))  # a row for each piece

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import stash, text_or_empty, unstash
 
 UNIT, PACKET, SEGMENTS, RATE = 192, 1536, 64, 8000
 MAGIC, TRACK = b"Q8PCM\x00\x00\x01", b"Q8CRC\x00\x00\x01"
@@ -169,5 +169,8 @@ def feature_column(media: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    d = docs.select("doc_id", store_column(text_or_empty()).alias("media"))
-    return d.select("doc_id", feature_column(F.col("media")).alias("x")).select("doc_id", "x.*")
+    """What the stored files say of each text: they are written as a table, read back, and removed when all are read."""
+    media = stash(docs.select("doc_id", store_column(text_or_empty()).alias("media")), "media")
+    out = stash(media.select("doc_id", feature_column(F.col("media")).alias("x")).select("doc_id", "x.*"), "media-features")
+    unstash(media)
+    return out

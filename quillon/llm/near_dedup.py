@@ -12,8 +12,11 @@
    chunks of at most about ``CHUNK`` rows; a task returns only links that join two components, never pairs.
 4. Components are found by alternating large-star and small-star steps over tables.
 
+Tables in between are removed when their last reader is done, or if a step fails; one narrow table remains.
+
 Defined cases: null, empty and blank texts have no shingle and stay alone; fewer words than a shingle make one shingle; equal doc_ids are one
-node; null doc_ids stay alone and are kept; an empty table stays empty; other columns pass through ``stage``.
+node, which has the exact copies of all its texts and the near copies of one of them; null doc_ids stay alone and are kept; an empty table stays
+empty; other columns pass through ``stage``.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shingle_sets, slices, stash, text_or_empty, tidy, unstash
+from .common import mix64, shingle_sets, slices, text_or_empty, tidy, unstash
+from .common import stash as keep
 
 BANDS, ROWS, BATCH = 32, 6, 32
 MISS, ROUNDS = 1e-6, 3
@@ -165,8 +169,8 @@ def _exact(threshold: float):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b) -> (node, root): the smallest node each node reaches, by large-star and small-star until nothing changes."""
-    e = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    """edges(a, b) -> a written table (node, root): the smallest node each node reaches, by large-star and small-star until nothing changes."""
+    e = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
         both = e.union(e.select("b", "a"))
@@ -176,12 +180,14 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: every neighbour not larger, and the node, go to the smallest
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).distinct()
-        new = stash(small, "edges")
+        new = keep(small, "edges")
         now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         unstash(e)
         e = new
         if now == mark:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._quillon_path = e._quillon_path
+            return out
         mark = now
 
 
@@ -230,6 +236,19 @@ CHUNK = 2_000
 
 def link(docs: DataFrame, words: int, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text)."""
+    made: list[DataFrame] = []
+    try:
+        return _link(docs, words, threshold, made)
+    finally:
+        for x in made:
+            unstash(x)
+
+
+def _link(docs: DataFrame, words: int, threshold: float, made: list[DataFrame]) -> DataFrame:
+    def stash(df: DataFrame, name: str) -> DataFrame:
+        made.append(keep(df, name))
+        return made[-1]
+
     docs = docs.select(F.col("doc_id"), text_or_empty().alias("text"))
     all_rows = stash(docs.mapInArrow(_profile(words), "doc_id long, n long, digest binary, sig binary, bands array<long>"), "profiles")
     sound = all_rows.where("digest is not null and doc_id is not null")
@@ -269,6 +288,7 @@ def link(docs: DataFrame, words: int, threshold: float = 0.8) -> DataFrame:
     # members that are left in a bucket after the last round, against each other
     near = 1 - threshold
     first = components(reduce(DataFrame.union, found))
+    made.append(first)
     far = tested.where(f"not linked and estimate >= {1 - 2 * near - slack(threshold)}").select(F.col("b").alias("g"), F.col("a").alias("doc"), "estimate", F.lit(0).alias("side"))
     close = tested.where("linked").select(F.col("b").alias("g"), F.col("a").alias("doc"), "estimate", F.lit(1).alias("side"))
     close = close.join(far.select(F.col("g").alias("h")).distinct(), F.col("g") == F.col("h"), "left_semi")
@@ -283,8 +303,9 @@ def link(docs: DataFrame, words: int, threshold: float = 0.8) -> DataFrame:
     more = stash(rows.groupBy("kind", "g", "lo", "hi").applyInArrow(_cross(threshold), "a long, b long"), "more")
     if more.limit(1).count():
         first = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        made.append(first)
     out = all_rows.select("doc_id", F.col("n").alias("n_shingles")).join(first, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    return keep(out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")), "components")
 
 
 def digest(docs: DataFrame, words: int = 2, threshold: float = 0.8) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_words, mix64, release, runs_of, slices, stash, text_or_empty, tidy, unit_hash
+from .common import batch_words, mix64, release, runs_of, slices, stash, text_or_empty, tidy, unit_hash, unstash
 
 BUCKETS = 10_000
 SMOOTH = 1.0
@@ -239,5 +239,7 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     *model, sample = fit(docs, labels)
-    bar = threshold(_scored(docs, *model), sample)
+    scored = _scored(docs, *model)
+    bar = threshold(scored, sample)
+    unstash(scored)
     return weighed(docs, *model).where(F.col("_q_key") >= bar).select(*[F.col(f"`{c}`") for c in docs.columns])

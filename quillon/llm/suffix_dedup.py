@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _BASE_INV, _TABLE, _powers, mix64, slices, stash, text_or_empty, tidy
+from .common import _BASE, _BASE_INV, _TABLE, _powers, mix64, slices, stash, text_or_empty, tidy, unstash
 
 LENGTH, GRAM, LEAD = 50, 20, 16
 #: Documents that a sample for splitters reads at most, and splitters a bucket is chosen from.
@@ -387,7 +387,7 @@ def splitters(docs: DataFrame, n: int, buckets: int, length: int) -> np.ndarray:
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, buckets: int | None = None, texts: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs(doc_id, text); kept only if ``texts``."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of docs(doc_id, text), as a written table; kept only if ``texts``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select("doc_id", text_or_empty().alias("text"))
     n, size = d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -402,7 +402,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, buckets: int | None = None, tex
     contents = by_home.cogroup(settled.groupBy("bucket")).applyInArrow(_contents(splits, length), shape)
     compared = contents.groupBy("bucket").applyInArrow(_compare(homes, length), shape)
     back = settled.union(compared)
-    out = by_home.cogroup(back.groupBy("bucket")).applyInArrow(_finish(length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = stash(by_home.cogroup(back.groupBy("bucket")).applyInArrow(_finish(length, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"), "deduplicated")
+    unstash(settled)
     return out
 
 

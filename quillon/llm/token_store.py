@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import slices, stash, text_or_empty, tidy
+from .common import slices, stash, text_or_empty, tidy, unstash
 
 BLOCK, LANES = 2048, 3072
 END = 1
@@ -499,6 +499,7 @@ def read_store(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the blocks alone."""
     pieces = blocks.select("part", "data").mapInArrow(_read, "part int, place long, doc_id long, piece long, n long, crc long")
     docs = pieces.groupBy("part", "place").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("piece", "n", "crc"))).alias("p"))
+    # written before anything else is asked, so the blocks are read once
     docs = stash(docs.select("part", "place", "doc_id", "n_tokens", _joined_crc(F.col("p.n"), F.col("p.crc")).alias("ids_crc32")), "token-documents")
     totals = docs.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     base = totals.select(F.col("part").alias("q"), F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each part
@@ -508,4 +509,8 @@ def read_store(blocks: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
-    return read_store(write_store(docs, path))
+    """What the files of docs say of each document; the files go when they are read."""
+    blocks = write_store(docs, path)
+    out = read_store(blocks)
+    unstash(blocks)
+    return out
