@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import bpe, line_dedup, mixing, near_dedup, quality
-from quillon.llm.common import bounded, stash, table
+from quillon.llm.common import bounded, stash, table, unstash
 from quillon.llm.queries import tokenizer_path
 
 
@@ -42,14 +42,17 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_good), ("line_dedup", cut_repeated_lines), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("byte_bpe", tokenise)]
 
-#: A classifier fitted on hashed n-grams and MinHash components can't be said in SQL; tests hold run() against brute force.
+#: A classifier fitted on hashed n-grams and MinHash components can't be said in SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stash(docs, f"stage-{name}")
+            written = stash(docs, f"stage-{name}")
+            if before is not None:
+                unstash(before)
+            docs = before = written
     return docs
