@@ -456,6 +456,54 @@ def test_near_dedup(spark, none, words):
     assert near_dedup.digest(none).count() == near_dedup.stage(none).count() == 0
 
 
+def test_near_dedup_repeated_ids(spark):
+    r = random.Random(2)
+    text = lambda: " ".join(r.choice("abcdefgh") + str(r.randint(0, 99)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    data = [(1, a), (1, a), (1, b), (2, a + " more"), (3, b), (4, c), (4, c), (None, a), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(((x.doc_id, x.component_id, x.kept) for x in near_dedup.digest(docs).collect()), key=str)
+    assert len(got) == len(data) and {x for x in got if x[0] in (1, 3, 4, None)} == {(1, 1, True), (3, 1, False), (4, 4, True), (None, None, True)}
+    kept = near_dedup.stage(docs, 2).collect()
+    assert sum(x.doc_id == 4 for x in kept) == 2 and sum(x.doc_id is None for x in kept) == 2 and not any(x.doc_id == 3 for x in kept)
+
+
+def test_tables_between_are_removed(spark, docs):
+    import os
+
+    from quillon.llm.common import shared_dir
+
+    where = shared_dir(spark).removeprefix("file://") + "/quillon"
+    before = set(os.listdir(where)) if os.path.isdir(where) else set()
+    near_dedup.digest(docs).count()
+    suffix_dedup.digest(docs).count()
+    line_dedup.digest(docs).count()
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(where)) - before) == ["components", "deduplicated", "repeats"]
+
+
+def test_repeated_rows_and_null_ids(spark):
+    from tokenizers import Tokenizer
+
+    data = [(None, "one two"), (5, "b c d"), (5, "b c d"), (5, "a b"), (None, None), (2, "x " * 30)]
+    docs = spark.createDataFrame([(i, t, 1, "s") for i, t in data], "doc_id long, text string, part int, place string")
+    path = tokenizer_path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    order = sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    start, want = 0, []
+    for i, t in order:
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((tuple(r) for r in token_store.digest(docs, path).collect()), key=str) == sorted(want, key=str)
+    prints = fingerprint.compare(docs).collect()
+    assert len(prints) == len(data) and len({r.fingerprint for r in prints if r.doc_id == 5 and r.n_chars == 5}) == 1
+    import public_tokenizers
+
+    bytes_ = tokenizer_path("byte_bpe_50k.tiktoken")
+    assert sorted(r.n_tokens for r in bpe.digest(docs, bytes_, public_tokenizers.PATTERN).collect())[0] == 0
+    assert media_ogg.digest(docs).count() == len(data)
+
+
 def test_bayes_bound():
     least = near_dedup.least_matches(0.8)
     p = 0.8 + 0.2 / 256
