@@ -53,8 +53,16 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\")), F.lit('\\"'), F.lit('"'))
 
 
+def is_json(text: Column) -> Column:
+    """Whether text is one JSON value and nothing else. Spark's parser ignores what follows a value, so the text is parsed as the only element of
+    an array and as the only member of an object: what ends one early can't end the other."""
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>")
+    member = F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
+    return F.coalesce((F.size(alone) == 1) & member.isNotNull(), F.lit(False))
+
+
 def _first_that_parses(*tries: Column) -> Column:
-    return F.coalesce(*[F.when(F.try_parse_json(t).isNotNull(), t) for t in tries])
+    return F.coalesce(*[F.when(is_json(t), t) for t in tries])
 
 
 def _no_last_commas(text: Column) -> Column:
@@ -77,12 +85,12 @@ def cjk_json(text: Column) -> Column:
 def repaired_json(text: Column) -> Column:
     """JSON text as it is if it parses, else without last commas and with double quotes, else with lone backslashes doubled too."""
     quotes = F.regexp_replace(_no_last_commas(text), "'", '"')
-    return _first_that_parses(text, quotes, F.regexp_replace(quotes, r'\\(?!"|\\|/|b|f|n|r|t|u)', r"\\\\\\\\"))
+    return _first_that_parses(text, quotes, F.regexp_replace(quotes, r'\\(?!"|\\|/|b|f|n|r|t|u)', r"\\\\"))
 
 
 def json_array_elements(text: Column) -> Column:
     """The strings of a JSON array, and the ids of objects in it; a string or object alone is an array of one. What isn't JSON has none."""
-    v = F.try_parse_json(F.when(F.try_parse_json(text).isNotNull(), F.when(F.ltrim(text).startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))))
+    v = F.try_parse_json(F.when(is_json(text), F.when(F.ltrim(text).startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))))
     kind = lambda x: F.schema_of_variant(x)
     each = F.transform(v.cast("array<variant>"), lambda x: F.when(kind(x) == "STRING", F.try_variant_get(x, "$", "string")).when(kind(x).startswith("OBJECT"), F.try_variant_get(x, "$.id", "string")))
     return F.coalesce(F.filter(each, lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
@@ -93,7 +101,7 @@ def search_fields(data: Column) -> Column:
     fields = [F.get_json_object(data, f"$.{k}") for k in ("analysis", "solution", "clue", "metadata", "question", "subject")]
     words = F.array_join(F.from_json(F.get_json_object(data, "$.metadata.keywords"), "array<string>"), " ")
     found = F.filter(F.transform(F.array(*fields, words), lambda x: F.lower(x)), lambda x: x.isNotNull() & (x != ""))
-    return F.coalesce(F.when(F.try_parse_json(data).isNotNull() & F.ltrim(data).startswith("{"), found), F.filter(F.array(F.lower(data)), lambda x: x.isNotNull()))
+    return F.coalesce(F.when(is_json(data) & F.ltrim(data).startswith("{"), found), F.filter(F.array(F.lower(data)), lambda x: x.isNotNull()))
 
 
 def keyword_match(fields: Column, keywords: list[str], core: set[str]) -> Column:

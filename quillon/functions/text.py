@@ -55,14 +55,6 @@ def balanced_json(text: pd.Series) -> pd.Series:
     return text.map(first_balanced_object)
 
 
-def repaired_json(text: Column) -> Column:
-    """JSON text as it is if it parses, else without trailing commas, else with double quotes; null if none parses."""
-    commas = F.regexp_replace(text, r",(\s*[}\]])", "$1")
-    quotes = F.regexp_replace(commas, r"'", '"')
-    tried = [F.when(F.try_parse_json(c).isNotNull(), c) for c in (text, commas, quotes)]
-    return F.coalesce(*tried)
-
-
 def sse_events(stream: Column) -> Column:
     """Server-sent events: an array of (event, data); an event without a name is a message."""
     blocks = F.filter(F.split(stream, r"\n\n"), lambda b: F.trim(b) != "")

@@ -28,26 +28,40 @@ def sm2(log: DataFrame, keys: list[str], order: list[str], q: str) -> DataFrame:
     return log.groupBy(*keys).agg(F.aggregate(items, start, step).alias("s")).select(*keys, F.round(F.col("s.ease") * 100).cast("long").alias("ease_hundredths"), F.col("s.interval").alias("interval_days"), F.col("s.n").alias("reviews"))
 
 
-def ripple_batch(log: DataFrame, edges: DataFrame) -> DataFrame:
-    """Mastery per (email, kp) in hundredths when each answer also moves neighbours: +2 for prerequisites once a point reaches 80,
-    -5 for dependents once it is at 40 or less. Later answers see earlier ripples, so a learner's log is one ordered fold.
+def ripple_batch(log: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """log(email, id, kp, delta), edges(src, dst) -> (email, kp, mastery_percent): mastery in hundredths when each answer also moves neighbours: +2 for
+    prerequisites once a point reaches 80, -5 for dependents once it is at 40 or less. Later answers see earlier ripples.
 
-    log(email, id, kp, delta, ups array, downs array) comes from ``with_neighbours``."""
+    Feedback without learner, point or delta is skipped; with ``most``, so is what comes after a learner's first ``most``. A learner's answers are
+    walked in id order, a batch of rows at a time; what is held are the scores of one learner's points."""
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        score: dict[int, int] = {}
-        for r in pdf.sort_values("id").itertuples():
-            now = score[r.kp] = min(100, max(0, score.get(r.kp, 0) + r.delta))
-            if now >= 80:
-                for k in sorted(r.ups):
-                    score[k] = min(100, score.get(k, 0) + 2)
-            if now <= 40:
-                for k in sorted(r.downs):
-                    score[k] = max(0, score.get(k, 0) - 5)
-        return pd.DataFrame({"email": pdf["email"].iloc[0], "kp": list(score), "mastery_percent": list(score.values())})
-
-    return with_neighbours(log, edges).groupBy("email").applyInPandas(run, "email long, kp long, mastery_percent long")
+    def scores(email, score: dict[int, int]) -> pd.DataFrame:
+        return pd.DataFrame({"email": email, "kp": list(score), "mastery_percent": list(score.values())})
+
+    def run(batches):
+        email, score, n = None, {}, 0
+        for b in batches:
+            for r in b.itertuples():
+                if r.email != email:
+                    if score:
+                        yield scores(email, score)
+                    email, score, n = r.email, {}, 0
+                n += 1
+                if most is not None and n > most:
+                    continue
+                now = score[r.kp] = min(100, max(0, score.get(r.kp, 0) + r.delta))
+                if now >= 80:
+                    for k in r.ups:
+                        score[k] = min(100, score.get(k, 0) + 2)
+                if now <= 40:
+                    for k in r.downs:
+                        score[k] = max(0, score.get(k, 0) - 5)
+        if score:
+            yield scores(email, score)
+
+    sound = log.where("email is not null and kp is not null and delta is not null")
+    return with_neighbours(sound, edges).repartition("email").sortWithinPartitions("email", "id").mapInPandas(run, "email long, kp long, mastery_percent long")
 
 
 def with_neighbours(log: DataFrame, edges: DataFrame) -> DataFrame:

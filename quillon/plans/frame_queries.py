@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from ..functions import text
+from ..functions import parse, text
 from ..operators import learner, tables, vector
 from ..registry import query
 from ..sources import files
@@ -77,7 +77,7 @@ def fn_balanced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn_json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     broken = F.regexp_replace(F.regexp_replace("props", "\\}$", ",}"), '"', "'")
-    return e.select("event_id", F.get_json_object(text.repaired_json(broken), "$.k").alias("k"))
+    return e.select("event_id", F.get_json_object(parse.repaired_json(broken), "$.k").alias("k"))
 
 
 @query("fn_sse_parse", "select conv_id, turn, role as event, 'x' || cast(turn as varchar) as data from conversations")

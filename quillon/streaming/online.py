@@ -108,7 +108,9 @@ def stream(events: DataFrame, machine: Machine) -> DataFrame:
 
 
 def replay(log: DataFrame, machine: Machine) -> DataFrame:
-    """A whole log in (ts, id) order for each key: one shuffle and sort, then memory of a batch and one state however long a key's log is."""
+    """A whole log in (ts, id) order for each key: one shuffle and sort, then memory of a batch and one state however long a key's log is.
+
+    Events without a key, time or id are left out."""
     schema, names = _outputs(machine)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +125,7 @@ def replay(log: DataFrame, machine: Machine) -> DataFrame:
                 rows.append((*mine, *out))
             yield pd.DataFrame(rows, columns=names)
 
-    return log.repartition(*machine.keys).sortWithinPartitions(*machine.keys, "ts", "id").mapInPandas(run, schema)
+    return log.dropna(subset=[*machine.keys, "ts", "id"]).repartition(*machine.keys).sortWithinPartitions(*machine.keys, "ts", "id").mapInPandas(run, schema)
 
 
 def mastery(events: DataFrame) -> DataFrame:

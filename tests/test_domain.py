@@ -101,3 +101,65 @@ def test_texts_that_are_null(spark):
     null = F.lit(None).cast("string")
     assert one(spark, parse.json_array_elements(null)) == [] and one(spark, parse.lenient_json(null)) is None and one(spark, parse.suspicious(null)) is False
     assert one(spark, parse.search_fields(null)) == [] and one(spark, parse.image_quality(null, null, null, F.lit(None), F.lit(None).cast("array<string>"), F.lit(None).cast("int"))) == 0
+
+
+@pytest.mark.parametrize("answer, want", [
+    ('{"a": 1}', '{"a": 1}'), ('```json\n{"a": 1}\n```', '{"a": 1}'), ('{"a": 1} and so on', '{"a": 1}'), ('{"a": [1, 2,],}', '{"a": [1, 2]}'), ('<think>hm</think>{"a": 1}', '{"a": 1}'), ("no object", None)])
+def test_model_answers(spark, answer, want):
+    got = one(spark, parse.lenient_json(F.lit(answer)))
+    assert (got and json.loads(got)) == (want and json.loads(want))
+
+
+@pytest.mark.parametrize("broken, want", [('{"a": 1}', {"a": 1}), ("{'a': 'b',}", {"a": "b"}), ('{"a": "c\\d"}', {"a": "c\\d"}), ("{'a': 'x\\y',}", {"a": "x\\y"}), ("{a", None)])
+def test_three_attempts(spark, broken, want):
+    got = one(spark, parse.repaired_json(F.lit(broken)))
+    assert (got and json.loads(got)) == want
+
+
+def test_ripple_batch_over_a_table(spark):
+    from quillon import registry
+    from quillon.operators import learner
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r.email, r.kp): r.mastery_percent for r in registry.queries()["dom_batch"](spark, sf).collect()}
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    edges = {(p, q) for p in range(n) for q in (p // 2, p // 3) if p != q and q > 0}
+    score = {}
+    for e in sorted(spark.read.parquet(f"{sf}/events.parquet").collect(), key=lambda e: e.event_id):
+        i, kp = e.event_id, e.event_id % 50
+        right, hint = i % 3 != 0, i % 7 == 0
+        mine = score.setdefault(e.user_id, {})
+        now = mine[kp] = min(100, max(0, mine.get(kp, 0) + (5 if right and hint else 15 if right else -20)))
+        for a, b in edges:
+            if now >= 80 and a == kp:
+                mine[b] = min(100, mine.get(b, 0) + 2)
+            if now <= 40 and b == kp:
+                mine[a] = max(0, mine.get(a, 0) - 5)
+    assert got == {(u, k): s for u, m in score.items() for k, s in m.items()}
+    log = spark.createDataFrame([(1, i, 1, 15) for i in range(150)] + [(1, 200, None, 15), (None, 201, 1, 15), (1, 202, 1, None)], "email long, id long, kp long, delta long")
+    none = spark.createDataFrame([], "src long, dst long")
+    assert [tuple(r) for r in learner.ripple_batch(log, none, most=3).collect()] == [(1, 1, 45)]
+
+
+def test_chunks_over_a_table(spark):
+    import re
+
+    from quillon.functions import text
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(200)
+    made = spark.createDataFrame([(-1, "# a\n\n## b\ntext\n### c\n" + "x" * 7000 + "\n## d\nend"), (-2, ""), (-3, None)], "doc_id long, text string")
+    for r in d.union(made).select("doc_id", "text", text.chunk_markdown(F.col("text")).alias("c")).collect():
+        parts = [x.strip(" ") for x in re.split(r"\n(?=##+\s)", r.text or "")]
+        want = []
+        for p in (x[k : k + 3000] for x in parts if x for k in range(0, len(x), 3000)):
+            if want and len(want[-1]) + 1 + len(p) <= 3000:
+                want[-1] += "\n" + p
+            else:
+                want.append(p)
+        assert (r.c or []) == want, r.doc_id
+
+
+def test_is_json(spark):
+    texts = ['{"a": 1}', " [1] ", "1", '"x"', '{"a": 1} x', '{"a": 1}] x [', '{"a": 1}} x {', "1, 2", '1, "b": 2', "", "  ", "null", None, "{", "]"]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").orderBy("i").select(parse.is_json(F.col("t")).alias("x")).collect()]
+    assert got == [True] * 4 + [False] * 7 + [True] + [False] * 3

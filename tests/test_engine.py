@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import registry
-from quillon.functions import text
+from quillon.functions import parse, text
 from quillon.operators import learner, tables, vector
 from quillon.sources import files
 from quillon.streaming import online
@@ -140,7 +140,7 @@ def test_text(spark):
     trimmed = spark.createDataFrame([("0 intro 0\n## 1 in 1 ",)], "t string").select(text.chunk_markdown(F.col("t"), 12)).first()[0]
     assert trimmed == ["0 intro 0", "## 1 in 1"]
     assert text.first_balanced_object('a {"x": "}{", "y": {"z": 1}} b') == '{"x": "}{", "y": {"z": 1}}' and text.first_balanced_object("{") is None
-    r = spark.createDataFrame([("{'a': [1, 2,],}",), ("{}",), ("no",)], "t string").select(text.repaired_json(F.col("t")).alias("j")).collect()
+    r = spark.createDataFrame([("{'a': [1, 2,],}",), ("{}",), ("no",)], "t string").select(parse.repaired_json(F.col("t")).alias("j")).collect()
     assert [x.j and json.loads(x.j) for x in r] == [{"a": [1, 2]}, {}, None]
 
 
