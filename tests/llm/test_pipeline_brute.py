@@ -143,3 +143,51 @@ def test_run_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_fingerprints_recomputed(spark):
+    # every fingerprint from its definition, with loops, over a table of the driver's
+    import xxhash
+
+    from quillon.llm import fingerprint
+
+    def text_hash(s):
+        return xxhash.xxh64(s.encode(), seed=42).intdigest()
+
+    def chain(values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64(v.to_bytes(8, "little"), seed=h).intdigest()
+        return h
+
+    def print_of(t):
+        w = WORD.findall(t.lower())
+        hashes = [text_hash(x) for x in w]
+        shingles = [chain(hashes[i : i + 5]) for i in range(len(w) - 4)] or ([text_hash(" ".join(w))] if w else [])
+        least = {}
+        for h in shingles:
+            least[h >> 57] = min(h, least.get(h >> 57, h))
+        if not least:
+            return [0] * 128, True
+        out = []
+        for b in range(128):
+            step, k = ((b * 2654435761 + 40503) >> 7) % 64 * 2 + 1, 0
+            while (b + k * step) % 128 not in least:
+                k += 1
+            out.append(least[(b + k * step) % 128] & 255)
+        return out, False
+
+    def likeness(a, b):
+        if a[1] or b[1]:
+            return float(a[1] and b[1])
+        return max(0.0, (sum(x == y for x, y in zip(a[0], b[0])) / 128 - 1 / 256) / (1 - 1 / 256))
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    data = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    got = {r.doc_id: r for r in fingerprint.compare(docs).collect()}
+    for k, (i, t) in enumerate(data):
+        after, q = data[(k + 1) % len(data)][1], len(t) // 4
+        own, edited = print_of(t), print_of(t[: len(t) - q] + after[:q])
+        r = got[i]
+        assert r.fingerprint == bytes(own[0]).hex() and r.edited_fingerprint == bytes(edited[0]).hex()
+        assert math.isclose(r.near_edited, likeness(own, edited), abs_tol=1e-12) and math.isclose(r.near_next, likeness(own, print_of(after)), abs_tol=1e-12)
