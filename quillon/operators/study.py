@@ -192,7 +192,7 @@ def suggestions(users: DataFrame, weak: DataFrame, shares: DataFrame) -> DataFra
     said = F.filter(F.array(*[F.when(c, F.struct(F.lit(t).alias("type"), n.cast("double").alias("n"))) for t, c, n in (
         ("critical", F.col("critical") > 0, F.col("critical")), ("warning", F.col("share").isNotNull(), F.col("share")), ("info", F.col("low") > 0, F.col("low")))]), lambda x: x.isNotNull())
     fine = F.array(F.struct(F.lit("success").alias("type"), F.lit(0.0).alias("n")))
-    return u.select("email", F.posexplode(F.when(F.size(said) > 0, said).otherwise(fine)).alias("position", "x")).select("email", (F.col("position") + 1).alias("position"), "x.type", "x.n")
+    return u.select("email", F.posexplode(F.when(F.size(said) > 0, said).otherwise(fine)).alias("position", "x")).select("email", (F.col("position") + 1).cast("long").alias("position"), "x.type", "x.n")
 
 
 def phases(users: DataFrame, weak: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def phases(users: DataFrame, weak: DataFrame) -> DataFrame:
     last = make((F.size(some) + 1), "comprehensive", ranked(lambda x: F.lit(True), 5))
     general = F.array(make(1, "medium", none), make(2, "hard", none))
     plan = F.when(F.col("points").isNull(), general).otherwise(F.concat(some, F.array(last)))
-    return u.select("email", F.posexplode(plan).alias("phase", "x")).select("email", (F.col("phase") + 1).alias("phase"), "x.week", "x.level", "x.topics")
+    return u.select("email", F.posexplode(plan).alias("phase", "x")).select("email", (F.col("phase") + 1).cast("long").alias("phase"), F.col("x.week").cast("long").alias("week"), "x.level", "x.topics")
 
 
 def badges(stats: DataFrame) -> DataFrame:

@@ -498,7 +498,7 @@ def fn_vec_literal(v: Views) -> DataFrame:
 LIMIT = """, r as (select email, epoch_us(ts) as t, row_number() over (partition by email order by ts, id) as i from practice),
   walk as (select email, i, t as start, 1 as n, 1 as ok from r where i = 1 union all
     select w.email, r.i, case when r.t - w.start > {us} then r.t else w.start end, case when r.t - w.start > {us} then 1 when w.n >= {most} then w.n else w.n + 1 end, w.ok + case when r.t - w.start > {us} or w.n < {most} then 1 else 0 end from walk w join r on r.email = w.email and r.i = w.i + 1)
-  select email, max(ok) as allowed, count(*) - max(ok) as refused from walk group by email"""
+  select email, cast(max(ok) as bigint) as allowed, count(*) - max(ok) as refused from walk group by email"""
 
 
 def _limited(v: Views, most: int, seconds: int) -> DataFrame:
@@ -535,7 +535,7 @@ def st_mastery_online(v: Views) -> DataFrame:
 BUCKET = """, r as (select email, epoch_us(ts) as t, row_number() over (partition by email order by ts, id) as i from practice),
   walk as (select email, i, t, 86400000000 - 43200000000 as level, 1 as n from r where i = 1 union all
     select w.email, r.i, r.t, greatest(0, least(86400000000, w.level + r.t - w.t) - 43200000000), w.n + case when least(86400000000, w.level + r.t - w.t) >= 43200000000 then 1 else 0 end from walk w join r on r.email = w.email and r.i = w.i + 1)
-  select email, max(n) as granted, count(*) - max(n) as delayed from walk group by email"""
+  select email, cast(max(n) as bigint) as granted, count(*) - max(n) as delayed from walk group by email"""
 
 
 @ask("st_token_bucket", "practice", BUCKET)
@@ -549,7 +549,7 @@ GUARD = """, r as (select email, epoch_us(ts) as t, subject = 'purchase' as asks
     select email, i, case when asks then case when early then sent else t end when dead or good then -1 else sent end, case when asks then case when early then tries else 0 end when dead or good then 0 else tries + 1 end,
       sends + case when asks and not early then 1 else 0 end, ok + case when not asks and good and not dead then 1 else 0 end, refused + case when asks and early or not asks and dead then 1 else 0 end
     from (select r.*, w.sent, w.tries, w.sends, w.ok, w.refused, w.sent >= 0 and r.t - w.sent < 21600000000 as early, w.sent < 0 or r.t - w.sent > 432000000000 or w.tries >= 5 as dead from walk w join r on r.email = w.email and r.i = w.i + 1))
-  select email, max(sends) as sends, max(ok) as verified, max(refused) as refused from walk group by email"""
+  select email, cast(max(sends) as bigint) as sends, cast(max(ok) as bigint) as verified, cast(max(refused) as bigint) as refused from walk group by email"""
 
 
 @ask("st_resend_guard", "practice", GUARD)

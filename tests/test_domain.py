@@ -163,3 +163,20 @@ def test_is_json(spark):
     texts = ['{"a": 1}', " [1] ", "1", '"x"', '{"a": 1} x', '{"a": 1}] x [', '{"a": 1}} x {', "1, 2", '1, "b": 2', "", "  ", "null", None, "{", "]"]
     got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").orderBy("i").select(parse.is_json(F.col("t")).alias("x")).collect()]
     assert got == [True] * 4 + [False] * 7 + [True] + [False] * 3
+
+
+def test_keyed_writes_with_nulls_and_double_keys(spark, tmp_path):
+    from quillon.operators import tables
+
+    old = spark.createDataFrame([(1, "a", 10), (2, "b", None), (None, "n", 5)], "k long, v string, x long")
+    new = spark.createDataFrame([(2, "c", 7), (2, "d", None), (3, None, 1), (None, "m", 6)], "k long, v string, x long")
+    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    want = lambda *r: sorted(r, key=str)
+    # of two new rows with key 2 the larger counts; null keys match nothing
+    assert rows(tables.upsert(old, new, ["k"])) == want((1, "a", 10), (2, "d", None), (3, None, 1), (None, "m", 6), (None, "n", 5))
+    assert rows(tables.upsert_keep(old, new, ["k"])) == want((1, "a", 10), (2, "d", None), (3, None, 1), (None, "m", 6), (None, "n", 5))
+    assert rows(tables.insert_ignore(old, new, ["k"])) == want((1, "a", 10), (2, "b", None), (None, "n", 5), (3, None, 1), (None, "m", 6))
+    assert rows(tables.update(old, new, ["k"])) == want((1, "a", 10), (2, "d", None), (None, "n", 5))
+    assert rows(tables.delete(old, new, ["k"])) == want((1, "a", 10), (None, "n", 5))
+    state = tables.save(tables.upsert(old, new, ["k"]), str(tmp_path / "next"))
+    assert state.count() == 5 and state.schema == old.schema
