@@ -9,7 +9,7 @@
    one that doesn't: Jaccard distance is a metric, so only members whose estimated distances to the pivot differ by no more than the
    allowed distance plus ``slack`` can be. The estimate is taken from all values of the signatures, also where pruning stopped early, and either
    bound of ``slack`` loses a pair with probability below ``MISS``. These, and members left in a bucket after the last round, are compared inside tasks, in pairs of
-   chunks of at most about ``CHUNK`` rows; a task returns only links that join two components, never pairs.
+   chunks of about ``CHUNK`` rows and ``CHUNK_BYTES`` of sets at most; a task returns only links that join two components, never pairs.
 4. Components are found by alternating large-star and small-star steps over tables.
 
 Tables in between are removed when their last reader is done, or if a step fails; one narrow table remains.
@@ -230,8 +230,8 @@ def _cross(threshold: float):
     return run
 
 
-#: Rows of one pivot's members that one task compares with others.
-CHUNK = 2_000
+#: Rows of one pivot's members that one task compares with others, and bytes of their sets.
+CHUNK, CHUNK_BYTES = 2_000, 16 << 20
 
 
 def link(docs: DataFrame, words: int, threshold: float = 0.8) -> DataFrame:
@@ -254,7 +254,7 @@ def _link(docs: DataFrame, words: int, threshold: float, made: list[DataFrame])
     sound = all_rows.where("digest is not null and doc_id is not null")
     classes = sound.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     same = sound.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = sound.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("sig", "bands"), "digest").alias("s")).select("doc_id", "s.sig", "s.bands")
+    reps = sound.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("sig", "bands", "n"), "digest").alias("s")).select("doc_id", "s.sig", "s.bands", "s.n")
     reps = stash(reps, "representatives")
     members = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = members.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -294,7 +294,8 @@ def _link(docs: DataFrame, words: int, threshold: float, made: list[DataFrame])
     close = close.join(far.select(F.col("g").alias("h")).distinct(), F.col("g") == F.col("h"), "left_semi")
     rest = members.select(F.col("key").alias("g"), F.col("doc_id").alias("doc"), F.lit(0.0).alias("estimate"), F.lit(0).alias("side")).distinct()
     rows = far.union(close).withColumn("kind", F.lit(0)).union(rest.withColumn("kind", F.lit(1)))
-    chunks = rows.groupBy(F.col("kind").alias("k2"), F.col("g").alias("g2")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("c"), F.expr("count_if(side = 0)").alias("n0"), F.count(F.lit(1)).alias("n")).where("n0 > 0 and n > 1")
+    rows = rows.join(reps.select("doc_id", F.col("n").alias("size")), F.col("doc") == F.col("doc_id")).drop("doc_id")
+    chunks = rows.groupBy(F.col("kind").alias("k2"), F.col("g").alias("g2")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") * 8 / CHUNK_BYTES)).cast("int").alias("c"), F.expr("count_if(side = 0)").alias("n0"), F.count(F.lit(1)).alias("n")).where("n0 > 0 and n > 1")
     rows = rows.join(chunks, (F.col("kind") == F.col("k2")) & (F.col("g") == F.col("g2"))).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("c")).cast("int"))
     # every pair of chunks meets once: a row goes to the pairs its chunk is in
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
