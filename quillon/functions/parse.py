@@ -105,15 +105,18 @@ def search_fields(data: Column) -> Column:
 
 
 def keyword_match(fields: Column, keywords: list[str], core: set[str]) -> Column:
-    """struct(score, matched, confidence) of a point's keywords: 2 for a core keyword that some field holds, 1 for another."""
+    """struct(score, matched, confidence) of a point's keywords (one at least): 2 for a core keyword that some field holds, 1 for another."""
+    table = F.array(*[F.struct(F.lit(k).alias("word"), F.lit(k.lower()).alias("low"), F.lit(2 if k in core else 1).alias("points")) for k in keywords])
 
-    def held(keyword: str) -> Column:
-        return F.exists(fields, lambda f: f.contains(keyword.lower()))
+    def held(texts: Column) -> Column:
+        return F.filter(table, lambda k: F.exists(texts, lambda f: f.contains(k["low"])))
 
-    hits = [held(k) for k in keywords]
-    score = reduce(lambda a, b: a + b, [h.cast("int") * (2 if k in core else 1) for h, k in zip(hits, keywords)], F.lit(0))
-    matched = F.filter(F.array(*[F.when(h, F.lit(k)) for h, k in zip(hits, keywords)]), lambda x: x.isNotNull())
-    return F.struct(score.alias("score"), matched.alias("matched"), (F.size(matched) / F.lit(float(max(1, len(keywords))))).alias("confidence"))
+    def summed(hits: Column) -> Column:
+        score = F.aggregate(hits, F.lit(0), lambda s, k: s + k["points"])
+        return F.struct(score.alias("score"), F.transform(hits, lambda k: k["word"]).alias("matched"), (F.size(hits) / F.lit(float(len(keywords)))).alias("confidence"))
+
+    # arrays of one, so that the fields and the hits are computed once
+    return F.transform(F.transform(F.array(fields), held), summed)[0]
 
 
 def _length(c: Column) -> Column:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from .bpe import byte_characters
 from .common import slices, stash, text_or_empty, tidy, unstash
 
 BLOCK, LANES = 2048, 3072
@@ -279,44 +280,31 @@ def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
 _LETTER, _NUMBER, _BLANK = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 #: The vocabulary's own cuts, for lower-case text below U+0100.
 _LATIN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
-#: Strings the library is asked at once, joined by blanks.
-_ASKED = 2000
 _TOKENIZERS: dict[str, "_Words"] = {}
+_TWO = [i.to_bytes(2, "little") for i in range(1 << 16)]
 
 
-class _Words:
-    """The library's tokenizer, the ids of what it was asked, and which ids end what its pattern cut."""
+class _Words(dict):
+    """The library's tokenizer, and the ids of the cuts that its model was asked for."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.ends = np.zeros(1 << 16, bool)
-        for word, i in self.library.get_vocab().items():
-            self.ends[i] = word.endswith("</w>")
+        self.model = self.library.model
+        self.map = byte_characters()
 
     def encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > MOST_CACHED:
-            self.known.clear()
-            new = list(parts)
-        for a in range(0, len(new), _ASKED):
-            asked = new[a : a + _ASKED]
-            ids = np.array(self.library.encode(" ".join(asked), add_special_tokens=False).ids, "<u2")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) == len(asked) and stops[-1] == len(ids):
-                raw, at = ids.tobytes(), 0
-                for p, e in zip(asked, stops):
-                    self.known[p] = raw[2 * at : 2 * e]
-                    at = e
-            else:  # some part that the library cuts further
-                for p in asked:
-                    self.known[p] = self.encode(p)
+    def __missing__(self, cut: str) -> bytes:
+        if len(self) >= MOST_CACHED:
+            self.clear()
+        # the model reads bytes as characters; ASCII letters are their own
+        mapped = cut if cut.isascii() and cut.isalpha() else cut.encode().decode("latin-1").translate(self.map)
+        ids = self[cut] = b"".join([_TWO[t.id] for t in self.model.tokenize(mapped)])
+        return ids
 
 
 def _words(path: str) -> _Words:
@@ -337,11 +325,13 @@ def _cuts(text: str) -> list[str] | None:
 def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 16-bit integers, without the end id.
 
-    Text below U+0100 is in normal form and lower-cases letter by letter, so its cuts are looked up; other text, and text that may hold the
+    Text below U+0100 is in normal form and lower-cases letter by letter, so it is cut here, and the library's model is asked for new cuts only; other text, and text that may hold the
     name of a special token, is left to the library as a whole."""
-    w, cuts = _words(path), [_cuts(t) for t in texts]
-    w.learn(set().union(*(c for c in cuts if c is not None)))
-    return [w.encode(t) if c is None else b"".join(map(w.known.__getitem__, c)) for t, c in zip(texts, cuts)]
+    w, out = _words(path), []
+    for t in texts:
+        cuts = _cuts(t)
+        out.append(w.encode(t) if cuts is None else b"".join(map(w.__getitem__, cuts)))
+    return out
 
 
 def _write(path: str):

@@ -102,8 +102,13 @@ def matched(wrong: DataFrame, fields: Column, keywords: DataFrame) -> DataFrame:
     if found["n"] > MOST_KEYWORDS:
         raise ValueError(f"more than {MOST_KEYWORDS} keywords")
     table = F.array(*[F.struct(F.lit(x["low"]).alias("low"), F.lit(x["keyword"]).alias("keyword")) for x in found["d"]]).cast("array<struct<low:string,keyword:string>>")
-    hits = F.transform(F.filter(table, lambda k: F.exists(F.col("_fields"), lambda f: f.contains(k["low"]))), lambda k: k["keyword"])
-    return wrong.withColumn("_fields", fields).withColumn("hits", F.array_sort(hits)).drop("_fields").where(F.size("hits") > 0)
+
+    def held(texts: Column) -> Column:
+        return F.array_sort(F.transform(F.filter(table, lambda k: F.exists(texts, lambda f: f.contains(k["low"]))), lambda k: k["keyword"]))
+
+    # an array of one, so that the fields are taken from a row once, whatever reads them
+    found = F.filter(F.transform(F.array(fields), held), lambda h: F.size(h) > 0)
+    return wrong.select("*", F.explode(found).alias("hits"))
 
 
 def weak_points(wrong: DataFrame, kps: DataFrame, keywords: DataFrame) -> DataFrame:

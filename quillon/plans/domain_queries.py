@@ -433,7 +433,7 @@ _KW, _CORE = ["函数", "导数", "单调性", "极值", "切线", "零点", "
 by_cases("fn_keyword_match", {
     '{"analysis":"本题考查导数和函数单调性","subject":"数学"}': "4/0.375", '{"analysis":"本题考查光合作用"}': "0/0.0", '{"analysis":"导数单调性极值"}': "4/0.375", '{"analysis":"切线斜率零点"}': "3/0.375",
     "这道题考查导数和函数单调性": "4/0.375", '{"metadata":{"keywords":["导数","函数"]}}': "3/0.25", '{"analysis":"导数单调性极值切线零点"}': "6/0.625"},
-    lambda c: F.format_string("%s/%s", parse.keyword_match(parse.search_fields(c), _KW, _CORE)["score"], parse.keyword_match(parse.search_fields(c), _KW, _CORE)["confidence"]))
+    lambda c: F.array_join(F.transform(F.array(parse.keyword_match(parse.search_fields(c), _KW, _CORE)), lambda m: F.concat_ws("/", m["score"].cast("string"), m["confidence"].cast("string"))), ""))
 by_cases("fn_strip_think", {"<think>a <b>c</b> d</think> out ": "out", "x<think>\n1\n</think>y<think>2</think>z": "xyz", "<think>never ends": "<think>never ends", "plain": "plain", "<think>a</think": "<think>a</think"}, parse.strip_think)
 by_cases("fn_strip_code", {"```json\n{\"a\":1}\n```": '{"a":1}', "```JSON {}```": "{}", "a ``` b": "a b", "none": "none"}, parse.strip_code)
 by_cases("fn_json_repair2", {'<think>no</think>```json\n{"a":1}\n```': '{"a":1}', 'Sure: {"a":[1,2,],}': '{"a":[1,2]}', '[1,2]': "[1,2]", "nothing {": None, 'x {"k":"v"} y': '{"k":"v"}', "": None}, parse.lenient_json)
