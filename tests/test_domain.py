@@ -180,3 +180,12 @@ def test_keyed_writes_with_nulls_and_double_keys(spark, tmp_path):
     assert rows(tables.delete(old, new, ["k"])) == want((1, "a", 10), (None, "n", 5))
     state = tables.save(tables.upsert(old, new, ["k"]), str(tmp_path / "next"))
     assert state.count() == 5 and state.schema == old.schema
+
+
+def test_registered_queries_take_parameters(spark):
+    import __spark_entry__ as entry
+
+    q, sf = entry.queries(), "/root/testdata/sf0.001"
+    assert q["top_sort_whitelist"](spark, sf, column="attempts", descending=True, limit=3).count() == 3
+    assert q["flt_dynamic"](spark, sf, province=None).count() == q["flt_dynamic"](spark, sf, level="").count() > 0
+    assert q["st_fixed_window_limit"](spark, sf, most=10_000).agg(F.sum("refused")).first()[0] == 0
