@@ -93,27 +93,23 @@ def unit_hash(*cols: Column) -> Column:
     return (h.cast("double") + 1) / F.lit(4294967297.0)
 
 
-def bucketed_prefix_sum(df: DataFrame, group: list[str], piece: Column, order: list[Column], size: str, out: str) -> DataFrame:
+def bucketed_prefix_sum(df: DataFrame, group: list[str], piece: Column, order: list[Column], size: str, out: str, counted: DataFrame) -> DataFrame:
     """Sum of ``size`` over the rows that precede each row of its group, without putting a group in one task.
 
-    ``piece`` is a whole number that never falls in ``order``. Pieces are summed first, their offsets are a window over pieces, and rows are only
-    ordered within a piece.
+    ``piece`` is a whole number that never falls in ``order``. Pieces are summed first, from ``counted`` (the rows without what makes them wide), their
+    offsets are a window over pieces, and rows are only ordered within a piece. Groups must not be null: then the wide rows are shuffled once, as the
+    window and the join want them by the same keys.
     """
     from pyspark.sql import Window
 
     keys = [*group, "_q_piece"]
-    df = df.withColumn("_q_piece", piece.cast("long"))
-    pieces = df.groupBy(*keys).agg(F.sum(size).alias("_q_sum"))
-    renamed = {k: f"_q_k{i}" for i, k in enumerate(keys)}
-    pieces = pieces.select(*[F.col(k).alias(v) for k, v in renamed.items()], F.coalesce(F.sum("_q_sum").over(
-        Window.partitionBy(*group).orderBy("_q_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_q_before"))
+    df, counted = (d.withColumn("_q_piece", piece.cast("long")) for d in (df, counted))
+    before = Window.partitionBy(*group).orderBy("_q_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = counted.groupBy(*keys).agg(F.sum(size).alias("_q_sum")).select(*keys, F.coalesce(F.sum("_q_sum").over(before), F.lit(0)).alias("_q_before"))
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_q_in", F.coalesce(F.sum(size).over(within), F.lit(0)))
-    cond = None
-    for k, v in renamed.items():
-        c = F.col(k).eqNullSafe(F.col(v))
-        cond = c if cond is None else cond & c
-    return df.join(pieces, cond).withColumn(out, F.col("_q_before") + F.col("_q_in")).drop(*renamed.values(), "_q_before", "_q_in", "_q_piece")
+    # the table of pieces grows with the corpus, so it is never a broadcast
+    return df.join(pieces.hint("merge"), keys).withColumn(out, F.col("_q_before") + F.col("_q_in")).drop("_q_before", "_q_in", "_q_piece")
 
 
 # --- byte-level tokenising of whole Arrow batches with NumPy -------------------------------------------------

@@ -24,6 +24,8 @@ from .common import bucketed_prefix_sum, stash, text_or_empty, unit_hash, word_c
 
 #: Rows of one source that are ordered in one task, at most, on average.
 ROWS_PER_PIECE = 2_000
+#: Sources whose targets are broadcast, a row each; with more they are joined by shuffle.
+MOST_SOURCES = 100_000
 
 
 def default_quality(text: Column) -> Column:
@@ -58,35 +60,44 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """``docs`` with _q_size, _q_source_size, _q_target and _q_copies (times the mix takes the document)."""
     if any(c.startswith("_q_") for c in docs.columns):
         raise ValueError("columns that begin with _q_ are this operator's own")
+    d = _measured(docs, quality)
+    narrow = stash(d.select("doc_id", "source", "_q_size", "_q_quality"), "sizes")
+    return _taken(d, narrow, weights, share, most)
+
+
+def _measured(docs: DataFrame, quality: Column | None = None) -> DataFrame:
     text = text_or_empty()
-    d = docs.withColumn("_q_size", word_count(text)).withColumn("_q_quality", quality if quality is not None else default_quality(text))
-    return _taken(d, weights, share, most)
+    return docs.withColumn("_q_size", word_count(text)).withColumn("_q_quality", quality if quality is not None else default_quality(text))
+
 
+def _taken(d: DataFrame, narrow: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """``mix`` for rows that have _q_size and _q_quality; ``narrow`` is a written table of these with doc_id and source."""
+    stats = narrow.groupBy(F.col("source").alias("_q_source")).agg(F.count(F.lit(1)).alias("_q_n"), F.sum("_q_size").alias("_q_total"))
+    t = stash(targets(stats, weights, share, most), "targets")
+    if t.count() <= MOST_SOURCES:
+        t = F.broadcast(t)
+
+    def aimed(d: DataFrame) -> DataFrame:
+        d = d.join(t, d["source"].eqNullSafe(t["_q_source"])).withColumn("_q_key", -F.log(unit_hash(F.col("doc_id"))) / F.col("_q_quality"))
+        return d.withColumns({"_q_named": F.coalesce("_q_source", F.lit("")), "_q_null": F.col("_q_source").isNull()})
 
-def _taken(d: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``mix`` for rows that have _q_size and _q_quality."""
-    d = d.withColumn("_q_key", -F.log(unit_hash(F.col("doc_id"))) / F.col("_q_quality"))
-    stats = d.select(F.col("source").alias("_q_source"), "_q_size").groupBy("_q_source").agg(F.count(F.lit(1)).alias("_q_n"), F.sum("_q_size").alias("_q_total"))
-    t = targets(stats, weights, share, most)
-    d = d.join(t, d["source"].eqNullSafe(t["_q_source"]))
     piece = F.floor(F.log("_q_key") * F.col("_q_n") / (ROWS_PER_PIECE * math.e))
     order = [F.col("_q_key"), F.col("doc_id").asc_nulls_first(), F.col("_q_size")]
-    d = bucketed_prefix_sum(d, ["_q_source"], piece, order, "_q_size", "_q_before_words")
+    d = bucketed_prefix_sum(aimed(d), ["_q_named", "_q_null"], piece, order, "_q_size", "_q_before_words", aimed(narrow))
     epochs = F.when(F.col("_q_total") > 0, F.floor(F.col("_q_target") / F.col("_q_total"))).otherwise(F.lit(0))
     left = F.col("_q_target") - epochs * F.col("_q_total")
     extra = (F.col("_q_before_words") + F.col("_q_size") / 2 <= left) & (epochs < most)
     return (
         d.withColumn("_q_copies", F.when(F.col("_q_size") > 0, epochs + extra.cast("int")).otherwise(0).cast("long"))
         .withColumnRenamed("_q_total", "_q_source_size")
-        .drop("_q_source", "_q_n", "_q_quality", "_q_key", "_q_before_words")
+        .drop("_q_source", "_q_named", "_q_null", "_q_n", "_q_quality", "_q_key", "_q_before_words")
     )
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """What the mix takes of each row; the text is read once, for its size and quality."""
-    text = text_or_empty()
-    narrow = stash(docs.select("doc_id", "source", word_count(text).alias("_q_size"), default_quality(text).alias("_q_quality")), "sizes")
-    m = _taken(narrow)
+    narrow = stash(_measured(docs.select("doc_id", "source", "text")).drop("text"), "sizes")
+    m = _taken(narrow, narrow)
     return m.select("doc_id", F.col("_q_size").alias("size"), F.col("_q_source_size").alias("source_size"), F.col("_q_target").alias("target"), (F.col("_q_size") * F.col("_q_copies")).alias("taken"))
 
 

@@ -134,7 +134,7 @@ def test_run(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((x.doc_id, x.text, x.source, x.ids) for x in got) == sorted((i, t, s, enc.encode_ordinary(t)) for i, t, s in want)
     kept = {i for i, *_ in want}
-    assert len(kept) < len(docs) - 30 and len(want) > len(kept) and sum(x[1] is not None and long in x[1] for x in want) <= 2
+    assert len(kept) < len(docs) - 30 and len(want) > len(kept)
 
 
 def test_run_on_empty_tables(spark, tmp_path):
