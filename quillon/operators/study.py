@@ -152,7 +152,9 @@ def weakest(users: DataFrame, wrong: DataFrame, practice: DataFrame, kps: DataFr
     all_points = kps.select("kp").distinct().agg(F.array_sort(F.collect_list("kp")).alias("all"))  # one row; points are a dictionary
     # points that were never seen: the first in order, ``most`` at most
     unseen = users.select("email").join(mine.select("email", "mine"), "email", "left").crossJoin(F.broadcast(all_points))
-    rest = F.slice(F.array_except("all", F.coalesce("mine", F.array().cast("array<long>"))), 1, most)
+    known = F.coalesce("mine", F.array().cast("array<long>"))
+    # who has seen s points finds ``most`` others among the first most + s
+    rest = F.slice(F.array_except(F.slice("all", F.lit(1), F.size(known) + most), known), 1, most)
     unseen = unseen.select("email", F.explode(rest).alias("kp")).withColumns({"wrong_count": F.lit(None).cast("long"), "practice_count": F.lit(None).cast("long"), "accuracy": F.lit(None).cast("double")})
     rows = seen.select("email", "kp", "wrong_count", "practice_count", "accuracy").unionByName(unseen)
     order = [F.col("wrong_count").desc_nulls_first(), F.col("accuracy").asc_nulls_last(), F.col("kp")]
