@@ -83,6 +83,13 @@ def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) as (doc_id, k, h, text), with k and h that only rows of equal id and text share; the lowest bit of h says that doc_id is null."""
+    text = text_or_empty()
+    h = F.xxhash64(text).bitwiseAND(F.lit(-2)) + F.col("doc_id").isNull().cast("long")
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long").alias("k"), h.alias("h"), text.alias("text"))
+
+
 def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 

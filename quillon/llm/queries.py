@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, html_text, line_dedup, media_ogg, mixing, near_dedup, quality, suffix_dedup, token_store
+from . import alignment, bpe, fingerprint, html_text, licenses, line_dedup, media_ogg, mixing, near_dedup, quality, suffix_dedup, token_store, whitening
 from .common import table
 
 
@@ -56,5 +56,17 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_media_ogg, op4_mixing, op5_quality, op6_byte_bpe, op7_suffix_dedup, op8_token_store, op9_html_text, op10_near_dedup)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_fingerprints, op3_media_ogg, op4_mixing, op5_quality, op6_byte_bpe, op7_suffix_dedup, op8_token_store, op9_html_text, op10_near_dedup, op11_alignment, op12_whitening, op13_licenses)}
 ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op4_mixing": mixing.ORACLE}
