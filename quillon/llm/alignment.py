@@ -41,7 +41,7 @@ PART_BYTES, MOST_PARTS = 3 << 20, 20_000
 #: Counted pairs that may be broadcast: 16 bytes each.
 MOST_PAIRS = 1_000_000
 #: Bytes of cut texts and ids that a side's cache holds, and of one cut that is worth keeping.
-CACHE_BYTES, CUT_BYTES = 80 << 20, 256
+CACHE_BYTES, CUT_BYTES = 48 << 20, 256
 _WORD = re.compile(r"\n| *[^ \n]+| +(?=\n)| +\Z")
 _TWO = [i.to_bytes(2, "little") for i in range(1 << 16)]
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
