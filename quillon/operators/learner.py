@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import folds
+
 
 def quality(correct: Column, time_ms: Column) -> Column:
     """Recall quality 1..5 of an answer from its correctness and time."""
@@ -12,20 +16,10 @@ def quality(correct: Column, time_ms: Column) -> Column:
 
 
 def sm2(log: DataFrame, keys: list[str], order: list[str], q: str) -> DataFrame:
-    """Spaced repetition state after each key's reviews in order: ease in hundredths, interval in days, reviews.
-
-    ease' = max(1.30, ease + 0.1 - (5-q)(0.08 + (5-q) 0.02)); the interval is 1 below quality 3, then 1, 6, round(interval * ease'), at most 365."""
-    state = "struct<ease:double,interval:long,n:long>"
-    start = F.struct(F.lit(2.5).alias("ease"), F.lit(0).cast("long").alias("interval"), F.lit(0).cast("long").alias("n")).cast(state)
-
-    def step(s: Column, x: Column) -> Column:
-        miss = 5 - x
-        ease = F.greatest(F.lit(1.3), s["ease"] + 0.1 - miss * (0.08 + miss * 0.02))
-        days = F.when(x < 3, 1).when(s["interval"] == 0, 1).when(s["interval"] == 1, 6).otherwise(F.floor(s["interval"] * ease + 0.5))
-        return F.struct(F.round(ease, 2).alias("ease"), F.least(F.lit(365), days).cast("long").alias("interval"), (s["n"] + 1).alias("n")).cast(state)
-
-    items = F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(q).cast("int").alias("_q")))), lambda x: x["_q"])
-    return log.groupBy(*keys).agg(F.aggregate(items, start, step).alias("s")).select(*keys, F.round(F.col("s.ease") * 100).cast("long").alias("ease_hundredths"), F.col("s.interval").alias("interval_days"), F.col("s.n").alias("reviews"))
+    """Spaced repetition state after each key's reviews in order: ease in hundredths, interval in days, reviews; ``folds.reviews`` says how."""
+    rows = log.select(*keys, *order, F.col(q).alias("q"), F.lit(0).alias("gain"), *[F.lit(v).alias(c) for c, v in (("ts", datetime.datetime(2000, 1, 1)), ("id", 0)) if c not in {*keys, *order}])
+    s = folds.reviews(rows, keys, every=False, needs_state=False, order=tuple(order))
+    return s.select(*keys, F.round(F.col("new_ease") * 100).cast("long").alias("ease_hundredths"), F.col("new_interval").alias("interval_days"), F.col("n").alias("reviews"))
 
 
 def ripple_batch(log: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:

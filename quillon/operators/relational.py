@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that ``mentions`` compares with every row: they are broadcast.
-MOST_WORDS = 10_000
-
 
 def clamp(x: float, lo: float, hi: float) -> float:
     return min(max(x, lo), hi)
@@ -50,31 +46,6 @@ def sorted_by(df: DataFrame, column: str, allowed: list[str], descending: bool,
     return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), *key).limit(int(clamp(limit, 1, most)))
 
 
-def mentions(df: DataFrame, words: DataFrame, fits: Callable[[Column, Column], Column], key: str, weight: str | None = None) -> DataFrame:
-    """(key, n): how many of words(word) fit each row, or the sum of their ``weight``; rows that none fits are left out.
-
-    There is no key to join by, so the words are carried to the rows as one array; more than MOST_WORDS raise an error."""
-    w = words.select("word", (F.col(weight) if weight else F.lit(1)).cast("long").alias("weight")).where("word is not null").limit(MOST_WORDS + 1)
-    found = w.agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("words"))
-    if w.count() > MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} words")
-    d = df.crossJoin(F.broadcast(found))  # one row of MOST_WORDS words at most
-    n = F.aggregate(F.filter("words", lambda x: fits(_Row(df), x["word"])), F.lit(0).cast("long"), lambda s, x: s + x["weight"])
-    return d.select(key, n.alias("n")).where("n > 0")
-
-
-class _Row:
-    """Columns of a row by name."""
-
-    def __init__(self, df: DataFrame):
-        self.names = set(df.columns)
-
-    def __getitem__(self, name: str) -> Column:
-        if name not in self.names:
-            raise KeyError(name)
-        return F.col(name)
-
-
 def numbered(df: DataFrame, order: list[str], name: str, path: str) -> DataFrame:
     """``df`` with the position (from 0) of each row in an order that ends in a key.
 

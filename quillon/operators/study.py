@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds
 from .learner import quality
 
-#: Keywords a dictionary may have: it is joined by "contains", so it is broadcast.
-MOST_KEYWORDS = 10_000
 # fixed values: how often a point is asked
 FREQUENCY = {"high": 1.5, "medium": 1.0, "low": 0.7, "高": 1.5, "中": 1.0, "低": 0.7}
 # fixed values: badges with the figure they look at and the least value
@@ -70,49 +69,15 @@ def complete_reviews(state: DataFrame, reviews: DataFrame) -> DataFrame:
     has state, with quality, mastery, interval and ease (in hundredths) before and after it, and the next date.
 
     Mastery gains 12 (5 for an answer of over a minute) or loses 15; interval and ease follow SM-2. Reviews of a point are folded in (ts, id) order."""
-    kind = "struct<id:long,d:date,quality:int,old_mastery:long,new_mastery:long,old_interval:long,new_interval:long,old_ease:double,new_ease:double>"
     q = quality(F.col("is_correct"), F.coalesce("time_ms", F.lit(0)))
     gain = F.when(~F.col("is_correct"), -15).when(F.coalesce("time_ms", F.lit(0)) > 60_000, 5).otherwise(12)
-    r = reviews.groupBy("email", "kp").agg(F.sort_array(F.collect_list(F.struct("ts", "id", q.alias("q"), gain.alias("gain")))).alias("items"))
-    r = r.join(state.select("email", "kp", "score", "ease", "days"), ["email", "kp"])
-
-    def step(log: Column, x: Column) -> Column:
-        last = F.element_at(log, -1)
-        miss = 5 - x["q"]
-        ease = F.greatest(F.lit(1.3), last["new_ease"] + 0.1 - miss * (0.08 + miss * 0.02))
-        days = F.when(x["q"] < 3, 1).when(last["new_interval"] == 0, 1).when(last["new_interval"] == 1, 6).otherwise(F.floor(last["new_interval"] * ease + 0.5))
-        days = F.least(F.lit(365), days)
-        mastery = F.greatest(F.lit(0), F.least(F.lit(100), last["new_mastery"] + x["gain"]))
-        row = F.struct(x["id"], x["ts"].cast("date"), x["q"], last["new_mastery"], mastery, last["new_interval"], days, last["new_ease"], F.round(ease, 2)).cast(kind)
-        return F.concat(log, F.array(row))
-
-    none = F.lit(None)
-    first = F.array(F.struct(none, none, none, none, F.col("score"), none, F.col("days"), none, F.col("ease")).cast(kind))
-    log = r.select("email", "kp", F.explode(F.slice(F.aggregate("items", first, step), 2, 2_000_000_000)).alias("x")).select("email", "kp", "x.*")
+    log = folds.reviews(reviews.withColumns({"q": q, "gain": gain}), ["email", "kp"], state).where("id is not null")
     cents = lambda c: F.round(F.col(c) * 100).cast("long").alias(c)
     return log.select("email", "kp", "id", "quality", "old_mastery", "new_mastery", "old_interval", "new_interval", cents("old_ease"), cents("new_ease"), F.date_add("d", F.col("new_interval").cast("int")).alias("next_review"))
 
 
-def matched(wrong: DataFrame, fields: Column, keywords: DataFrame) -> DataFrame:
-    """``wrong`` with hits, the sorted keywords of keywords(keyword) that one of ``fields`` holds; rows without any go.
-
-    The dictionary is broadcast and may have at most MOST_KEYWORDS distinct keywords; with more, an error is raised."""
-    words = keywords.select(F.lower("keyword").alias("low"), "keyword").distinct().limit(MOST_KEYWORDS + 1)
-    found = words.agg(F.sort_array(F.collect_list(F.struct("low", "keyword"))).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    if found["n"] > MOST_KEYWORDS:
-        raise ValueError(f"more than {MOST_KEYWORDS} keywords")
-    table = F.array(*[F.struct(F.lit(x["low"]).alias("low"), F.lit(x["keyword"]).alias("keyword")) for x in found["d"]]).cast("array<struct<low:string,keyword:string>>")
-
-    def held(texts: Column) -> Column:
-        return F.array_sort(F.transform(F.filter(table, lambda k: F.exists(texts, lambda f: f.contains(k["low"]))), lambda k: k["keyword"]))
-
-    # an array of one, so that the fields are taken from a row once, whatever reads them
-    found = F.filter(F.transform(F.array(fields), held), lambda h: F.size(h) > 0)
-    return wrong.select("*", F.explode(found).alias("hits"))
-
-
 def weak_points(wrong: DataFrame, kps: DataFrame, keywords: DataFrame) -> DataFrame:
-    """wrong(email, id, ts, content, hits) as ``matched`` gives it, kps(kp, name, difficulty, frequency), keywords(kp, keyword, core)
+    """wrong(email, id, ts, content, hits) as ``patterns.matched`` gives it, kps(kp, name, difficulty, frequency), keywords(kp, keyword, core)
     -> (email, kp, name, difficulty, errors, score, confidence, keywords, weakness, samples).
 
     A wrong question counts for a point if it holds one of its keywords: core ones weigh 2, others 1; confidence is the mean share of the point's keywords.

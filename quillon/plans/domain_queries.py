@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions import text as documents
-from ..operators import relational, study, vector
+from ..operators import folds, learner, patterns, relational, study, vector
 from ..registry import query
 from ..sources import files
 from ..streaming import online
@@ -77,7 +77,7 @@ def jn_membership(v: Views) -> DataFrame:
 
 
 WRONG_TEXT = """, tagged as (select w.id, w.email, w.ts, a.p_name as analysis, split_part(b.p_name, ' ', 1) as word, case when w.id % 5 = 0 then 'Nothing here' else a.p_name end as question
-    from wrong w join part a on a.p_partkey = w.id % 97 join part b on b.p_partkey = (w.id * 7) % 89),
+    from wrong w join part a on a.p_partkey = 1 + w.id % 97 join part b on b.p_partkey = 1 + (w.id * 7) % 89),
   points as (select min(p_partkey) as kp, p_name as name, 1 + min(p_partkey) % 5 as difficulty, ['low', 'medium', 'high'][1 + min(p_partkey) % 3] as frequency from part group by p_name),
   words as (select kp, split_part(name, ' ', 1) as keyword, 1 as points from points union all select kp, split_part(name, ' ', 2), 2 from points)
 """
@@ -87,7 +87,7 @@ def _notes(v: Views) -> DataFrame:
     """Wrong answers with the question as JSON; every fifth text is no JSON."""
     p = v.part
     a, b = p.select(F.col("p_partkey").alias("_a"), F.col("p_name").alias("x")), p.select(F.col("p_partkey").alias("_b"), F.split("p_name", " ")[0].alias("y"))
-    w = v.wrong.join(a, F.col("id") % 97 == F.col("_a")).join(b, (F.col("id") * 7) % 89 == F.col("_b"))
+    w = v.wrong.join(a, 1 + F.col("id") % 97 == F.col("_a")).join(b, 1 + (F.col("id") * 7) % 89 == F.col("_b"))
     data = F.when(F.col("id") % 5 == 0, F.concat(F.lit("Nothing here {"), F.lit("x"))).otherwise(F.to_json(F.struct(F.upper("x").alias("analysis"), F.struct(F.array("y").alias("keywords")).alias("metadata"))))
     return w.select("id", "email", "ts", data.alias("data"), F.when(F.col("id") % 5 == 0, "Nothing here").otherwise(F.col("x")).alias("content"))
 
@@ -100,7 +100,7 @@ def _points(v: Views) -> tuple[DataFrame, DataFrame]:
 
 def _weak(v: Views) -> DataFrame:
     k, words = _points(v)
-    return study.weak_points(study.matched(_notes(v), parse.search_fields(F.col("data")), words), k, words)
+    return study.weak_points(patterns.matched(_notes(v), parse.search_fields(F.col("data")), words), k, words)
 
 
 HITS = WRONG_TEXT + """, hits as (select t.email, t.id, t.ts, t.question, w.kp, w.keyword, w.points from tagged t join words w on t.id % 5 <> 0 and (contains(t.analysis, w.keyword) or contains(t.word, w.keyword))),
@@ -114,7 +114,7 @@ HITS = WRONG_TEXT + """, hits as (select t.email, t.id, t.ts, t.question, w.kp,
 @ask("jn_cross_keyword", "practice wrong", HITS + "select kp, keyword, count(*) as n from hits group by all")
 def jn_cross_keyword(v: Views) -> DataFrame:
     _, words = _points(v)
-    found = study.matched(_notes(v), parse.search_fields(F.col("data")), words)
+    found = patterns.matched(_notes(v), parse.search_fields(F.col("data")), words)
     return found.select(F.explode("hits").alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).join(words.select("kp", "keyword"), "keyword").select("kp", "keyword", "n")
 
 
@@ -138,7 +138,7 @@ def jn_fuzzy_bidir(v: Views) -> DataFrame:
     p = v.part
     words = p.select(F.lower("p_type").alias("word")).union(p.select("p_name")).union(v.spark.createDataFrame([("big small ring of everything",)], "word string")).distinct()
     nodes = p.select(F.col("p_partkey").alias("node"), F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("label"), F.split("p_name", " ")[0].alias("own"))
-    return relational.mentions(nodes, words, lambda node, word: node["label"].contains(word) | word.contains(node["own"]), "node")
+    return patterns.mentions(nodes, "node", words, F.col("label"), F.col("own"))
 
 
 @ask("dom_node_questions", "questions", """, nodes as (select min(p_partkey) as node, p_name as label from part group by p_name), asked as (select x.paper_id, x.seq, split_part(p.p_name, ' ', 2) as word from questions x join part p on p.p_partkey = x.kp)
@@ -148,7 +148,7 @@ def dom_node_questions(v: Views) -> DataFrame:
     p = v.part
     nodes = p.groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("node"))
     word = v.questions.join(p.select(F.col("p_partkey").alias("kp"), F.split("p_name", " ")[1].alias("word")), "kp").groupBy("word").agg(F.count(F.lit(1)).alias("weight"))
-    return relational.mentions(nodes, word, lambda node, w: node["label"].contains(w) | w.contains(node["label"]), "node", "weight").select("node", F.col("n").alias("questions"))
+    return patterns.mentions(nodes, "node", word, F.col("label"), F.col("label"), "weight").select("node", F.col("n").alias("questions"))
 
 
 # --- learners -----------------------------------------------------------------------------------------------------------------
@@ -527,9 +527,18 @@ def st_route_limits(v: Views, routes: tuple = (("auth", 20, 15 * 86_400), ("prox
   walk as (select email, kp, i, greatest(0, least(100, x)) as s from r where i = 1 union all select w.email, w.kp, r.i, greatest(0, least(100, w.s + r.x)) from walk w join r on r.email = w.email and r.kp = w.kp and r.i = w.i + 1)
   select email, kp, cast(arg_max(s, i) as bigint) as mastery_percent, count(*) as attempts from walk group by email, kp""")
 def st_mastery_online(v: Views) -> DataFrame:
-    """The log as it would arrive, through the streaming state machine; the last state of each point."""
+    """What the stream of the log ends with: the same fold, over the log as a whole."""
     log = v.practice.select("email", "kp", "ts", "id", F.expr("cast(case when is_correct and hint then 5 when is_correct then 15 else -20 end as long)").alias("delta"))
-    return online.replay(log, online.Mastery()).groupBy("email", "kp").agg(F.max_by("mastery_percent", "attempts").alias("mastery_percent"), F.max("attempts").alias("attempts"))
+    return folds.clamped(log, ["email", "kp"], ["ts", "id"], "delta").select("email", "kp", F.col("score").alias("mastery_percent"), F.col("n").alias("attempts"))
+
+
+@ask("dom_mastery_fold", "practice", """, r as (select email, kp, is_correct, case when is_correct and hint then 5 when is_correct then 15 else -20 end as x, row_number() over (partition by email, kp order by ts, id) as i from practice),
+  walk as (select email, kp, i, greatest(0, least(100, x)) as s from r where i = 1 union all select w.email, w.kp, r.i, greatest(0, least(100, w.s + r.x)) from walk w join r on r.email = w.email and r.kp = w.kp and r.i = w.i + 1),
+  n as (select email, kp, count(*) as attempts, count(*) filter (where is_correct) as correct from practice group by email, kp)
+  select n.email, n.kp, cast(arg_max(s, i) as int) as mastery_percent, attempts, correct from walk w join n on n.email = w.email and n.kp = w.kp group by n.email, n.kp, attempts, correct""")
+def dom_mastery_fold(v: Views) -> DataFrame:
+    log = v.practice.select("email", "kp", "ts", "id", F.col("is_correct").cast("long").alias("correct"), F.expr("cast(case when is_correct and hint then 5 when is_correct then 15 else -20 end as long)").alias("delta"))
+    return folds.clamped(log, ["email", "kp"], ["ts", "id"], "delta", sums=("correct",)).select("email", "kp", F.col("score").cast("int").alias("mastery_percent"), F.col("n").alias("attempts"), "correct")
 
 
 BUCKET = """, r as (select email, epoch_us(ts) as t, row_number() over (partition by email order by ts, id) as i from practice),
@@ -563,8 +572,41 @@ def st_resend_guard(v: Views, again: int = 6 * 3600, expiry: int = 5 * 86_400, t
   walk as (select email, i, greatest(0, least(100, x)) as s from r where i = 1 union all select w.email, r.i, greatest(0, least(100, w.s + r.x)) from walk w join r on r.email = w.email and r.i = w.i + 1)
   select email, cast(arg_max(s, i) as bigint) as mastery_percent from walk group by email""")
 def win_fold(v: Views) -> DataFrame:
-    log = v.practice.select("email", F.lit(0).cast("long").alias("kp"), "ts", "id", F.expr("cast(case when is_correct and hint then 5 when is_correct then 15 else -20 end as long)").alias("delta"))
-    return online.replay(log, online.Mastery()).groupBy("email").agg(F.max_by("mastery_percent", "attempts").alias("mastery_percent"))
+    log = v.practice.select("email", "ts", "id", F.expr("cast(case when is_correct and hint then 5 when is_correct then 15 else -20 end as long)").alias("delta"))
+    return folds.clamped(log, ["email"], ["ts", "id"], "delta").select("email", F.col("score").alias("mastery_percent"))
+
+
+# --- schedule: reviews without a hint are spaced; points that were only answered with one have no date -----------------------------
+SCHEDULE = """, r as (select email, kp, ts, case when not is_correct and time_ms > 30000 then 2 when not is_correct then 1 when time_ms < 10000 then 5 when time_ms < 30000 then 4 when time_ms < 60000 then 3 else 2 end as q,
+    row_number() over (partition by email, kp order by ts, id) as i from practice where not hint), f as (select email, kp, list(q order by i) as qs, max(ts) as seen from r group by email, kp),
+    s as (select email, kp, seen, list_reduce(list_prepend({'ease': cast(2.5 as double), 'days': cast(0 as bigint), 'q': 0}, list_transform(qs, lambda z: {'ease': cast(0 as double), 'days': cast(0 as bigint), 'q': z})),
+      lambda a, x: {'ease': round(greatest(cast(1.3 as double), a.ease + cast(0.1 as double) - (5 - x.q) * (cast(0.08 as double) + (5 - x.q) * cast(0.02 as double))), 2),
+        'days': cast(least(365, case when x.q < 3 then 1 when a.days = 0 then 1 when a.days = 1 then 6 else floor(a.days * greatest(cast(1.3 as double), a.ease + cast(0.1 as double) - (5 - x.q) * (cast(0.08 as double) + (5 - x.q) * cast(0.02 as double))) + 0.5) end) as bigint), 'q': 0}) as t from f),
+    planned as (select m.email, m.kp, m.score, m.attempts, m.correct, cast(cast(s.seen as date) + cast(s.t.days as int) as date) as next_review, s.t.days as days from mastery m left join s on s.email = m.email and s.kp = m.kp),
+    ranked as (select *, date_diff('day', next_review, date '2024-01-31') as late, round((1 - score) * cast(0.6 as double) + case when next_review is null then cast(0.8 as double) else least(cast(1 as double), greatest(cast(0 as double), cast(date_diff('day', next_review, date '2024-01-31') as double) / 7)) end * cast(0.4 as double), 3) as priority from planned)
+"""
+
+
+def _planned(v: Views) -> DataFrame:
+    """Mastery of every point with its next review."""
+    log = v.practice.where("not hint").select("email", "kp", "ts", "id", learner.quality(F.col("is_correct"), F.col("time_ms")).alias("q"), F.lit(0).alias("gain"))
+    plan = folds.reviews(log, ["email", "kp"], every=False, needs_state=False).select("email", "kp", F.date_add("d", F.col("new_interval").cast("int")).alias("next_review"), F.col("new_interval").alias("interval"))
+    return v.mastery.join(plan, ["email", "kp"], "left")
+
+
+@ask("dom_priority", "practice mastery", SCHEDULE + "select email, kp, next_review, priority from ranked")
+def dom_priority(v: Views, now: str = "2024-01-31 00:00:00") -> DataFrame:
+    return _planned(v).select("email", "kp", "next_review", folds.priority(F.col("score"), F.col("next_review"), now).alias("priority"))
+
+
+@ask("dom_daily_tasks", "practice mastery", SCHEDULE + """, a as (select *, row_number() over (partition by email order by score, kp) as r from ranked where attempts > 0),
+  b as (select *, row_number() over (partition by email order by priority desc, score, kp) as place from a where r <= 60),
+  c as (select *, late > 0 as is_overdue from b where place <= 20)
+  select email, cast(place as int) as place, kp, score, priority, is_overdue, cast(case when late is not null then greatest(0, late) end as bigint) as days_overdue, next_review, days as interval, attempts, correct, round(100 * correct / attempts, 1) as accuracy,
+    count(*) filter (where is_overdue) over w as total_due, count(*) filter (where score < 0.4) over w as total_weak, floor(cast(2 * sum(cast(round(priority * 1000) as bigint)) over w + count(*) over w as double) / (2 * count(*) over w)) / 1000 as avg_priority
+  from c window w as (partition by email)""")
+def dom_daily_tasks(v: Views, now: str = "2024-01-31 00:00:00", limit: int = 20, prefix: str | None = None) -> DataFrame:
+    return folds.daily_tasks(_planned(v), now, limit, prefix)
 
 
 # --- whole tables ----------------------------------------------------------------------------------------------------------------

@@ -180,10 +180,7 @@ q("fn_index_filter", "", lambda d: f"select doc_id from {d.t['documents']} where
 # --- domain -----------------------------------------------------------------------------------------------------------
 q("dom_delta", "practice", "select id, case when is_correct and hint then 0.05 when is_correct then 0.15 else -0.20 end as delta from practice")
 DELTA = "case when is_correct and hint then 5 when is_correct then 15 else -20 end"
-q("dom_mastery_fold", "practice", lambda d: f"select email, kp, cast({d.fold(DELTA, 'ts, id', '0', 'greatest(0, least(100, s + x))', 'int')} as int) as mastery_percent, count(*) as attempts, count(case when is_correct then 1 end) as correct from practice group by email, kp")
 q("dom_quality", "practice", "select id, case when not is_correct and time_ms > 30000 then 2 when not is_correct then 1 when time_ms < 10000 then 5 when time_ms < 30000 then 4 when time_ms < 60000 then 3 else 2 end as quality from practice")
-q("dom_priority", "mastery", lambda d: f"select email, kp, {PRIORITY(d)} as priority from mastery")
-q("dom_daily_tasks", "mastery", lambda d: f"select email, kp, score, priority, overdue, place from (select *, cast(row_number() over (partition by email order by priority desc, score, kp) as int) as place from (select email, kp, score, {PRIORITY(d)} as priority, {d.days(AS_OF, 'cast(last_at as date)')} > 7 as overdue from (select *, row_number() over (partition by email order by score, kp) as r from mastery where attempts > 0) a where r <= 30) b) c where place <= 10")
 q("dom_prereq", "edges", "select src, node, min(hop) as hop from (select src, dst as node, 1 as hop from edges union all select a.src, b.dst, 2 from edges a join edges b on a.dst = b.src) h group by src, node")
 q("dom_upstream", "edges kps", "select e.src as id, k.id as prerequisite, k.name from edges e join kps k on e.dst = k.id")
 q("dom_downstream", "edges kps", "select e.dst as id, k.id as dependent, k.name from edges e join kps k on e.src = k.id")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import parse
-from quillon.operators import relational, study
+from quillon.operators import patterns, relational, study
 
 
 def one(spark, column):
@@ -52,7 +52,7 @@ def test_weakness_of_two_questions(spark):
     keywords = spark.createDataFrame([(k, w, w in core) for k, ws in words.items() for w in ws], "kp string, keyword string, core boolean")
     kps = spark.createDataFrame([("MATH-001", "a", 4, "高"), ("MATH-002", "b", 5, "高")], "kp string, name string, difficulty int, frequency string")
     wrong = spark.createDataFrame([(1, 1, dt.datetime(2024, 1, 1), json.dumps({"analysis": "导数与函数单调性"}), "q1"), (1, 2, dt.datetime(2024, 1, 2), json.dumps({"analysis": "椭圆和双曲线的韦达定理"}), "q2"), (1, 3, dt.datetime(2024, 1, 3), None, "q3")], "email long, id long, ts timestamp, data string, content string")
-    got = {r.kp: r for r in study.weak_points(study.matched(wrong, parse.search_fields(F.col("data")), keywords), kps, keywords).collect()}
+    got = {r.kp: r for r in study.weak_points(patterns.matched(wrong, parse.search_fields(F.col("data")), keywords), kps, keywords).collect()}
     assert got["MATH-001"].weakness == pytest.approx(4 * 4 / 3 * 1.5) and got["MATH-002"].weakness == pytest.approx(4 * 5 / 3 * 1.5)
     assert got["MATH-001"].confidence == pytest.approx(3 / 8) and got["MATH-001"].errors == 1 and [s.id for s in got["MATH-002"].samples] == [2]
 
@@ -93,8 +93,9 @@ def test_parameters(spark):
     assert relational.between(df, "x", 4, 8).count() == 3 and relational.any_of(df, "g", None).count() == 20
     assert [r.id for r in relational.page(df, [F.desc("id")], 2, 5).collect()] == [14, 13, 12, 11, 10]
     assert [r.x for r in relational.sorted_by(df, "drop table", ["x", "g"], True, 2, 500, ["id"]).collect()] == [38, 36]
-    with pytest.raises(ValueError):
-        relational.mentions(df, spark.range(relational.MOST_WORDS + 5).selectExpr("cast(id as string) as word"), lambda r, w: r["id"].cast("string") == w, "id")
+    label = F.concat(F.lit("<"), F.col("id").cast("string"), F.lit(">"))
+    many = patterns.mentions(df, "id", spark.range(20_005).selectExpr("concat('<', id, '>') as word"), label, label)  # as many words as there are
+    assert {(r.id, r.n) for r in many.collect()} == {(i, 1) for i in range(20)}
 
 
 def test_texts_that_are_null(spark):
