@@ -1,8 +1,8 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 1. Each document's distinct word shingles are hashed to 64 bits; ``BANDS * ROWS`` MinHash functions give band keys (full values) and a
-   signature of their low 8 bits. Documents with equal shingle sets are one class and its smallest doc_id stands for it.
-2. In each band the members of a bucket are compared with its smallest doc_id only, so a bucket costs as many pairs as it has
+   signature of their low 8 bits. Texts with equal shingle sets are one class, which is a node of the graph and has a number; ids with texts of several classes link these.
+2. In each band the members of a bucket are compared with its smallest number only, so a bucket costs as many pairs as it has
    members. A pair's signatures are read in batches; it is pruned as soon as the posterior probability that its similarity reaches
    the threshold, given the matches so far, falls below ``MISS``. Survivors are verified exactly on their full shingle sets.
 3. Members that fail against their pivot form the bucket again without it, for ``ROUNDS`` rounds. A member that fails may still be linked to
@@ -10,13 +10,15 @@
    allowed distance plus ``slack`` can be. The estimate is taken from all values of the signatures, also where pruning stopped early, and either
    bound of ``slack`` loses a pair with probability below ``MISS``. These, and members left in a bucket after the last round, are compared inside tasks, in pairs of
    chunks of about ``CHUNK`` rows and ``CHUNK_BYTES`` of sets at most; a task returns only links that join two components, never pairs.
-4. Components are found by alternating large-star and small-star steps over tables.
+4. Components are found by alternating large-star and small-star steps over tables; a component's id is the smallest doc_id of its classes.
+
+Digests, ids and band keys that a large share of the rows has are joined by broadcast (``common.join_counted``).
 
 Tables in between are removed when their last reader is done, or if a step fails; one narrow table remains.
 
-Defined cases: null, empty and blank texts have no shingle and stay alone; fewer words than a shingle make one shingle; equal doc_ids are one
-node, which has the exact copies of all its texts and the near copies of one of them; null doc_ids stay alone and are kept; an empty table stays
-empty; other columns pass through ``stage``.
+Defined cases: null, empty and blank texts have no shingle and stay alone; fewer words than a shingle make one shingle; rows of equal doc_id are one
+document, with the exact and near copies of all its texts; null doc_ids stay alone and are kept; an empty table stays empty; other columns pass through ``stage``.
+Very long texts: a text, its shingle hashes (8 bytes a word) and signature must fit in a task.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shingle_sets, slices, text_or_empty, tidy, unstash
+from .common import join_counted, mix64, shingle_sets, slices, text_or_empty, tidy, unstash
 from .common import stash as keep
 
 BANDS, ROWS, BATCH = 32, 6, 32
@@ -69,23 +71,26 @@ def _profile(words: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0),
+                        b.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if x else None for s, x in zip(sets, some)], pa.binary()),
                         pa.array([low[i].tobytes() if x else None for i, x in enumerate(some)], pa.binary()),
                         pa.array([keys[i] if x else None for i, x in enumerate(some)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n", "digest", "sig", "bands"],
+                    names=["doc_id", "h", "n", "digest", "sig", "bands"],
                 )
 
     return run
 
 
 def _set_rows(words: int):
+    """(node, text, many) -> (doc_id, set, many)."""
+
     @tidy
     def run(batches):
         for whole in batches:
             for b in slices(whole):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), words)], pa.binary())], names=["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), words)], pa.binary()), b.column(2)], names=["doc_id", "set", "many"])
 
     return run
 
@@ -249,30 +254,41 @@ def _link(docs: DataFrame, words: int, threshold: float, made: list[DataFrame])
         made.append(keep(df, name))
         return made[-1]
 
-    docs = docs.select(F.col("doc_id"), text_or_empty().alias("text"))
-    all_rows = stash(docs.mapInArrow(_profile(words), "doc_id long, n long, digest binary, sig binary, bands array<long>"), "profiles")
+    text = text_or_empty()
+    docs = docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    all_rows = stash(docs.mapInArrow(_profile(words), "doc_id long, h long, n long, digest binary, sig binary, bands array<long>"), "profiles")
     sound = all_rows.where("digest is not null and doc_id is not null")
-    classes = sound.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    same = sound.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = sound.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("sig", "bands", "n"), "digest").alias("s")).select("doc_id", "s.sig", "s.bands", "s.n")
-    reps = stash(reps, "representatives")
-    members = reps.select("doc_id", F.explode("bands").alias("key"))
+    # copies of a class, and of the row that stands for it, are counted before anything wide moves
+    counted = sound.groupBy("digest", "doc_id", "h").agg(F.count(F.lit(1)).alias("same"), *[F.first(c).alias(c) for c in ("sig", "bands", "n")])
+    grouped = counted.groupBy("digest").agg(F.min(F.struct("doc_id", "h", "same")).alias("rep"), F.sum("same").alias("copies"), *[F.first(c).alias(c) for c in ("sig", "bands", "n")])
+    classes = stash(grouped.select(F.monotonically_increasing_id().alias("doc_id"), "digest", F.col("rep.doc_id").alias("rep"), F.col("rep.h").alias("rep_h"), F.col("rep.same").alias("same"), "copies", "sig", "bands", "n"), "classes")
+    # from here to the components a doc_id is the number of a class
+    reps = classes.select("doc_id", "sig", "n")
+    members = classes.select("doc_id", F.explode("bands").alias("key"))
     shared = members.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     members = stash(members.join(shared, F.col("key") == F.col("k"), "left_semi"), "members")
-    # the ids grow with the corpus, so this is never a broadcast; texts are read and moved this once
-    ids = members.select(F.col("doc_id").alias("a")).distinct()
-    texts = docs.join(ids.hint("merge"), F.col("doc_id") == F.col("a"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = stash(texts.mapInArrow(_set_rows(words), "doc_id long, set binary"), "sets")
+    # classes that meet others; the ids grow with the corpus, so this is never a broadcast; texts are read and moved this once
+    met = members.select(F.col("doc_id").alias("node")).distinct()
+    needed = stash(classes.join(met.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "rep", "rep_h", "same"), "needed")
+    texts = join_counted(docs, needed, {"doc_id": "rep", "h": "rep_h"}, "same").select("node", "text", (F.col("same") > 1).alias("many"))
+    sets = stash(texts.mapInArrow(_set_rows(words), "doc_id long, set binary, many boolean"), "sets")
+    # rows that stand several times in the table give their set once
+    sets = sets.where("not many").select("doc_id", "set").union(sets.where("many").groupBy("doc_id").agg(F.first("set").alias("set")))
 
     def paired(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
         s = of.select(F.col("doc_id").alias("u"), F.col(column).alias("x"))
         t = of.select(F.col("doc_id").alias("v"), F.col(column).alias("y"))
         return pairs.join(s, F.col("a") == F.col("u")).join(t, F.col("b") == F.col("v")).select("a", "b", "x", "y")
 
-    found, tested, stars = [same], None, []
+    # an id with texts of several classes links them
+    several = stash(sound.groupBy(F.col("doc_id").alias("id")).agg(F.min("digest").alias("first"), F.max("digest").alias("last"), F.count(F.lit(1)).alias("c")).where("first <> last").drop("last"), "several")
+    links = join_counted(sound.select("doc_id", "digest"), several, {"doc_id": "id"}, "c").select("digest", "first").where("digest <> first").distinct()
+    named = classes.select(F.col("doc_id").alias("node"), F.col("digest").alias("of"))
+    links = links.join(named.hint("merge"), F.col("digest") == F.col("of")).select(F.col("node").alias("a"), "first")
+    found, tested = [stash(links.join(named.hint("merge"), F.col("first") == F.col("of")).select("a", F.col("node").alias("b")), "same-id")], None
     for _ in range(ROUNDS):
-        pivots = members.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        starred = stash(members.join(pivots, F.col("key") == F.col("k")).where("doc_id <> p").select("key", F.col("doc_id").alias("a"), F.col("p").alias("b")), "starred")
+        pivots = stash(members.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1"), "pivots")
+        starred = stash(join_counted(members, pivots, {"key": "k"}, "c").where("doc_id <> p").select("key", F.col("doc_id").alias("a"), F.col("p").alias("b")), "starred")
         pairs = starred.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -305,8 +321,12 @@ def _link(docs: DataFrame, words: int, threshold: float, made: list[DataFrame])
     if more.limit(1).count():
         first = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
         made.append(first)
-    out = all_rows.select("doc_id", F.col("n").alias("n_shingles")).join(first, F.col("doc_id") == F.col("node"), "left")
-    return keep(out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")), "components")
+    rooted = classes.select("doc_id", "digest", "rep", "copies").join(first.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("root", "doc_id").alias("root"))
+    smallest = rooted.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("component_id"))
+    done = stash(rooted.join(smallest.hint("merge"), F.col("root") == F.col("r")).select(F.col("digest").alias("of"), "component_id", "copies"), "rooted")
+    out = join_counted(sound.select("doc_id", "n", "digest"), done, {"digest": "of"}, "copies").select("doc_id", "n", "component_id")
+    alone = all_rows.where("digest is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return keep(out.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id"), "components")
 
 
 def digest(docs: DataFrame, words: int = 2, threshold: float = 0.8) -> DataFrame:
