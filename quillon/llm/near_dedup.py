@@ -2,7 +2,7 @@
 
 1. Each document's distinct word shingles are hashed to 64 bits; ``BANDS * ROWS`` MinHash functions give band keys (full values) and a
    signature of their low 8 bits. Texts with equal shingle sets are one class, which is a node of the graph and has a number; ids with texts of several classes link these.
-2. In each band the members of a bucket are compared with its smallest number only, so a bucket costs as many pairs as it has
+2. In each band the members of a bucket are compared with the one of the smallest doc_id only, so a bucket costs as many pairs as it has
    members. A pair's signatures are read in batches; it is pruned as soon as the posterior probability that its similarity reaches
    the threshold, given the matches so far, falls below ``MISS``. Survivors are verified exactly on their full shingle sets.
 3. Members that fail against their pivot form the bucket again without it, for ``ROUNDS`` rounds. A member that fails may still be linked to
@@ -264,7 +264,7 @@ def _link(docs: DataFrame, words: int, threshold: float, made: list[DataFrame])
     classes = stash(grouped.select(F.monotonically_increasing_id().alias("doc_id"), "digest", F.col("rep.doc_id").alias("rep"), F.col("rep.h").alias("rep_h"), F.col("rep.same").alias("same"), "copies", "sig", "bands", "n"), "classes")
     # from here to the components a doc_id is the number of a class
     reps = classes.select("doc_id", "sig", "n")
-    members = classes.select("doc_id", F.explode("bands").alias("key"))
+    members = classes.select("doc_id", "rep", F.explode("bands").alias("key"))
     shared = members.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     members = stash(members.join(shared, F.col("key") == F.col("k"), "left_semi"), "members")
     # classes that meet others; the ids grow with the corpus, so this is never a broadcast; texts are read and moved this once
@@ -287,8 +287,8 @@ def _link(docs: DataFrame, words: int, threshold: float, made: list[DataFrame])
     links = links.join(named.hint("merge"), F.col("digest") == F.col("of")).select(F.col("node").alias("a"), "first")
     found, tested = [stash(links.join(named.hint("merge"), F.col("first") == F.col("of")).select("a", F.col("node").alias("b")), "same-id")], None
     for _ in range(ROUNDS):
-        pivots = stash(members.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1"), "pivots")
-        starred = stash(join_counted(members, pivots, {"key": "k"}, "c").where("doc_id <> p").select("key", F.col("doc_id").alias("a"), F.col("p").alias("b")), "starred")
+        pivots = stash(members.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("rep", "doc_id"))["doc_id"].alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1"), "pivots")
+        starred = stash(join_counted(members, pivots, {"key": "k"}, "c").where("doc_id <> p").select("key", "rep", F.col("doc_id").alias("a"), F.col("p").alias("b")), "starred")
         pairs = starred.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -297,7 +297,7 @@ def _link(docs: DataFrame, words: int, threshold: float, made: list[DataFrame])
         found.append(verified)
         new = judged.join(verified.withColumn("linked", F.lit(True)), ["a", "b"], "left").select("a", "b", "estimate", F.coalesce("linked", F.lit(False)).alias("linked"))
         tested = stash(new if tested is None else tested.union(new), "tested")
-        members = stash(starred.join(tested.where("not linked"), ["a", "b"], "left_semi").select(F.col("a").alias("doc_id"), "key"), "members")
+        members = stash(starred.join(tested.where("not linked"), ["a", "b"], "left_semi").select(F.col("a").alias("doc_id"), "rep", "key"), "members")
         if not members.limit(1).count():
             break
     # what no pivot has settled: of each pivot, members near it but not linked, against each other and all that are linked; and
@@ -310,10 +310,10 @@ def _link(docs: DataFrame, words: int, threshold: float, made: list[DataFrame])
     close = close.join(far.select(F.col("g").alias("h")).distinct(), F.col("g") == F.col("h"), "left_semi")
     rest = members.select(F.col("key").alias("g"), F.col("doc_id").alias("doc"), F.lit(0.0).alias("estimate"), F.lit(0).alias("side")).distinct()
     rows = far.union(close).withColumn("kind", F.lit(0)).union(rest.withColumn("kind", F.lit(1)))
-    rows = rows.join(reps.select("doc_id", F.col("n").alias("size")), F.col("doc") == F.col("doc_id")).drop("doc_id")
+    rows = stash(rows.join(reps.select("doc_id", "sig", F.col("n").alias("size")), F.col("doc") == F.col("doc_id")).drop("doc_id"), "unsettled")
     chunks = rows.groupBy(F.col("kind").alias("k2"), F.col("g").alias("g2")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") * 8 / CHUNK_BYTES)).cast("int").alias("c"), F.expr("count_if(side = 0)").alias("n0"), F.count(F.lit(1)).alias("n")).where("n0 > 0 and n > 1")
     rows = rows.join(chunks, (F.col("kind") == F.col("k2")) & (F.col("g") == F.col("g2"))).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("c")).cast("int"))
-    rows = rows.join(first, F.col("doc") == F.col("node"), "left").join(reps.select("doc_id", "sig"), F.col("doc") == F.col("doc_id")).drop("doc_id").join(sets, F.col("doc") == F.col("doc_id"))
+    rows = rows.join(first, F.col("doc") == F.col("node"), "left").join(sets, F.col("doc") == F.col("doc_id"))
     # every pair of chunks meets once: a row goes to the pairs its chunk is in
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     rows = rows.select("kind", "g", "lo", "hi", "doc", F.coalesce("root", "doc").alias("root"), "side", "estimate", "sig", "set")
