@@ -98,18 +98,30 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool,
     return named, named, readers
 
 
-def blocks(page: str, spared: frozenset = frozenset()) -> list[tuple[str, float, bool, bool]]:
+def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
     """(text, link density, unwanted, in an article or main element) of each block that has text, in page order.
 
-    ``spared``: where elements start whose names don't count, as an outermost article or main or most of the text stands in them; found on the way, the page
-    is read again without them."""
+    Where only names speak against elements that hold an outermost article or main or most of the text, the page is read again without these names."""
+    spared: frozenset = frozenset()
+    while True:
+        out, holders = _read(page, spared)
+        if not holders:
+            return out
+        spared |= holders
+
+
+def _read(page: str, spared: frozenset) -> tuple[list[tuple[str, float, bool, bool]], set[int]]:
+    """The blocks, and where elements start whose names shouldn't have counted."""
     out: list[tuple[str, float, bool, bool]] = []
     text: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, int | None]] = []  # the last: where an element starts that is unwanted for its names only
     holders: set[int] = set()
-    under: dict[int, int] = {}  # characters in elements that only their names speak against, by where the outermost starts
+    named_only: list[int] = []  # of those in the stack, the outermost first
+    under: dict[int, int] = {}  # characters in elements that only their names speak against, by where the innermost starts
+    above: dict[int, int | None] = {}  # where the next such element around it starts
     firm: set[int] = set()
+    count: dict[str, int] = {}  # open elements by name: what isn't open needs no look through the stack
     bad = articles = links = at = 0
 
     def flush() -> None:
@@ -125,7 +137,10 @@ def blocks(page: str, spared: frozenset = frozenset()) -> list[tuple[str, float,
         nonlocal bad, articles, links
         if any(t in BLOCKS for t, *_ in stack[i:]):
             flush()
-        for tag, unwanted, _ in stack[i:]:
+        for tag, unwanted, where in stack[i:]:
+            count[tag] -= 1
+            if unwanted and where is not None:
+                named_only.pop()
             bad -= unwanted
             articles -= tag in ("article", "main")
             links -= tag == "a"
@@ -139,9 +154,8 @@ def blocks(page: str, spared: frozenset = frozenset()) -> list[tuple[str, float,
             text.append(piece)
             if links:
                 linked.append(piece)
-        elif m.start() > at and not links and all(where is not None for _, x, where in stack if x):
-            first = next(where for _, x, where in stack if x)
-            under[first] = under.get(first, 0) + len(page[at : m.start()].strip())
+        elif m.start() > at and not links and bad == len(named_only):
+            under[named_only[-1]] = under.get(named_only[-1], 0) + len(page[at : m.start()].strip())
         at = m.end()
         tag, end = m[2], m[4]
         if tag is not None:
@@ -154,20 +168,24 @@ def blocks(page: str, spared: frozenset = frozenset()) -> list[tuple[str, float,
                 elif tag == "br":
                     text.append(" ")
                 continue
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and count.get("p"):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
                         close(i)
                         break
                     if stack[i][0] in BLOCKS:
                         break
-            elif tag == "a" and links:
+            elif tag == "a" and count.get("a"):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "a":
                         links -= 1
+                        count["a"] -= 1
+                        if stack[i][1] and stack[i][2] is not None:
+                            named_only.remove(stack[i][2])
+                        bad -= stack[i][1]
                         del stack[i]
                         break
-            if tag == "li" or tag in ("td", "th", "tr", "dd", "dt", "option"):
+            if tag in ("li", "td", "th", "tr", "dd", "dt", "option") and count.get(tag):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         close(i)
@@ -183,33 +201,58 @@ def blocks(page: str, spared: frozenset = frozenset()) -> list[tuple[str, float,
                 firm.add(m.start())
             if named and m.start() in spared:
                 unwanted = named = False
-            if tag in ("article", "main") and not articles and bad and all(where is not None for _, x, where in stack if x):
-                holders.update(where for _, x, where in stack if x)
+            if tag in ("article", "main") and not articles and bad and bad == len(named_only):
+                holders.update(named_only)
             stack.append((tag, unwanted, m.start() if named else None))
+            count[tag] = count.get(tag, 0) + 1
+            if unwanted and named:
+                above[m.start()] = named_only[-1] if named_only else None
+                named_only.append(m.start())
             bad += unwanted
             articles += tag in ("article", "main")
             links += tag == "a"
         elif end is not None:
             end = end.lower()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == end:
-                    close(i)
-                    break
-            else:
-                if end in BLOCKS:
-                    flush()
+            if count.get(end):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == end:
+                        close(i)
+                        break
+            elif end in BLOCKS:
+                flush()
     if not holders and under and not any(article for *_, article in out):
-        most = max(under, key=under.get)
-        if most not in firm and 2 * under[most] > sum(under.values()) + sum(len(t) for t, *_ in out) + sum(map(len, text)):
-            holders.add(most)
+        holders = _most(under, above, firm, sum(under.values()) + sum(len(t) for t, *_ in out) + sum(map(len, text)), not {"article", "main"} & set(count))
     if holders:
-        return blocks(page, spared | holders)
+        return out, holders
     if at < len(page) and stack and stack[-1][0] == "head" and page[at:].strip():
         close(len(stack) - 1)
     if at < len(page) and not bad:
         text.append(html.unescape(page[at:]))
     flush()
-    return out
+    return out, set()
+
+
+def _most(under: dict[int, int], above: dict[int, int | None], firm: set[int], total: int, all_of_them: bool) -> set[int]:
+    """Of elements inside each other, from the outside in, those that hold more than half of a page's text each, or only the first; none that is of readers' comments, nor what is
+    in it. Where a page has an article or main, what is in the first may be read as such, and decides whether there are more."""
+    held: dict[int, int] = {}
+    inside: dict[int | None, list[int]] = {}
+    for where in sorted(above, reverse=True):  # an element starts after those around it
+        held[where] = held.get(where, 0) + under.get(where, 0)
+        around = above[where]
+        inside.setdefault(around, []).append(where)
+        if around is not None:
+            held[around] = held.get(around, 0) + held[where]
+    found: set[int] = set()
+    at: int | None = None
+    while at in inside:
+        at = max(inside[at], key=lambda where: (held[where], -where))
+        if at in firm or 2 * held[at] <= total:
+            break
+        found.add(at)
+        if not all_of_them:
+            break
+    return found
 
 
 def _size(text: str) -> int:
