@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions import text as documents
-from ..operators import folds, learner, patterns, relational, study, vector
+from ..operators import context, folds, learner, patterns, relational, study, vector
 from ..registry import query
 from ..sources import files
 from ..streaming import online
@@ -362,43 +362,54 @@ def dom_exam_wrong(v: Views) -> DataFrame:
     return _exam(v)["wrong"]
 
 
-@ask("dom_context", "practice mastery edges", "select m.email, e.src, e.dst, m.score, m.score < 0.6 as weak from edges e join mastery m on m.kp = e.dst")
+CONTEXT = """, asks as (select distinct email, kp from practice), h1 as (select distinct src as kp, dst as prerequisite from edges), h2 as (select distinct a.kp, b.dst as prerequisite from h1 a join edges b on b.src = a.prerequisite),
+  hops as (select kp, prerequisite, min(hop) as hop from (select *, 1 as hop from h1 union all select *, 2 from h2) group by kp, prerequisite),
+  c as (select a.email, a.kp, h.prerequisite, h.hop, m.score, coalesce(m.score < 0.6, false) as is_weak from asks a join hops h on h.kp = a.kp left join mastery m on m.email = a.email and m.kp = h.prerequisite)
+"""
+
+
+def _context(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Every learner asks about every point that is in their log."""
+    asks = v.practice.select("email", "kp")
+    return asks, context.assembled(asks, v.edges, v.mastery)
+
+
+@ask("dom_context", "practice mastery edges", CONTEXT + "select * from c")
 def dom_context(v: Views) -> DataFrame:
-    """Prerequisites with every learner's mastery of them; a pair without mastery has no row here, and isn't weak."""
-    return v.edges.join(v.mastery.select("email", F.col("kp").alias("dst"), "score"), "dst").select("email", "src", "dst", "score", (F.col("score") < 0.6).alias("weak"))
+    return _context(v)[1]
 
 
-@ask("dom_depth", "practice mastery edges", "select m.email, e.src, case when min(m.score) < 0.3 then 'review_only' when min(m.score) < 0.6 then 'guided_review' else 'full_solution' end as depth, min(m.score) >= 0.6 as skip_allowed from edges e join mastery m on m.kp = e.dst group by m.email, e.src")
+@ask("dom_depth", "practice mastery edges", CONTEXT + """select a.email, a.kp, case when count(*) filter (where is_weak and score < 0.3) > 0 then 'review_only' when count(*) filter (where is_weak) > 0 then 'guided_review' else 'full_solution' end as depth,
+  count(*) filter (where is_weak) = 0 as skip_allowed from asks a left join c on c.email = a.email and c.kp = a.kp group by a.email, a.kp""")
 def dom_depth(v: Views) -> DataFrame:
-    return dom_context(v).groupBy("email", "src").agg(F.min("score").alias("s")).select("email", "src", F.when(F.col("s") < 0.3, "review_only").when(F.col("s") < 0.6, "guided_review").otherwise("full_solution").alias("depth"), (F.col("s") >= 0.6).alias("skip_allowed"))
+    return context.depth(*_context(v))
 
 
-@ask("dom_path_plan", "practice mastery edges", """, x as (select m.email, e.src, e.dst, m.score < 0.6 as weak, count(*) filter (where m.score < 0.6) over (partition by m.email, e.src) as n, row_number() over (partition by m.email, e.src, m.score < 0.6 order by m.score, e.dst) as r from edges e join mastery m on m.kp = e.dst)
-  select email, src, r as step, 'review' as kind, dst as kp from x where weak union all select distinct email, src, n + 1, 'solve', src from x""")
+@ask("dom_path_plan", "practice mastery edges", CONTEXT + """, w as (select *, row_number() over (partition by email, kp order by score, prerequisite) as r from c where is_weak)
+  select email, kp, r as step, 'review' as kind, prerequisite as target from w union all select a.email, a.kp, 1 + (select count(*) from w where w.email = a.email and w.kp = a.kp), 'solve', a.kp from asks a""")
 def dom_path_plan(v: Views) -> DataFrame:
-    """Weak prerequisites, weakest first, then the point itself."""
-    c = dom_context(v).groupBy("email", "src").agg(F.array_sort(F.collect_list(F.when(F.col("weak"), F.struct("score", "dst")))).alias("w"))
-    steps = F.concat(F.transform("w", lambda x: F.struct(F.lit("review").alias("kind"), x["dst"].alias("kp"))), F.array(F.struct(F.lit("solve").alias("kind"), F.col("src").alias("kp"))))
-    return c.select("email", "src", F.posexplode(steps).alias("i", "x")).select("email", "src", (F.col("i") + 1).cast("long").alias("step"), "x.kind", "x.kp")
+    return context.path_plan(*_context(v))
+
+
+GRAPH = ", asked as (select unnest([1, 2, 3]) as email)"
 
 
-@ask("dom_graph_export", "practice mastery kps", "select m.email, k.id, coalesce(nullif(k.name, ''), cast(k.id as varchar)) as name, coalesce(nullif(k.subject, ''), 'unknown') as subject, m.score from mastery m join kps k on k.id = m.kp")
-def dom_graph_export(v: Views) -> DataFrame:
-    """Nodes with each learner's mastery."""
-    or_else = lambda c, x: F.coalesce(F.nullif(F.col(c), F.lit("")), x)
-    return v.mastery.join(v.kps.withColumnRenamed("id", "kp"), "kp").select("email", F.col("kp").alias("id"), or_else("name", F.col("kp").cast("string")).alias("name"), or_else("subject", F.lit("unknown")).alias("subject"), "score")
+@ask("dom_graph_export", "practice mastery kps", GRAPH + """select cast(a.email as int) as email, k.id, coalesce(nullif(k.name, ''), cast(k.id as varchar)) as name, coalesce(nullif(k.subject, ''), 'unknown') as subject, k.difficulty, m.score as mastery
+  from asked a cross join kps k left join mastery m on m.email = a.email and m.kp = k.id""")
+def dom_graph_export(v: Views, learners: tuple = (1, 2, 3)) -> DataFrame:
+    """All nodes with the mastery of the learners asked for, null where there is none."""
+    return context.nodes(v.kps, v.mastery, learners)
 
 
-@ask("dom_graph_export_edges", "practice mastery edges", "select m.email, e.src, e.dst from edges e join mastery m on m.kp = e.src join mastery n on n.kp = e.dst and n.email = m.email")
+@ask("dom_graph_export_edges", "edges kps", "select e.src, e.dst from edges e where e.src in (select id from kps) and e.dst in (select id from kps)")
 def dom_graph_export_edges(v: Views) -> DataFrame:
-    """Edges of which a learner's graph has both ends."""
-    m = v.mastery.select("email", "kp")
-    return m.withColumnRenamed("kp", "src").join(v.edges, "src").join(m.withColumnRenamed("kp", "dst"), ["email", "dst"], "left_semi").select("email", "src", "dst")
+    return context.shown_edges(v.kps, v.edges)
 
 
-@ask("dom_graph_export_stats", "practice mastery", "select email, count(*) as total, count(*) filter (where score >= 0.7) as mastered, count(*) filter (where score < 0.4) as weak from mastery group by email")
-def dom_graph_export_stats(v: Views) -> DataFrame:
-    return v.mastery.groupBy("email").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("score") >= 0.7).alias("mastered"), F.count_if(F.col("score") < 0.4).alias("weak"))
+@ask("dom_graph_export_stats", "practice mastery kps edges", GRAPH + """select cast(a.email as int) as email, count(*) as total_nodes, (select count(*) from edges e where e.src in (select id from kps) and e.dst in (select id from kps)) as total_edges,
+  count(*) filter (where m.score >= 0.7) as mastered, count(*) filter (where m.score < 0.4) as weak from asked a cross join kps k left join mastery m on m.email = a.email and m.kp = k.id group by a.email""")
+def dom_graph_export_stats(v: Views, learners: tuple = (1, 2, 3)) -> DataFrame:
+    return context.graph_stats(context.nodes(v.kps, v.mastery, learners), context.shown_edges(v.kps, v.edges))
 
 
 @ask("dom_ingest_rules", "", ", d as (select doc_id, doc_id % 7 as difficulty, length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) as n from documents) select doc_id, n >= 10 as long_enough, difficulty between 1 and 5 as difficulty_ok, n >= 10 and difficulty between 1 and 5 as accepted from d")
