@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions import text as documents
-from ..operators import context, folds, learner, patterns, relational, study, vector
+from ..operators import asof, context, folds, learner, patterns, relational, study, vector
 from ..registry import query
 from ..sources import files
 from ..streaming import online
@@ -587,6 +587,22 @@ def win_fold(v: Views) -> DataFrame:
     return folds.clamped(log, ["email"], ["ts", "id"], "delta").select("email", F.col("score").alias("mastery_percent"))
 
 
+@ask("jn_asof", "practice", """, l as (select id, email, ts from practice where not is_correct), r as (select email, ts, max(id) as good from practice where is_correct group by email, ts),
+  select l.id, l.email, t.good as last_good from l asof left join r t on l.email = t.email and l.ts >= t.ts""")
+def jn_asof(v: Views) -> DataFrame:
+    """To every wrong answer the learner's last right one before it."""
+    right = v.practice.where("is_correct").select("email", "ts", "id")
+    return asof.asof(v.practice.where("not is_correct").select("id", "email", "ts"), right, ["email"], "ts", {"id": "last_good"}).select("id", "email", "last_good")
+
+
+@ask("ext_session", "practice", """, g as (select email, ts, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 12 hours then 1 else 0 end as new from practice window w as (partition by email order by ts, id)),
+  s as (select *, sum(new) over (partition by email order by ts rows between unbounded preceding and current row) as k from g)
+  select email, epoch_us(min(ts)) as started_at, epoch_us(max(ts) + interval 12 hours) as ended_at, count(*) as n from s group by email, k""")
+def ext_session(v: Views, gap: str = "12 hours") -> DataFrame:
+    s = online.sessions(v.practice.select("id", "email", "ts"), gap)
+    return s.select("email", F.unix_micros(F.col("started_at").cast("timestamp")).alias("started_at"), F.unix_micros(F.col("ended_at").cast("timestamp")).alias("ended_at"), "n")
+
+
 # --- schedule: reviews without a hint are spaced; points that were only answered with one have no date -----------------------------
 SCHEDULE = """, r as (select email, kp, ts, case when not is_correct and time_ms > 30000 then 2 when not is_correct then 1 when time_ms < 10000 then 5 when time_ms < 30000 then 4 when time_ms < 60000 then 3 else 2 end as q,
     row_number() over (partition by email, kp order by ts, id) as i from practice where not hint), f as (select email, kp, list(q order by i) as qs, max(ts) as seen from r group by email, kp),

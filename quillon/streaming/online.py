@@ -151,3 +151,12 @@ def resend_guard(events: DataFrame, again: int, expiry: int, tries: int) -> Data
 def daily_activity(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Answers a day and subject; a day is final when the watermark passes it."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "subject").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """events(id, email, ts), as a stream or a table -> (email, started_at, ended_at, n): answers with less than ``gap`` between them are one session.
+
+    On a stream an event that comes again is dropped while the watermark hasn't passed it, a session is final when the watermark passes its end, and what comes later is dropped."""
+    d = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"]) if events.isStreaming else events.dropDuplicates(["id"])
+    s = d.groupBy("email", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return s.select("email", F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "n")
