@@ -1,4 +1,4 @@
-"""Queries over DataFrame operators that SQL text doesn't show: keyed writes and folds."""
+"""Queries over DataFrame operators that SQL text doesn't show: folds, files, vectors, repairs."""
 
 from __future__ import annotations
 
@@ -7,37 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import parse, text
-from ..operators import learner, tables, vector
+from ..operators import learner, vector
 from ..registry import query
 from ..sources import files
 from .dialect import Duck, Spark, with_views
 
-OLD = "select n_nationkey as code, n_name as name, n_regionkey as region from nation"
-NEW = "select n_nationkey + 20 as code, upper(n_name) as name, case when n_nationkey % 2 = 0 then n_regionkey end as region from nation where n_nationkey < 15"
-
-
-def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    old = n.select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    new = n.where("n_nationkey < 15").select((F.col("n_nationkey") + 20).alias("code"), F.upper("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_regionkey")).alias("region"))
-    return old, new
-
-
-def _keyed(name: str, f, oracle: str) -> None:
-    query(name, f"with o as ({OLD}), n as ({NEW}) {oracle}")(lambda spark, sf_dir: tables.save(f(*_tables(spark, sf_dir)), files.scratch(spark, name)))
-
-
-# every one is written as the table's next version and read from there
-_keyed("snk_insert", lambda o, n: tables.insert(o, n), "select * from o union all select * from n")
-_keyed("snk_upsert", lambda o, n: tables.upsert(o, n, ["code"]), "select * from n union all select * from o where code not in (select code from n)")
-_keyed("snk_upsert_keep", lambda o, n: tables.upsert_keep(o, n, ["code"]), "select coalesce(n.code, o.code) as code, coalesce(n.name, o.name) as name, coalesce(n.region, o.region) as region from o full join n on o.code = n.code")
-_keyed("snk_insert_ignore", lambda o, n: tables.insert_ignore(o, n, ["code"]), "select * from o union all select * from n where code not in (select code from o)")
-_keyed("snk_replace", lambda o, n: tables.replace(o, n, ["region"]), "select * from o where not exists (select 1 from n where n.region = o.region) union all select * from n")
-_keyed("snk_update", lambda o, n: tables.update(o, n, ["code"]), "select o.code, coalesce(n.name, o.name) as name, coalesce(n.region, o.region) as region from o left join n on o.code = n.code")
-_keyed("snk_delete", lambda o, n: tables.delete(o, n, ["code"]), "select * from o where code not in (select code from n)")
-_keyed("snk_batch_insert", lambda o, n: tables.insert(o, n).groupBy("region").agg(F.count(F.lit(1)).alias("n")), "select region, count(*) as n from (select * from o union all select * from n) a group by region")
-
-
 def _practice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(with_views(Spark(sf_dir), "practice") + "select * from practice")
 

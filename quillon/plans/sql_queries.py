@@ -50,7 +50,6 @@ q("flt_ilike", "kps", lambda d: "select id, name from kps where lower(name) like
 q("flt_is_null", "practice", lambda d: f"select count(*) as n from practice where {d.json('props', 'k')} is not null")
 q("flt_exclude_id", "rag", "select id, kp from rag where id <> 7 and kp = 3")
 q("flt_relative_date", "practice", lambda d: f"select count(*) as n, count(distinct email) as users from practice where ts >= {d.plus_days(AS_OF, -7)}")
-q("flt_relative_year", "papers", lambda d: f"select yr, count(*) as n from papers where yr >= (select max(yr) from papers) - 3 group by yr")
 q("prj_case_bucket", "sessions", "select id, case when acc >= 90 then '90-100' when acc >= 80 then '80-89' when acc >= 70 then '70-79' when acc >= 60 then '60-69' else '0-59' end as bucket from (select id, 100.0 * correct_count / question_count as acc from sessions) s")
 q("prj_coalesce", "users sessions", "select u.email, coalesce(s.n, 0) as n_sessions from users u left join (select email, count(*) as n from sessions group by email) s on u.email = s.email")
 q("prj_rename_struct", "questions", "select paper_id as paper, seq as number, qtype as question_type from questions where score > 45")
@@ -102,7 +101,6 @@ q("agg_compare", "papers questions", "select p.province, count(distinct p.id) as
 q("agg_province_stats", "papers", "select count(distinct province) as provinces, count(distinct subject) as subjects, count(*) as papers, min(yr) as first_year, max(yr) as last_year from papers")
 q("agg_paper_stats", "papers", "select province, count(*) as n, min(yr) as first_year, max(yr) as last_year from papers group by province")
 q("agg_refresh_paper", "papers questions", "select p.id, coalesce(a.n, 0) as question_count, a.d as difficulty_avg, coalesce(a.s, 0) as total_score from papers p left join (select paper_id, count(*) as n, round(avg(difficulty), 4) as d, cast(sum(score) as bigint) as s from questions where difficulty is not null group by paper_id) a on a.paper_id = p.id")
-q("agg_kp_stats_build", "questions papers", "select p.province, p.yr, p.subject, x.kp, count(*) as frequency, round(avg(x.difficulty), 4) as avg_difficulty, cast(sum(x.score) as bigint) as total_score from questions x join papers p on x.paper_id = p.id group by p.province, p.yr, p.subject, x.kp")
 q("agg_filter_clause", "rag", "select count(*) as n, count(*) filter (where embedding is not null) as embedded, count(distinct kp) filter (where difficulty > 2) as kps from rag")
 q("agg_cond_avg", "practice", "select cast(ts as date) as day, round(avg(case when is_correct then 100.0 else 0.0 end), 4) as accuracy, count(*) as n from practice group by cast(ts as date)")
 q("agg_monthly", "sessions", lambda d: f"select {d.month('started_at')} as month, cast(sum(case when correct_count * 2 > question_count then 1 else 0 end) as bigint) as passed, count(*) as n from sessions group by {d.month('started_at')} order by month desc limit 6")
@@ -111,7 +109,7 @@ q("agg_avg_of_daily", "practice", lambda d: "select round(avg(acc), 4) as avg_ac
 q("agg_user_stats", "users practice wrong sessions checkins", """select u.email, coalesce(p.n, 0) as practiced, coalesce(p.c, 0) as correct, coalesce(w.n, 0) as wrong_count, coalesce(s.n, 0) as exams, coalesce(s.b, 0) as best_correct, coalesce(c.n, 0) as checkin_days from users u
     left join (select email, count(*) as n, count(case when is_correct then 1 end) as c from practice group by email) p on p.email = u.email left join (select email, count(*) as n from wrong group by email) w on w.email = u.email
     left join (select email, count(*) as n, max(correct_count) as b from sessions group by email) s on s.email = u.email left join (select email, count(*) as n from checkins group by email) c on c.email = u.email""")
-q("agg_points_sum", "practice", "select email, cast(sum(case when is_correct then 10 else 2 end) as bigint) as points from practice group by email")
+q("agg_points_sum", "practice checkins", "select email, cast(sum(points) as bigint) as points from (select email, case when is_correct then 10 else 2 end as points from practice union all select email, 5 from checkins) log group by email")
 q("agg_srs_stats", "practice", lambda d: f"select email, count(*) as total, count(case when cast(ts as date) = date '2024-01-30' then 1 end) as today, count(distinct case when ts >= {d.plus_days(AS_OF, -30)} then cast(ts as date) end) as active_days from practice group by email")
 q("agg_status_map", "papers", lambda d: f"select {d.joined('x')} as status_counts from (select level || '=' || cast(count(*) as varchar(20)) as x from papers group by level) a")
 q("agg_table_counts", "", lambda d: " union all ".join(f"select '{t}' as name, count(*) as n from {d.t[t]}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")))
@@ -119,7 +117,6 @@ q("agg_graph_stats", "mastery", "select count(*) as total, count(case when score
 q("agg_task_stats", "practice", "select outcome, count(*) as n from (select case when hint then 'fallback' when is_correct then 'success' when time_ms > 60000 then 'failed' else 'lowQuality' end as outcome from practice) a group by outcome")
 q("agg_label_counts", "kps papers", "select 'KnowledgePoint' as label, count(*) as n from kps union all select 'Paper', count(*) from papers")
 q("agg_collect", "questions kps", lambda d: f"select x.paper_id, {d.joined('k.name')} as names from questions x join kps k on x.kp = k.id group by x.paper_id")
-q("agg_annotation_quality", "papers questions", "select p.subject, count(*) as questions, count(case when x.difficulty >= 3 then 1 end) as matched, round(1.0 * count(case when x.difficulty >= 3 then 1 end) / count(*), 4) as rate, round(avg(case when x.difficulty >= 3 then x.difficulty end), 4) as avg_related from questions x join papers p on x.paper_id = p.id group by p.subject")
 q("agg_dedup_min", "questions", "select paper_id, question_number, min(seq) as seq from questions group by paper_id, question_number")
 q("ext_rollup_region_year", "papers provinces", "select v.region, p.yr, count(*) as n from papers p join provinces v on p.province = v.code group by rollup (v.region, p.yr)")
 
@@ -167,15 +164,11 @@ q("fn_normalise_answer", "kps", "select id, lower(trim('  ' || upper(name) || '
 q("fn_contains_ci", "", lambda d: f"select doc_id, lower(text) like '%the%' as hit from {d.t['documents']}")
 q("fn_json_get", "practice", lambda d: f"select id, {d.json('props', 'k')} as k from practice")
 q("fn_json_safe", "practice", lambda d: f"select id, coalesce({d.json('props', 'missing')}, {d.json('props', 'k')}, '[]') as v from practice")
-q("fn_backfill", "wrong practice", lambda d: f"select id, cast(greatest(1, least(5, coalesce(cast({d.json('data', 'k')} as int), 3))) as int) as difficulty, coalesce(subject, 'unknown') as subject from wrong")
-q("fn_subject_map", "practice", "select id, case subject when 'click' then 'maths' when 'view' then 'physics' when 'purchase' then 'chemistry' else subject end as name from practice")
 q("fn_weakness_index", "kps wrong practice", "select k.id, round(count(*) * k.difficulty / 3.0 * case k.frequency when 'high' then 1.5 when 'medium' then 1.0 else 0.7 end, 6) as weakness from wrong w join kps k on w.kp = k.id group by k.id, k.difficulty, k.frequency")
-q("fn_classify_file", "", lambda d: f"select page_id, case when {d.matches('url', 'blog')} then 'blog' when {d.matches('url', '^https')} then 'secure' when {d.matches('url', 'm[.]')} then 'mobile' else 'other' end as subject from {d.t['pages']}")
 q("fn_sha256", "", lambda d: f"select doc_id, {d.sha('text')} as hash from {d.t['documents']}")
 q("fn_chunk_filter", "", lambda d: f"select doc_id from {d.t['documents']} where length(trim(text)) >= 50")
 q("fn_metadata_header", "", lambda d: f"select doc_id, '[' || source || '|' || lang || '] ' || text as header from {d.t['documents']}")
 q("fn_strip_data_url", "", lambda d: f"select conv_id, turn, {d.replace(chr(39) + 'data:image/png;base64,' + chr(39) + ' || role', '^data:image/[a-z]+;base64,', '')} as body from {d.t['conversations']}")
-q("fn_index_filter", "", lambda d: f"select doc_id from {d.t['documents']} where lang = 'fr' and source in ('src1', 'src2', 'src3') order by doc_id")
 
 # --- domain -----------------------------------------------------------------------------------------------------------
 q("dom_delta", "practice", "select id, case when is_correct and hint then 0.05 when is_correct then 0.15 else -0.20 end as delta from practice")
@@ -188,8 +181,6 @@ q("dom_recommend", "wrong practice", "select email, case when n = 0 then 30 when
 q("dom_exam_start", "questions", lambda d: f"select paper_id, seq, qtype, score from questions where qtype = 'R' order by md5('exam' || {d.text('paper_id')} || '-' || {d.text('seq')}), paper_id, seq limit 20")
 q("dom_checkin", "checkins", lambda d: f"select email, d, streak, 5 + least(streak, 20) as points from ({STREAK(d)}) s")
 q("dom_exam_score_ui", "sessions", "select id, correct_count as correct, question_count - correct_count as wrong_or_blank, cast(floor(100.0 * correct_count / question_count + 0.5) as int) as percent from sessions")
-q("dom_trend_client", "questions papers", "select x.kp, count(case when p.yr = 1995 then 1 end) as y1995, count(case when p.yr = 1996 then 1 end) as y1996, count(case when p.yr = 1997 then 1 end) as y1997, count(*) as total from questions x join papers p on p.id = x.paper_id group by x.kp order by total desc, x.kp limit 20")
-q("dom_retrieve_docs", "", lambda d: f"select doc_id, source from {d.t['documents']} where n_chars > 100 and lang = 'en' order by doc_id")
 q("ext_tumbling", "practice", "select cast(ts as date) as day, subject, count(*) as n from practice group by cast(ts as date), subject")
 
 
@@ -203,6 +194,3 @@ q("dom_paper", "mastery kps", f"""select r.email, v.i + 1 as number, case when v
     case when v.i < 5 or v.i in (13, 14) then 'easy' when v.i = 19 then 'hard' else 'medium' end as level
     from (select email, kp, weak, row_number() over (partition by email order by case when weak then 0 else 1 end, difficulty desc, kp) - 1 as i, count(*) over (partition by email) as n
       from (select m.email, m.kp, m.score < 0.6 as weak, k.difficulty from mastery m join kps k on k.id = m.kp) a) r join (values {SLOTS}) v(i) on v.i % r.n = r.i""")
-# fill missing values, keep the first of double questions, link them to points and mark the links without one
-q("dom_migration", "questions kps", """select x.paper_id, x.question_number, x.kp, coalesce(x.difficulty, 3) as difficulty, coalesce(x.qtype, 'unknown') as qtype, k.id is null as orphan
-    from (select *, row_number() over (partition by paper_id, question_number order by seq) as r from questions) x left join (select id from kps where difficulty < 5) k on k.id = x.kp where r = 1""")
