@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..functions import text as documents
-from ..operators import asof, context, folds, learner, patterns, relational, study, vector
+from ..operators import asof, context, folds, graph_index, learner, patterns, relational, study, vector
 from ..registry import query
 from ..sources import files
 from ..streaming import online
@@ -697,6 +697,26 @@ def dom_vec_search(v: Views, k: int = 10, above: float = 0.1, hardest: int = 4)
     return vector.exact(relational.between(rows, "difficulty", None, hardest), queries, int(relational.clamp(k, 1, 50)), above=above).withColumn("similarity", F.round("similarity", 4))
 
 
+def _graph_search(v: Views, name: str, k: int, where: str | None) -> DataFrame:
+    """Builds and writes the index of all rows, then asks it."""
+    rows, queries = _vectors(v, "kp", "difficulty")
+    path = files.scratch(v.spark, name)
+    graph_index.build(rows).write.parquet(path)
+    return graph_index.search(v.spark.read.parquet(path), queries, k, where).withColumn("similarity", F.round("similarity", 4))
+
+
+@ask("top_vector_graph", "rag", None)
+def top_vector_graph(v: Views, k: int = 10) -> DataFrame:
+    """The nearest rows of every fiftieth by the graph index: approximate, so no oracle."""
+    return _graph_search(v, "graph_index", k, None)
+
+
+@ask("dom_vec_search_graph", "rag", None)
+def dom_vec_search_graph(v: Views, k: int = 10, hardest: int = 4) -> DataFrame:
+    """The same among rows up to a difficulty, which the walk looks at as it goes."""
+    return _graph_search(v, "graph_index_filtered", int(relational.clamp(k, 1, 50)), f"difficulty <= {int(hardest)}")
+
+
 @ask("dom_vec_rag", "rag", _searched("and r.kp = q.kp", 3, "and sim > 0.05"))
 def dom_vec_rag(v: Views, k: int = 3, above: float = 0.05) -> DataFrame:
     return vector.exact(*_vectors(v, "kp"), k, within="kp", above=above).withColumn("similarity", F.round("similarity", 4))
