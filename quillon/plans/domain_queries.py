@@ -428,34 +428,43 @@ def _sql_list(values) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in values) + "][doc_id % " + str(len(values)) + " + 1]"
 
 
-def by_cases(name: str, cases: dict[str, object], f, column: str = "y"):
+CASES: dict[str, tuple[dict[str, object], object]] = {}
+
+
+def cases(name: str, wanted: dict[str, object], f) -> None:
+    """What f must give for odd inputs; a test goes through them, the query of this name (in ``text_queries``) goes through a table."""
+    CASES[name] = (wanted, f)
+
+
+def by_cases(name: str, wanted: dict[str, object], f, column: str = "y"):
     """A query over documents where row doc_id gets case doc_id % n, and an oracle that holds what each case must give."""
-    given = list(cases)
+    cases(name, wanted, f)
+    given = list(wanted)
     lit = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)
-    want = ", ".join(f"({i}, {lit(x)})" for i, x in enumerate(cases.values()))
+    want = ", ".join(f"({i}, {lit(x)})" for i, x in enumerate(wanted.values()))
     query(name, f"select doc_id, w.y as {column} from documents join (values {want}) w(i, y) on w.i = doc_id % {len(given)}")(
         lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", f(_case(*given)).alias(column)))
 
 
 _join = lambda a: F.array_join(a, "|")
-by_cases("fn_json_array_elems", {'["a","b"]': "a|b", '[{"id":"k1"},"x",{"name":"n"},7]': "k1|x", '"solo"': "solo", '{"id":"obj"}': "obj", "not json": "", "[]": "", " [\"é\", \"\"]": "é", "5": ""}, lambda c: _join(parse.json_array_elements(c)))
-by_cases("fn_search_fields", {'{"clue":"C","analysis":"Ab","other":"z"}': "ab|c", "Plain TEXT": "plain text", '{"metadata":{"keywords":["K1","k2"]},"subject":"S"}': '{"keywords":["k1","k2"]}|s|k1 k2', '{"question":"","solution":"X"}': "x"}, lambda c: _join(parse.search_fields(c)))
+cases("fn_json_array_elems", {'["a","b"]': "a|b", '[{"id":"k1"},"x",{"name":"n"},7]': "k1|x", '"solo"': "solo", '{"id":"obj"}': "obj", "not json": "", "[]": "", " [\"é\", \"\"]": "é", "5": ""}, lambda c: _join(parse.json_array_elements(c)))
+cases("fn_search_fields", {'{"clue":"C","analysis":"Ab","other":"z"}': "ab|c", "Plain TEXT": "plain text", '{"metadata":{"keywords":["K1","k2"]},"subject":"S"}': '{"keywords":["k1","k2"]}|s|k1 k2', '{"question":"","solution":"X"}': "x"}, lambda c: _join(parse.search_fields(c)))
 _KW, _CORE = ["函数", "导数", "单调性", "极值", "切线", "零点", "切线斜率", "极限"], {"导数"}
 by_cases("fn_keyword_match", {
     '{"analysis":"本题考查导数和函数单调性","subject":"数学"}': "4/0.375", '{"analysis":"本题考查光合作用"}': "0/0.0", '{"analysis":"导数单调性极值"}': "4/0.375", '{"analysis":"切线斜率零点"}': "3/0.375",
     "这道题考查导数和函数单调性": "4/0.375", '{"metadata":{"keywords":["导数","函数"]}}': "3/0.25", '{"analysis":"导数单调性极值切线零点"}': "6/0.625"},
     lambda c: F.array_join(F.transform(F.array(parse.keyword_match(parse.search_fields(c), _KW, _CORE)), lambda m: F.concat_ws("/", m["score"].cast("string"), m["confidence"].cast("string"))), ""))
-by_cases("fn_strip_think", {"<think>a <b>c</b> d</think> out ": "out", "x<think>\n1\n</think>y<think>2</think>z": "xyz", "<think>never ends": "<think>never ends", "plain": "plain", "<think>a</think": "<think>a</think"}, parse.strip_think)
-by_cases("fn_strip_code", {"```json\n{\"a\":1}\n```": '{"a":1}', "```JSON {}```": "{}", "a ``` b": "a b", "none": "none"}, parse.strip_code)
-by_cases("fn_json_repair2", {'<think>no</think>```json\n{"a":1}\n```': '{"a":1}', 'Sure: {"a":[1,2,],}': '{"a":[1,2]}', '[1,2]': "[1,2]", "nothing {": None, 'x {"k":"v"} y': '{"k":"v"}', "": None}, parse.lenient_json)
-by_cases("fn_json_repair_cjk", {"得 {“a”：“b”，“c”：1}": '{"a":"b","c":1}', '{"a":1}': '{"a":1}', "none": None, "{‘a’：1}": None}, parse.cjk_json)
-by_cases("fn_unescape", {"a\\nb": "a\nb", "c\\\\d": "c\\d", 'say \\"x\\"': 'say "x"', "\\\\n": "\\\n", "plain": "plain"}, parse.unescape)
-by_cases("fn_citations", {"a[^2^] b [^10^][^2^]": "10|2", "[^x^] [^1]": "", "[^7^]": "7"}, lambda c: _join(parse.citations(c)))
-by_cases("fn_entities", {"**b** and **a** and **b**": "a|b", "no * stars": "", "** x ** **" + "** **".join(f"n{i:02}" for i in range(25)) + "**": "|".join([" x "] + [f"n{i:02}" for i in range(19)])}, lambda c: _join(parse.entities(c)))
+cases("fn_strip_think", {"<think>a <b>c</b> d</think> out ": "out", "x<think>\n1\n</think>y<think>2</think>z": "xyz", "<think>never ends": "<think>never ends", "plain": "plain", "<think>a</think": "<think>a</think"}, parse.strip_think)
+cases("fn_strip_code", {"```json\n{\"a\":1}\n```": '{"a":1}', "```JSON {}```": "{}", "a ``` b": "a b", "none": "none"}, parse.strip_code)
+cases("fn_json_repair2", {'<think>no</think>```json\n{"a":1}\n```': '{"a":1}', 'Sure: {"a":[1,2,],}': '{"a":[1,2]}', '[1,2]': "[1,2]", "nothing {": None, 'x {"k":"v"} y': '{"k":"v"}', "": None}, parse.lenient_json)
+cases("fn_json_repair_cjk", {"得 {“a”：“b”，“c”：1}": '{"a":"b","c":1}', '{"a":1}': '{"a":1}', "none": None, "{‘a’：1}": None}, parse.cjk_json)
+cases("fn_unescape", {"a\\nb": "a\nb", "c\\\\d": "c\\d", 'say \\"x\\"': 'say "x"', "\\\\n": "\\\n", "plain": "plain"}, parse.unescape)
+cases("fn_citations", {"a[^2^] b [^10^][^2^]": "10|2", "[^x^] [^1]": "", "[^7^]": "7"}, lambda c: _join(parse.citations(c)))
+cases("fn_entities", {"**b** and **a** and **b**": "a|b", "no * stars": "", "** x ** **" + "** **".join(f"n{i:02}" for i in range(25)) + "**": "|".join([" x "] + [f"n{i:02}" for i in range(19)])}, lambda c: _join(parse.entities(c)))
 by_cases("fn_detect_xss", {"<script>x</script>": True, "JavaScript:alert(1)": True, "<a onclick = 'x'>": True, "data:text/html,x": True, "vbscript:x": True, "expression (x)": True, "plain text": False, "script on the table": False, "": False}, parse.suspicious)
 by_cases("fn_detect_province", {"2021年北京卷数学.pdf": "beijing", "陕西语文": "shaanxi", "2023全国甲卷": "national_a", "黑龙江卷": "heilongjiang", "none": None, "内蒙古卷理综": "neimenggu"}, parse.detect_province)
 by_cases("fn_detect_subject", {"2021年北京卷数学.pdf": "math", "陕西语文": "chinese", "理综": "comprehensive_science", "生物与化学": "chemistry", "none": None}, parse.detect_subject)
-by_cases("fn_detect_year", {"2021年北京卷": 2021, "x1999": None, "20x 2008": 2008, "none": None, "12020": 2020}, parse.detect_year)
+cases("fn_detect_year", {"2021年北京卷": 2021, "x1999": None, "20x 2008": 2008, "none": None, "12020": 2020}, parse.detect_year)
 by_cases("fn_path_metadata", {
     "高考/北京/2021年数学真题解析.pdf": "高中,高考,解析版,北京,数学,2021", "zhongkao/上海/语文(空白).doc": "初中,中考,原卷,上海,语文,0", "知识点/高中/物理/1998.md": "高中,未知,知识点,未知,物理,1998", "misc/readme.txt": "未知,未知,真题,未知,未知,0",
     "中考/道德与法治2020答案.pdf": "初中,中考,解析版,未知,政治,2020", "GaoKao/河北/x.pdf": "高中,高考,真题,河北,未知,0"},
@@ -466,10 +475,10 @@ by_cases("fn_essay_scores", {
     '{"metadata":{"scores":{"content":15,"language":16,"structure":14,"development":10,"total":55}}}': "55 true", '{"metadata":{"scores":{"content":21,"language":0,"structure":0,"development":0,"total":21}}}': "21 false",
     '{"metadata":{"scores":{"content":1,"language":1,"structure":1,"development":1,"total":5}}}': "5 false", '{"metadata":{"scores":{"content":1.5,"language":1.5,"structure":1,"development":1,"total":5}}}': "5 false", "{}": "null false"},
     lambda c: F.concat_ws(" ", F.coalesce(parse.essay_scores(c)["total"].cast("string"), F.lit("null")), parse.essay_scores(c)["valid"].cast("string")))
-by_cases("st_sse", {
+cases("st_sse", {
     'event: metadata\ndata: {"a":1}\n\nevent: content\ndata: {"content":"He"}\n\nevent: content\ndata: llo\n\nevent: done\ndata: {}\n\n': '{"a":1}/Hello/done', "event: content\ndata: x\n\nevent: error\ndata: no\n\n": "null/x/error", "event: content\ndata: half": "null/half/open", "": "null//open"},
     lambda c: F.concat_ws("/", F.coalesce(parse.tutor_stream(c)["metadata"], F.lit("null")), parse.tutor_stream(c)["content"], parse.tutor_stream(c)["state"]))
-by_cases("fn_vision_content", {"f1,f2": "text\n\n【公式】\nf1\nf2", "": "text"}, lambda c: parse.vision_content(F.lit(" text"), F.when(c != "", F.split(c, ","))))
+cases("fn_vision_content", {"f1,f2": "text\n\n【公式】\nf1\nf2", "": "text"}, lambda c: parse.vision_content(F.lit(" text"), F.when(c != "", F.split(c, ","))))
 _IMG = "struct<clue:string,solution:string,analysis:string,metadata:struct<difficulty:int,keywords:array<string>>>"
 by_cases("fn_quality_image", {
     '{"clue":"look at the first part","solution":"solve the equation","analysis":"it is about functions","metadata":{"difficulty":3,"keywords":["k"]}}': 100, '{"clue":"请仔细观察题目条件","solution":"x","analysis":""}': 20, "{}": 0,
@@ -729,5 +738,5 @@ def fn_chunk_id(v: Views) -> DataFrame:
     return d.select("doc_id", F.size("c").alias("total_chunks"), F.posexplode("c").alias("i", "chunk")).select("doc_id", F.concat_ws("_", F.lit("idx"), F.col("doc_id"), "i").alias("chunk_id"), "total_chunks", F.length("chunk").alias("n_chars"))
 
 
-by_cases("fn_frontmatter", {"---\nid: k1\nname: \"A b\"\n---\nbody": "k1,A b", "---\nname: x\n---\nid: no": "~,x", "no block\n---\nid: k\n---": "~,~", "---\nid: \n---\n": "~,~"}, lambda c: F.concat_ws(",", *[F.coalesce(files.frontmatter(c, k), F.lit("~")) for k in ("id", "name")]))
-by_cases("fn_wikilinks", {"see [[A]] and [[B|b]] and [[A]]": "A|B", "[[ C ]] [[]] [D]": "C", "none": ""}, lambda c: _join(files.wiki_links(c)))
+cases("fn_frontmatter", {"---\nid: k1\nname: \"A b\"\n---\nbody": "k1,A b", "---\nname: x\n---\nid: no": "~,x", "no block\n---\nid: k\n---": "~,~", "---\nid: \n---\n": "~,~"}, lambda c: F.concat_ws(",", *[F.coalesce(files.frontmatter(c, k), F.lit("~")) for k in ("id", "name")]))
+cases("fn_wikilinks", {"see [[A]] and [[B|b]] and [[A]]": "A|B", "[[ C ]] [[]] [D]": "C", "none": ""}, lambda c: _join(files.wiki_links(c)))

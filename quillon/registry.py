@@ -23,7 +23,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from .plans import domain_queries, frame_queries, sql_queries, table_queries  # noqa: F401  they register their queries
+    from .plans import domain_queries, frame_queries, sql_queries, table_queries, text_queries  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
