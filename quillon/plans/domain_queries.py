@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -234,23 +236,36 @@ DASH = """, shares as (select email, subject, count(*) as n, floor(1000.0 * coun
 """
 
 
+SAID = """, f as (select u.email, (select count(*) from weak k where k.email = u.email and level = 'critical') as c, (select share from shares s where s.email = u.email and share > 30 order by subject limit 1) as s,
+    (select count(*) from weak k where k.email = u.email and practice_count >= 3 and accuracy > 0 and floor(accuracy * 1000 + 0.5) < 700) as l from users u),
+  said as (select email, 1 as o, 'critical' as type, cast(c as double) as n from f where c > 0 union all select email, 2, 'warning', cast(s as double) from f where s is not null union all select email, 3, 'info', cast(l as double) from f where l > 0 union all
+    select email, 4, 'success', cast(0 as double) from f where c = 0 and s is null and l = 0)
+"""
+
+
 def _dashboard(v: Views, kp_column: str = "kp") -> dict[str, DataFrame]:
     return study.dashboard(v.users, v.wrong, v.practice, v.practice.select("kp").distinct())
 
 
-@ask("dom_dashboard", "users practice wrong", DASH + """select u.email, coalesce(w.n, 0) as wrong_questions, coalesce(d.n, 0) as practised, coalesce(d.days, 0) as days, round(coalesce(d.acc, 0), 6) as accuracy, s.subjects, m.months, k.weak_points from users u
+@ask("dom_dashboard", "users practice wrong", DASH + SAID + """select u.email, coalesce(w.n, 0) as wrong_questions, coalesce(d.n, 0) as practised, coalesce(d.days, 0) as days, round(coalesce(d.acc, 0), 6) as accuracy, s.subjects, m.months, y.daily, k.weak_points, g.suggestions from users u
   left join (select email, count(*) as n from wrong group by email) w on w.email = u.email left join (select email, cast(sum(n) as bigint) as n, count(*) as days, avg(accuracy) as acc from days where r <= 7 group by email) d on d.email = u.email
   left join (select email, string_agg(subject || ':' || n, ',' order by subject) as subjects from shares group by email) s on s.email = u.email
   left join (select email, string_agg(month || ':' || c || '/' || n, ',' order by month) as months from (select email, strftime(ts, '%Y-%m') as month, count(*) filter (where is_correct) as c, count(*) as n from practice group by all) group by email) m on m.email = u.email
-  left join (select email, string_agg(kp || ':' || level, ',' order by position) as weak_points from weak group by email) k on k.email = u.email""")
+  left join (select email, string_agg(day || ':' || n || ':' || cast(floor(accuracy * 1000 + 0.5) as bigint), ',' order by day) as daily from days where r <= 7 group by email) y on y.email = u.email
+  left join (select email, string_agg(kp || ':' || level, ',' order by position) as weak_points from weak group by email) k on k.email = u.email
+  left join (select email, string_agg(type || ':' || cast(floor(n * 10 + 0.5) as bigint), ',' order by o) as suggestions from said group by email) g on g.email = u.email""")
 def dom_dashboard(v: Views) -> DataFrame:
-    """All parts of every learner's dashboard in a row each."""
+    """All parts of every learner's dashboard in a row each; shares and accuracies of a day are in thousandths. The lists are gathered by one grouping of all parts: each is bounded
+    for a learner (subjects, months, seven days, ten points, three suggestions)."""
     d = _dashboard(v)
-    text = lambda *c: F.concat(*[x if isinstance(x, Column) else F.col(x).cast("string") for x in c])
-    joined = lambda f, order, item, name: f.groupBy("email").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, item.alias("t")))), lambda x: x["t"]), ",").alias(name))
-    out = d["overview"].withColumn("accuracy", F.round("accuracy", 6))
-    out = out.join(joined(d["subjects"], "subject", text("subject", F.lit(":"), "n"), "subjects"), "email", "left").join(joined(d["monthly"], "month", text("month", F.lit(":"), "correct", F.lit("/"), "n"), "months"), "email", "left")
-    return out.join(joined(d["weak_points"], "position", text("kp", F.lit(":"), "level"), "weak_points"), "email", "left")
+    tenths = lambda c, by: F.floor(F.col(c) * by + 0.5).cast("long")
+    lists = {
+        "subjects": (d["subjects"], F.lit(0), "subject", ("subject", "n")), "months": (d["monthly"], F.lit(0), "month", ("month", F.concat("correct", F.lit("/"), "n"))), "daily": (d["daily"], F.lit(0), "day", ("day", "n", tenths("accuracy", 1000))),
+        "weak_points": (d["weak_points"], F.col("position"), "kp", ("kp", "level")), "suggestions": (d["suggestions"], F.col("position"), "type", ("type", tenths("n", 10))),
+    }
+    rows = [f.select("email", F.lit(name).alias("list"), F.struct(place.cast("long").alias("place"), F.col(by).cast("string").alias("by"), F.concat_ws(":", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in item]).alias("t")).alias("x")) for name, (f, place, by, item) in lists.items()]
+    gathered = functools.reduce(DataFrame.unionByName, rows).groupBy("email").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == name, F.col("x")))), lambda x: x["t"]), ",").alias(name) for name in lists])
+    return d["overview"].withColumn("accuracy", F.round("accuracy", 6)).join(gathered.select("email", *[F.nullif(name, F.lit("")).alias(name) for name in lists]), "email", "left")
 
 
 @ask("dom_weak_level", "users practice wrong", DASH + "select email, kp, level from weak")
@@ -258,11 +273,7 @@ def dom_weak_level(v: Views) -> DataFrame:
     return _dashboard(v)["weak_points"].select("email", "kp", "level")
 
 
-@ask("dom_suggestions", "users practice wrong", DASH + """, f as (select u.email, (select count(*) from weak k where k.email = u.email and level = 'critical') as c, (select share from shares s where s.email = u.email and share > 30 order by subject limit 1) as s,
-    (select count(*) from weak k where k.email = u.email and practice_count >= 3 and accuracy > 0 and floor(accuracy * 1000 + 0.5) < 700) as l from users u),
-  said as (select email, 1 as o, 'critical' as type, cast(c as double) as n from f where c > 0 union all select email, 2, 'warning', cast(s as double) from f where s is not null union all select email, 3, 'info', cast(l as double) from f where l > 0 union all
-    select email, 4, 'success', cast(0 as double) from f where c = 0 and s is null and l = 0)
-  select email, row_number() over (partition by email order by o) as position, type, n from said""")
+@ask("dom_suggestions", "users practice wrong", DASH + SAID + "select email, row_number() over (partition by email order by o) as position, type, n from said")
 def dom_suggestions(v: Views) -> DataFrame:
     return _dashboard(v)["suggestions"]
 
