@@ -158,13 +158,25 @@ def dashboard(users: DataFrame, wrong: DataFrame, practice: DataFrame, kps: Data
 def suggestions(users: DataFrame, weak: DataFrame, shares: DataFrame) -> DataFrame:
     """(email, position, type, n): critical points, then the first subject with over 30 per cent of wrong answers (n: its share), then points practised three
     times with under 70 per cent right; success if none of these."""
-    w = weak.groupBy("email").agg(F.count_if(F.col("level") == "critical").alias("critical"), F.count_if((F.col("practice_count") >= 3) & (F.col("accuracy") > 0) & (F.floor(F.col("accuracy") * 1000 + 0.5) < 700)).alias("low"))
+    w = weak.groupBy("email").agg(F.count_if(critical()).alias("critical"), F.count_if(low()).alias("low"))
     s = shares.where("share > 30").groupBy("email").agg(F.min_by("share", "subject").alias("share"))
     u = users.select("email").join(w, "email", "left").join(s, "email", "left")
-    said = F.filter(F.array(*[F.when(c, F.struct(F.lit(t).alias("type"), n.cast("double").alias("n"))) for t, c, n in (
-        ("critical", F.col("critical") > 0, F.col("critical")), ("warning", F.col("share").isNotNull(), F.col("share")), ("info", F.col("low") > 0, F.col("low")))]), lambda x: x.isNotNull())
-    fine = F.array(F.struct(F.lit("success").alias("type"), F.lit(0.0).alias("n")))
-    return u.select("email", F.posexplode(F.when(F.size(said) > 0, said).otherwise(fine)).alias("position", "x")).select("email", (F.col("position") + 1).cast("long").alias("position"), "x.type", "x.n")
+    return u.select("email", F.posexplode(said("critical", "share", "low")).alias("position", "x")).select("email", (F.col("position") + 1).cast("long").alias("position"), "x.type", "x.n")
+
+
+def critical() -> Column:
+    return F.col("level") == "critical"
+
+
+def low() -> Column:
+    return (F.col("practice_count") >= 3) & (F.col("accuracy") > 0) & (F.floor(F.col("accuracy") * 1000 + 0.5) < 700)
+
+
+def said(critical: str, share: str, low: str) -> Column:
+    """What is suggested, in order, for these figures of a learner; null is none."""
+    rules = (("critical", F.col(critical) > 0, critical), ("warning", F.col(share).isNotNull(), share), ("info", F.col(low) > 0, low))
+    some = F.filter(F.array(*[F.when(c, F.struct(F.lit(t).alias("type"), F.col(n).cast("double").alias("n"))) for t, c, n in rules]), lambda x: x.isNotNull())
+    return F.when(F.size(some) > 0, some).otherwise(F.array(F.struct(F.lit("success").alias("type"), F.lit(0.0).alias("n"))))
 
 
 def phases(users: DataFrame, weak: DataFrame) -> DataFrame:

@@ -255,17 +255,20 @@ def _dashboard(v: Views, kp_column: str = "kp") -> dict[str, DataFrame]:
   left join (select email, string_agg(kp || ':' || level, ',' order by position) as weak_points from weak group by email) k on k.email = u.email
   left join (select email, string_agg(type || ':' || cast(floor(n * 10 + 0.5) as bigint), ',' order by o) as suggestions from said group by email) g on g.email = u.email""")
 def dom_dashboard(v: Views) -> DataFrame:
-    """All parts of every learner's dashboard in a row each; shares and accuracies of a day are in thousandths. The lists are gathered by one grouping of all parts: each is bounded
-    for a learner (subjects, months, seven days, ten points, three suggestions)."""
+    """All parts of every learner's dashboard in a row each; shares in tenths, accuracies of a day in thousandths. One grouping gathers the lists, each bounded for a
+    learner (subjects, months, seven days, ten points), and the figures that suggestions follow from, so the weakest points are found once."""
     d = _dashboard(v)
-    tenths = lambda c, by: F.floor(F.col(c) * by + 0.5).cast("long")
     lists = {
-        "subjects": (d["subjects"], F.lit(0), "subject", ("subject", "n")), "months": (d["monthly"], F.lit(0), "month", ("month", F.concat("correct", F.lit("/"), "n"))), "daily": (d["daily"], F.lit(0), "day", ("day", "n", tenths("accuracy", 1000))),
-        "weak_points": (d["weak_points"], F.col("position"), "kp", ("kp", "level")), "suggestions": (d["suggestions"], F.col("position"), "type", ("type", tenths("n", 10))),
+        "subjects": (d["subjects"], F.lit(0), "subject", ("subject", "n"), {"share": F.when(F.col("share") > 30, F.col("share"))}), "months": (d["monthly"], F.lit(0), "month", ("month", F.concat("correct", F.lit("/"), "n")), {}),
+        "daily": (d["daily"], F.lit(0), "day", ("day", "n", F.floor(F.col("accuracy") * 1000 + 0.5)), {}), "weak_points": (d["weak_points"], F.col("position"), "kp", ("kp", "level"), {"critical": study.critical(), "low": study.low()}),
     }
-    rows = [f.select("email", F.lit(name).alias("list"), F.struct(place.cast("long").alias("place"), F.col(by).cast("string").alias("by"), F.concat_ws(":", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in item]).alias("t")).alias("x")) for name, (f, place, by, item) in lists.items()]
-    gathered = functools.reduce(DataFrame.unionByName, rows).groupBy("email").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == name, F.col("x")))), lambda x: x["t"]), ",").alias(name) for name in lists])
-    return d["overview"].withColumn("accuracy", F.round("accuracy", 6)).join(gathered.select("email", *[F.nullif(name, F.lit("")).alias(name) for name in lists]), "email", "left")
+    rows = [f.select("email", F.lit(name).alias("list"), F.struct(place.cast("long").alias("place"), F.col(by).cast("string").alias("by"), F.concat_ws(":", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in item]).alias("t")).alias("x"), *[c.alias(n) for n, c in more.items()])
+            for name, (f, place, by, item, more) in lists.items()]
+    items = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == name, F.col("x")))), lambda x: x["t"])
+    gathered = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows).groupBy("email").agg(
+        *[F.nullif(F.array_join(items(name), ","), F.lit("")).alias(name) for name in lists], F.count_if("critical").alias("critical"), F.count_if("low").alias("low"), F.min_by("share", F.when(F.col("share").isNotNull(), F.col("x.by"))).alias("share"))
+    told = F.array_join(F.transform(study.said("critical", "share", "low"), lambda x: F.concat_ws(":", x["type"], F.floor(x["n"] * 10 + 0.5).cast("string"))), ",")
+    return d["overview"].withColumn("accuracy", F.round("accuracy", 6)).join(gathered, "email", "left").withColumn("suggestions", told).drop("critical", "low", "share")
 
 
 @ask("dom_weak_level", "users practice wrong", DASH + "select email, kp, level from weak")
