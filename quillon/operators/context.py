@@ -61,6 +61,12 @@ def shown_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
+def held_edges(mastery: DataFrame, edges: DataFrame) -> DataFrame:
+    """mastery(email, kp), edges(src, dst) -> (email, src, dst): edges of which a learner has both ends."""
+    m = mastery.select("email", "kp")
+    return m.withColumnRenamed("kp", "src").join(edges, "src").join(m.withColumnRenamed("kp", "dst"), ["email", "dst"], "left_semi").select("email", "src", "dst")
+
+
 def graph_stats(shown: DataFrame, edges: DataFrame) -> DataFrame:
     """(email, total_nodes, total_edges, mastered, weak) of ``nodes`` and ``shown_edges``."""
     total = edges.agg(F.count(F.lit(1)).alias("total_edges"))  # one row
