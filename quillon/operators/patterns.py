@@ -87,12 +87,16 @@ def matched(rows: DataFrame, fields: Column, keywords: DataFrame) -> DataFrame:
 
 
 def mentions(rows: DataFrame, key: str, words: DataFrame, label: Column, own: Column, weight: str | None = None) -> DataFrame:
-    """(key, n): how many distinct words(word) each row's ``label`` contains or contain its ``own`` text, or the sum of their ``weight``; rows without any go."""
+    """(key, n): how many distinct words(word) each row's ``label`` contains or contain its ``own`` text, or the sum of their ``weight``; rows without any go.
+
+    Words are counted once for each pair of texts, and rows meet the counts: no pair of a row and a word is made. Rows with the same key are summed up."""
     d = rows.select(F.col(key), label.alias("_label"), own.alias("_own"))
+    texts = d.select("_label", "_own").distinct()
     w = words.where("word is not null").groupBy("word").agg(F.sum(F.col(weight) if weight else F.lit(1)).cast("long").alias("_weight"))
     if not weight:
         w = w.withColumn("_weight", F.lit(1).cast("long"))
-    down = d.join(held_words(d.select(F.col("_label").alias("text")), w), F.col("_label") == F.col("text")).select(key, "word")
-    up = held_words(w.select(F.col("word").alias("text")), d.select(F.col("_own").alias("word"))).select(F.col("text").alias("_w"), F.col("word").alias("_o"))
-    both = down.union(d.join(up, F.col("_own") == F.col("_o")).select(key, F.col("_w").alias("word"))).distinct()
-    return both.join(w, "word").groupBy(key).agg(F.sum("_weight").alias("n"))
+    down = texts.join(held_words(texts.select(F.col("_label").alias("text")), w), F.col("_label") == F.col("text")).select("_label", "_own", "word")
+    up = held_words(w.select(F.col("word").alias("text")), texts.select(F.col("_own").alias("word"))).select(F.col("text").alias("_w"), F.col("word").alias("_o"))
+    both = down.union(texts.join(up, F.col("_own") == F.col("_o")).select("_label", "_own", F.col("_w").alias("word"))).distinct()
+    counts = both.join(w, "word").groupBy("_label", "_own").agg(F.sum("_weight").alias("n")).select(F.col("_label").alias("_l"), F.col("_own").alias("_o"), "n")
+    return d.join(counts, F.col("_label").eqNullSafe(F.col("_l")) & F.col("_own").eqNullSafe(F.col("_o"))).groupBy(key).agg(F.sum("n").alias("n"))
