@@ -16,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
+from . import tables
+
 GRAM = 3
 #: Indexed words that are broadcast.
 MOST_INDEXED = 200_000
@@ -73,17 +76,23 @@ def held_words(texts: DataFrame, words: DataFrame, shuffled: bool | None = None)
     return met.join(keyed.hint("merge"), ["h", "k"]).where(F.expr("contains(text, word)")).select("text", "word")
 
 
-def matched(rows: DataFrame, fields: Column, keywords: DataFrame) -> DataFrame:
+def matched(rows: DataFrame, fields: Column, keywords: DataFrame, of: str | None = None) -> DataFrame:
     """``rows`` with hits, the sorted keywords of keywords(keyword) that one of ``fields`` (lower-case texts) holds whatever its case; rows without any go.
 
-    Rows with the same fields are matched once."""
-    d = rows.withColumn("_fields", F.array_distinct(fields))
-    sets = d.select("_fields").where("size(_fields) > 0").distinct()
+    Where ``fields`` depends on one column alone (``of``), each of its values is taken apart once; a null has no fields. Values with the same fields are
+    matched once. Both are written, as they are read several times."""
+    spark, d, key = rows.sparkSession, rows, of
+    if key is None:
+        d, key, fields = rows.withColumn("_key", F.array_distinct(fields)), "_key", F.col("_key")
+    # only what was written is filtered: a condition on the fields would be moved before ``distinct`` and take every row's value apart
+    values = tables.save(d.select(key).distinct().withColumn("_fields", F.array_distinct(fields)), files.scratch(spark, "fields"))
+    values = values.where(F.col(key).isNotNull() & (F.size("_fields") > 0))
+    sets = tables.save(values.select("_fields").distinct(), files.scratch(spark, "field-sets"))
     each = sets.select("_fields", F.explode("_fields").alias("text"))
     words = keywords.select(F.lower("keyword").alias("word"), "keyword").distinct()
     found = each.join(held_words(each, words), "text").join(words, "word")
     hits = found.groupBy("_fields").agg(F.array_sort(F.collect_set("keyword")).alias("hits"))  # of one question: its keywords
-    return d.join(hits, "_fields").drop("_fields")
+    return d.join(values.join(hits, "_fields").select(key, "hits"), key).select(*rows.columns, "hits")
 
 
 def mentions(rows: DataFrame, key: str, words: DataFrame, label: Column, own: Column, weight: str | None = None) -> DataFrame:

@@ -83,16 +83,15 @@ def weak_points(wrong: DataFrame, kps: DataFrame, keywords: DataFrame) -> DataFr
     A wrong question counts for a point if it holds one of its keywords: core ones weigh 2, others 1; confidence is the mean share of the point's keywords.
     weakness = score * difficulty / 3 * frequency weight. samples: the newest three questions. Questions with the same keywords are
     counted first, so what meets the points is a row for each learner and set of keywords."""
-    newest = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("ts", "id", "content")))), 1, 3)
     ranked = wrong.withColumn("_r", F.row_number().over(Window.partitionBy("email", "hits").orderBy(F.desc("ts"), F.desc("id"))))
-    sets = ranked.groupBy("email", "hits").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("_r") <= 3, F.struct("ts", "id", "content")))).alias("top"))
+    sets = ranked.groupBy("email", "hits").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("_r") <= 3, F.struct("ts", "id", "content"))).alias("top"))
     totals = keywords.groupBy("kp").agg(F.count(F.lit(1)).alias("total"))
     # which points each set of keywords meets, and how: sets are few
     each = sets.select("hits").distinct().select("hits", F.explode("hits").alias("keyword")).join(keywords, "keyword")
     meets = each.groupBy("hits", "kp").agg(F.sum(F.when(F.col("core"), 2).otherwise(1)).alias("s"), F.count(F.lit(1)).alias("m"), F.collect_set("keyword").alias("found"))
     met = sets.join(meets, "hits").groupBy("email", "kp").agg(
         F.sum("n").alias("errors"), F.sum(F.col("s") * F.col("n")).alias("score"), F.sum(F.col("m") * F.col("n")).alias("parts"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("found")))).alias("keywords"), F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("top")))), 1, 3).alias("samples"))
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("found")))).alias("keywords"), F.slice(F.sort_array(F.flatten(F.collect_list("top")), False), 1, 3).alias("samples"))
     weight = F.coalesce(*[F.when(F.col("frequency") == k, F.lit(v)) for k, v in FREQUENCY.items()], F.lit(1.0))
     out = met.join(kps.select("kp", "name", "difficulty", "frequency"), "kp").join(totals, "kp")
     return out.select(
