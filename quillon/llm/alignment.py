@@ -1,25 +1,20 @@
-"""Alignment of two tokenizers' tokens over the same bytes, as relations.
+"""Alignment of two tokenizers' tokens over the same bytes.
 
-Both tokenizers read blank + text, so that both see a word's blank. Python only turns texts into ids, a narrow array a document; the rest is Spark:
+Both tokenizers read blank + text, so that both see a word's blank. A task aligns each of its documents (``_Pair.links``, a few NumPy steps over its tokens):
 
-1. ``posexplode`` makes a row of each token, which meets its length in bytes by the vocabulary, and a window over a document's tokens of one side sums the
-   lengths up to each token's end.
-2. Tokens of both sides are ordered by (document, end). An end that both have is a cut: the equi-join on document and end. A document has one token of a side
-   with an end at most, so the two rows that the join would match are neighbours in this order, and one sort does what two sorts and a join would.
-3. Running counts of cuts number the groups (from the document's end). Between two ends next to each other lies one token of A and one of B, and every pair of
-   tokens that share bytes owns exactly one such interval: the range join of A and B inside a group is a window that carries the last id of either side, with
-   as many rows as links and never all pairs of a long group.
-4. Windows and sorts want rows by document only, and every step keeps that partitioning: token rows are never shuffled. What is shuffled is an array of
-   16-bit ids a document, before ``posexplode``.
+1. The sums of token lengths are the tokens' ends. An end that both sides have is a cut: the join on document and end, as ends meet at their byte.
+2. Counts of cuts number the groups (from the document's end). Between two ends next to each other lies one token of A and one of B, and every pair of
+   tokens that share bytes owns exactly one such interval: the range join of A and B inside a group has as many rows as links and never all pairs of a long group.
+3. ``links`` makes them rows; ``digest`` takes a document's digest and distinct pairs from the same arrays, so neither texts nor tokens are shuffled for it.
 
-A document's links become its row by a pass over rows in this order. An id pair is counted once a document; counts meet the documents' distinct pairs again by
-broadcast while there are at most ``MOST_PAIRS`` of them, else by shuffle with the most frequent pairs apart.
+The rest is the corpus and Spark's: an id pair is counted once a document by a grouping over all documents' pairs, a window finds each A id's highest count, and counts
+meet the documents' distinct pairs again by broadcast while there are at most ``MOST_PAIRS`` of them, else by shuffle with the most frequent pairs apart.
 
-Partitions hold about ``PART_BYTES`` of text; with more than ``MOST_PARTS`` of them they grow, and sorts and windows spill.
+Pairs are counted in partitions of about ``PART_BYTES`` links, ``MOST_PARTS`` of them at most.
 
-Defined cases: null and empty texts, and texts whose tokens' bytes aren't blank + text (U+2581 is a blank to B), have no tokens: zeros and ''. Rows with the same doc_id
-and text are aligned once, each gets the row and each counts as a document; null doc_ids are ids like others. An empty table gives an empty result; other columns
-are not read. Very long texts: a document's text, ids and links (8 bytes each) must fit in a task; its token rows stream and spill.
+Defined cases: null and empty texts, and texts whose tokens' bytes aren't blank + text (U+2581 is a blank to B), have no tokens: zeros and ''. Each row with the same
+doc_id and text counts as a document; null doc_ids are ids like others. An empty table gives an empty result; other columns are not read. Very long texts: a
+document's text, ids and links (some arrays of 8 bytes a link) must fit in a task.
 """
 
 from __future__ import annotations
@@ -35,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import _LATIN, byte_characters
-from .common import join_counted, keyed, slices, stash, tidy, unstash
+from .common import join_counted, keyed, slices, stash, text_or_empty, tidy, unstash
 
 PART_BYTES, MOST_PARTS = 3 << 20, 20_000
 #: Counted pairs that may be broadcast: 16 bytes each.
 MOST_PAIRS = 1_000_000
 #: Bytes of cut texts and ids that a side's cache holds, and of one cut that is worth keeping.
 CACHE_BYTES, CUT_BYTES = 48 << 20, 256
+#: Characters of a text that sentencepiece encodes as a whole.
+WHOLE = 1 << 18
 _WORD = re.compile(r"\n| *[^ \n]+| +(?=\n)| +\Z")
 _TWO = [i.to_bytes(2, "little") for i in range(1 << 16)]
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -119,7 +116,7 @@ class ByteSide(_Side):
 
 
 class PieceSide(_Side):
-    """A sentencepiece model that adds the blank in front itself. Where no piece has a blank after another character, words are encoded one by one."""
+    """A sentencepiece model that adds the blank in front itself. Where no piece has a blank after another character, long texts are encoded word by word."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -137,8 +134,11 @@ class PieceSide(_Side):
         return [i if x[0] == " " and x != " " else i[2:] for x, i in zip(cuts, ids)]
 
     def encode(self, text: str) -> bytes | None:
-        """``text`` begins with the blank."""
-        return self.join(_WORD.findall(text) if self.by_word else [text])
+        """``text`` begins with the blank, which the model adds itself."""
+        if self.by_word and len(text) > WHOLE:
+            return self.join(_WORD.findall(text))
+        ids = self.sp.encode(text[1:])
+        return np.array(ids, "<u2").tobytes() if b"".join(map(self.tokens.__getitem__, ids)) == text.encode() else None
 
 
 _SIDES: dict[tuple[type, str], _Side] = {}
@@ -151,59 +151,62 @@ def side(kind: type, path: str) -> _Side:
     return _SIDES[kind, path]
 
 
-def _tokens(a_path: str, b_path: str):
+class _Pair:
+    """Both sides with the sizes of their tokens."""
+
+    def __init__(self, a_path: str, b_path: str):
+        self.a, self.b = side(ByteSide, a_path), side(PieceSide, b_path)
+        if max(len(self.a.tokens), len(self.b.tokens)) > 65_536:
+            raise ValueError("ids are kept in 16 bits")
+        self.sizes = [np.array([len(x) for x in y.tokens], np.int64) for y in (self.a, self.b)]
+
+    def links(self, text: str | None):
+        """(end, a, b, ends, g) of a text's links in text order, as ``links`` names them; none where it has no tokens."""
+        x = y = None
+        if text:
+            x, y = self.a.encode(" " + text), self.b.encode(" " + text)
+        if x is None or y is None:
+            x = y = b""
+        a, b = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+        end_a, end_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        # equal ends meet at their byte
+        at = np.zeros(int(end_a[-1]) + 1 if len(a) else 0, np.uint8)
+        at[end_a] = 1
+        at[end_b] += 2
+        end = np.flatnonzero(at)
+        ends = at[end].astype(np.int64)
+        # the token of either side that covers the interval before an end
+        own_a, own_b, cut = ends & 1, ends >> 1, ends == 3
+        return end, a[np.cumsum(own_a) - own_a].astype(np.int64), b[np.cumsum(own_b) - own_b].astype(np.int64), ends, np.cumsum(cut[::-1])[::-1]
+
+
+def _lists(found: list[np.ndarray], kind) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(found), kind))
+
+
+_LINKS = {"end": pa.int64(), "a": pa.int32(), "b": pa.int32(), "ends": pa.int32(), "g": pa.int32()}
+
+
+def _aligned(a_path: str, b_path: str):
     @tidy
     def run(batches):
-        a, b = side(ByteSide, a_path), side(PieceSide, b_path)
+        both = _Pair(a_path, b_path)
         for whole in batches:
             for part in slices(whole, column=2):
-                n, out = [], []
-                for t in part.column(2).to_pylist():
-                    x = y = None
-                    if t:
-                        x, y = a.encode(" " + t), b.encode(" " + t)
-                    if x is None or y is None:
-                        x = y = b""
-                    n.append(len(x) // 2)
-                    out.append(x + y)
-                at = np.concatenate([[0], np.cumsum([len(x) // 2 for x in out])])
-                flat = pa.array(np.frombuffer(b"".join(out), "<i2"))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)], names=["k", "h", "n_a", "t"])
+                found = list(zip(*map(both.links, part.column(2).to_pylist())))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[_lists(x, kind) for x, kind in zip(found, _LINKS.values())]], names=["k", "h", *_LINKS])
 
     return run
 
 
-def vocabulary(spark: SparkSession, a_path: str, b_path: str) -> DataFrame:
-    """(v, size): bytes of each token; ids of B come after 65,536. A row for each entry of two files."""
-    a, b = side(ByteSide, a_path).tokens, side(PieceSide, b_path).tokens
-    if max(len(a), len(b)) > 65_536:
-        raise ValueError("ids are kept in 16 bits")
-    v = np.concatenate([np.arange(len(a)), 65_536 + np.arange(len(b))])
-    return spark.createDataFrame(pa.table({"v": pa.array(v, pa.int32()), "size": pa.array([len(x) for x in [*a, *b]], pa.int32())}))
-
-
 def links(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Of docs(doc_id, text): (k, h, end, a, b, ends, g), a row for each link, with the end of the bytes both share, which of the two tokens end there (1: a, 2: b, 3: both)
-    and the number of its group, counted from the document's end; rows of a document are together, from its end."""
-    made = keyed(docs).select("k", "h", "text").mapInArrow(_tokens(a_path, b_path), "k long, h long, n_a int, t array<short>")
-    once = made.groupBy("k", "h").agg(F.first("n_a").alias("n_a"), F.first("t").alias("t"))
-    rows = once.select("k", "h", "n_a", F.posexplode("t").alias("pos", "v"))
-    is_b = F.col("pos") >= F.col("n_a")
-    rows = rows.select("k", "h", "pos", is_b.cast("int").alias("of"), (F.col("v").cast("int").bitwiseAND(F.lit(65_535)) + F.when(is_b, 65_536).otherwise(0)).alias("v"))
-    rows = rows.join(F.broadcast(vocabulary(docs.sparkSession, a_path, b_path)), "v")
-    ends = F.sum(F.col("size").cast("long")).over(Window.partitionBy("k", "h", "of").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select("k", "h", "of", "v", ends.alias("end"))
-    down = Window.partitionBy("k", "h").orderBy(F.col("end").desc(), "of")
-    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select(
-        "k", "h", "end",
-        F.last(F.when(F.col("of") == 0, F.col("v")), ignorenulls=True).over(so_far).alias("a"),
-        (F.last(F.when(F.col("of") == 1, F.col("v")), ignorenulls=True).over(so_far) - 65_536).alias("b"),
-        F.when(F.lag("end").over(down) == F.col("end"), 3).otherwise(F.col("of") + 1).alias("ends"),
-        F.coalesce(F.lead("end").over(down) == F.col("end"), F.lit(False)).alias("again"),
-    ).where("not again")
-    cuts = F.sum((F.col("ends") == 3).cast("int")).over(Window.partitionBy("k", "h").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("k", "h", "end", "a", "b", "ends", cuts.alias("g"))
+    and the number of its group, counted from the document's end; rows of a document are together, in text order."""
+    kinds = ", ".join(f"{n} array<{'long' if n == 'end' else 'int'}>" for n in _LINKS)
+    made = keyed(docs).select("k", "h", "text").mapInArrow(_aligned(a_path, b_path), f"k long, h long, {kinds}")
+    once = made.groupBy("k", "h").agg(F.first(F.arrays_zip(*_LINKS)).alias("x"))
+    return once.select("k", "h", F.posexplode("x").alias("pos", "x")).select("k", "h", "x.*")
 
 
 @contextlib.contextmanager
@@ -265,77 +268,56 @@ def _document(p: np.ndarray, g: np.ndarray):
         _written(a[i:j], b[i:j], ends[i:j], g[i:j], digest)
         i = j
     pairs, times = np.unique((a << 16) | b, return_counts=True)
+    if not len(p):
+        return 0, 0, 0, 0, "", pairs, times
     return int(((ends & 1) > 0).sum()), int(((ends & 2) > 0).sum()), int((ends == 3).sum()), len(p), digest.of.hexdigest(), pairs, times
 
 
-@tidy
-def _digests(batches):
-    """A row for each document of packed links that come document by document, from the end."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    key = None
-
-    def rows_of(found):
-        docs = [(k, h, *_document(p, g)) for (k, h), p, g in found]
-        columns = list(zip(*docs))
-        at = np.concatenate([[0], np.cumsum([len(x) for x in columns[7]])])
-        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(columns[i]), kind)) for i, kind in ((7, pa.int64()), (8, pa.int64()))]
-        return pa.RecordBatch.from_arrays([*[pa.array(columns[i], pa.int64()) for i in range(6)], pa.array(columns[6]), *lists], names=["k", "h", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
-
-    def whole():
-        p = np.concatenate([x for x, _ in reversed(held)])
-        g = np.concatenate([x for _, x in reversed(held)])
-        held.clear()
-        return key, p, g
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k, h, p, g = (b.column(i).to_numpy() for i in range(4))
-        edges = [0, *(1 + np.flatnonzero((k[1:] != k[:-1]) | (h[1:] != h[:-1]))).tolist(), len(k)]
-        found = []
-        for i, j in zip(edges, edges[1:]):
-            if key is not None and (k[i], h[i]) != key:
-                found.append(whole())
-            key = (k[i], h[i])
-            held.append((p[i:j][::-1], g[i:j][::-1]))
-        if found:
-            yield rows_of(found)
-    if held:
-        yield rows_of([whole()])
-
-
-_DIGEST = "k long, h long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
-
-
-def align(docs: DataFrame, a_path: str, b_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: a row for each row of docs (doc_id, k, h, bytes), one for each aligned text (with its distinct pairs, a << 16 | b, and how often it has each),
-    and one for each pair (pair, count, best) of the corpus."""
+def _digests(a_path: str, b_path: str):
+    """A row for each text, with what ``_document`` says of its links."""
+
+    @tidy
+    def run(batches):
+        both = _Pair(a_path, b_path)
+        for whole in batches:
+            for part in slices(whole):
+                docs = []
+                for t in part.column(1).to_pylist():
+                    _, a, b, ends, g = both.links(t)
+                    docs.append(_document(a << 19 | b << 2 | ends, g))
+                columns = list(zip(*docs))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(columns[i], pa.int64()) for i in range(4)], pa.array(columns[4]), _lists(columns[5], pa.int64()), _lists(columns[6], pa.int32())], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
+
+    return run
+
+
+_DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
+
+
+def align(docs: DataFrame, a_path: str, b_path: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables: a row for each row of docs, numbered (row), with its distinct pairs, a << 16 | b, and how often it has each; and one for each pair
+    (pair, count, best) of the corpus."""
     spark = docs.sparkSession
-    rows = stash(keyed(docs).select("doc_id", "k", "h", F.octet_length("text").alias("bytes")), "rows")
-    size = rows.agg(F.sum("bytes")).first()[0] or 0
-    with by_document(spark, min(MOST_PARTS, 1 + size // PART_BYTES)):
-        found = links(docs, a_path, b_path)
-        packed = found.select("k", "h", (F.shiftleft(F.col("a").cast("long"), 19) + F.shiftleft(F.col("b").cast("long"), 2) + F.col("ends")).alias("p"), "g")
-        texts = stash(packed.mapInArrow(_digests, _DIGEST), "aligned")
-    copies = rows.groupBy("k", "h").agg(F.count(F.lit(1)).alias("copies"))
-    pairs = texts.select("k", "h", "pairs").join(copies.hint("merge"), ["k", "h"]).select(F.explode("pairs").alias("pair"), "copies")
-    counts = pairs.groupBy("pair").agg(F.sum("copies").alias("count")).withColumn("a", F.shiftright("pair", 16))
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_digests(a_path, b_path), _DIGEST)
+    texts = stash(made.withColumn("row", F.monotonically_increasing_id()), "aligned")
+    size = texts.agg(F.sum("n_links")).first()[0] or 0
+    counts = texts.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("count")).withColumn("a", F.shiftright("pair", 16))
     best = F.max("count").over(Window.partitionBy("a"))  # a row for each id of B at most
-    return rows, texts, stash(counts.select("pair", "count", (F.col("count") == best).alias("best")), "pairs")
+    with by_document(spark, min(MOST_PARTS, 1 + size // PART_BYTES)):
+        return texts, stash(counts.select("pair", "count", (F.col("count") == best).alias("best")), "pairs")
 
 
 def digest(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    rows, texts, counts = align(docs, a_path, b_path)
-    each = texts.select("k", "h", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("k", "h", F.col("x.pairs").alias("of"), F.col("x.times").alias("times"))
+    texts, counts = align(docs, a_path, b_path)
+    each = texts.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("of"), F.col("x.times").alias("times"))
     if counts.count() <= MOST_PAIRS:
         each = each.join(F.broadcast(counts), F.col("of") == F.col("pair"))
     else:
         each = join_counted(each, counts, {"of": "pair"}, "count")
-    sums = each.groupBy("k", "h").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
-    named = texts.drop("pairs", "times").join(sums.hint("merge"), ["k", "h"])
-    out = rows.select("doc_id", "k", "h").join(named.hint("merge"), ["k", "h"], "left")
-    zeros = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
-    done = stash(out.select("doc_id", *zeros, F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256")), "alignment")
-    for x in (rows, texts, counts):
+    sums = each.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
+    out = texts.drop("pairs", "times").join(sums.hint("merge"), "row", "left")
+    zeros = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")]
+    done = stash(out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *zeros, "groups_sha256"), "alignment")
+    for x in (texts, counts):
         unstash(x)
     return done
