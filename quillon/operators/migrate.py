@@ -52,6 +52,15 @@ def migrate(spark: SparkSession, folder: str, steps: list[Step], tables: Tables)
     return now
 
 
+#: How JSON texts begin.
+_ANY, _OBJECT, _LIST = r'^\s*[\[{"\-0-9tfn]', r"^\s*\{", r"^\s*\["
+
+
+def parsed(text: Column, begins: str = _ANY) -> Column:
+    """The value of a JSON text; null for what isn't JSON or begins otherwise. Such texts aren't tried, as the parser is slow where it fails."""
+    return F.when(text.rlike(begins), F.try_parse_json(text))
+
+
 def parse_int(text: Column) -> Column:
     """The integer that a text begins with, after blanks; null where it begins with none."""
     return F.regexp_extract(text, r"^\s*([+-]?\d{1,18})", 1).try_cast("long")
@@ -84,32 +93,32 @@ def typed(df: DataFrame, data: str = "data") -> DataFrame:
     What isn't a JSON object, and each value that is missing, leaves a column as it was. A subject counts if it is known in either language, a point if it is a
     text (the point itself, else the first of a list); difficulty is the integer it begins with or 0, kept from 1 to 5; answers that aren't texts stay JSON."""
     df = _add(df, subject_code="string", knowledge_point_id="string", difficulty="int", question_id="long", session_id="string", user_answer="string", correct_answer="string")
-    v = F.try_parse_json(F.col(data))
-    part = lambda path: F.try_variant_get(F.col("_v"), path, "variant")
-    text = lambda path: F.try_variant_get(F.col("_v"), path, "string")
+    paths = ["subject", "knowledge_point_id", "knowledge_points[0]", "difficulty", "question_id", "session_id", "user_answer", "correct_answer"]
+    # each value is looked up once, and is a column of its own before its kind and text are asked for
+    parts = {f"_v_{p}": F.try_variant_get("_v", f"$.{p}", "variant") for p in paths}
+    part = lambda path: F.col(f"`_v_{path}`")
+    text = lambda path: F.try_variant_get(part(path), "$", "string")
     kind = lambda path: F.schema_of_variant(part(path))
     truthy = lambda path: F.when(part(path).isNotNull() & ~kind(path).isin("VOID") & ~F.coalesce(text(path), F.lit("x")).isin("", "0", "false"), True)
     keys = [F.lit(x) for x in SUBJECTS.values()]
-    subject = subject_key(text("$.subject"))
-    point, first = (F.when(truthy(p) & (kind(p) == "STRING"), text(p)) for p in ("$.knowledge_point_id", "$.knowledge_points[0]"))
-    return df.withColumn("_v", v).withColumn("_v", F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.col("_v"))).withColumns({
+    subject = subject_key(text("subject"))
+    point, first = (F.when(truthy(p) & (kind(p) == "STRING"), text(p)) for p in ("knowledge_point_id", "knowledge_points[0]"))
+    return df.withColumn("_v", parsed(F.col(data), _OBJECT)).withColumns(parts).withColumns({
         "subject_code": F.coalesce(F.when(subject.isin(*keys), subject), "subject_code"),
-        "knowledge_point_id": F.coalesce(F.when(truthy("$.knowledge_point_id"), point).otherwise(first), "knowledge_point_id"),
-        "difficulty": F.coalesce(F.when(part("$.difficulty").isNotNull() & (kind("$.difficulty") != "VOID"), F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce(parse_int(text("$.difficulty")), F.lit(0)))).cast("int")), "difficulty"),
-        "question_id": F.coalesce(F.when(truthy("$.question_id"), parse_int(text("$.question_id"))), "question_id"),
-        **{c: F.coalesce(F.when(truthy(f"$.{c}"), text(f"$.{c}")), c) for c in ("session_id", "user_answer", "correct_answer")},
-    }).drop("_v")
+        "knowledge_point_id": F.coalesce(F.when(truthy("knowledge_point_id"), point).otherwise(first), "knowledge_point_id"),
+        "difficulty": F.coalesce(F.when(part("difficulty").isNotNull() & (kind("difficulty") != "VOID"), F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce(parse_int(text("difficulty")), F.lit(0)))).cast("int")), "difficulty"),
+        "question_id": F.coalesce(F.when(truthy("question_id"), parse_int(text("question_id"))), "question_id"),
+        **{c: F.coalesce(F.when(truthy(c), text(c)), c) for c in ("session_id", "user_answer", "correct_answer")},
+    }).drop("_v", *parts)
 
 
 def points_of(questions: DataFrame, key: str, data: str) -> DataFrame:
     """(question_id, knowledge_point_id), each pair once: the texts, or the ids of the objects, of a JSON list or of a single one; what isn't JSON has none."""
-    v = F.try_parse_json(F.col(data))
-    d = questions.select(F.col(key).alias("question_id"), v.alias("_v")).where("_v is not null")
-    items = F.when(F.schema_of_variant("_v").startswith("ARRAY"), F.try_variant_get("_v", "$", "array<variant>")).otherwise(F.array("_v"))
-    d = d.select("question_id", F.explode(items).alias("_x"))
-    is_text = F.schema_of_variant("_x") == "STRING"
-    d = d.select("question_id", F.when(is_text, F.try_variant_get("_x", "$", "string")).otherwise(F.try_variant_get("_x", "$.id", "string")).alias("knowledge_point_id"))
-    return d.where("knowledge_point_id <> ''").distinct()
+    d = questions.select(F.col(key).alias("question_id"), parsed(F.col(data)).alias("_v"), F.col(data).rlike(_LIST).alias("_list"))
+    items = F.when(F.col("_list"), F.try_variant_get("_v", "$", "array<variant>")).otherwise(F.array("_v"))
+    name = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.try_variant_get(x, "$.id", "string"))
+    # inside the list, as conditions on exploded rows would move below and parse every text again
+    return d.select("question_id", F.explode(F.filter(F.transform(items, name), lambda x: x != "")).alias("knowledge_point_id")).distinct()
 
 
 def first_of_each(df: DataFrame, by: list[str], key: str) -> DataFrame:
@@ -119,8 +128,7 @@ def first_of_each(df: DataFrame, by: list[str], key: str) -> DataFrame:
 
 def without_orphans(df: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
     """Rows whose reference is null or known."""
-    ids = known.select(F.col(key).alias("_id")).where("_id is not null").distinct()
-    return df.join(ids.withColumn("_known", F.lit(True)), F.col(column) == F.col("_id"), "left").where(F.col(column).isNull() | F.col("_known")).select(*df.columns)
+    return df.sparkSession.sql(f"select d.* from {{df}} d where d.`{column}` is null or exists (select 1 from {{known}} k where k.`{key}` = d.`{column}`)", df=df, known=known)
 
 
 def _practice(t: Tables) -> Tables:
