@@ -32,7 +32,9 @@ from pyspark.sql.types import LongType
 from .bpe import byte_characters
 from .common import slices, stash, text_or_empty, tidy, unstash
 
-BLOCK, LANES = 2048, 3072
+BLOCK, LANES = 2048, 8192
+#: Bytes of text in a part at most, and at least where there are cores for more parts: NumPy's calls cost the same for few blocks as for many.
+PART_BYTES, LEAST_BYTES = 32 << 20, 4 << 20
 END = 1
 #: Letter runs and other marks whose ids a task remembers.
 MOST_CACHED = 800_000
@@ -477,9 +479,14 @@ def _joined_crc(ns: pd.Series, crcs: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="int64")
 
 
+def parts_of(size: int, cores: int) -> int:
+    """How many parts ``size`` bytes of text are."""
+    return max(1, -(-size // PART_BYTES), min(cores, -(-size // LEAST_BYTES)))
+
+
 def write_store(docs: DataFrame, path: str, parts: int | None = None) -> DataFrame:
     """The table of blocks of docs(doc_id, text), written to the shared folder."""
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, docs.sparkSession.sparkContext.defaultParallelism)
     d = docs.select(F.col("doc_id"), text_or_empty().alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
     d = d.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return stash(d.mapInArrow(_write(path), "part int, block long, data binary"), "tokens")
