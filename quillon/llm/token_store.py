@@ -24,6 +24,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,8 +37,10 @@ BLOCK, LANES = 2048, 8192
 #: Bytes of text in a part at most, and at least where there are cores for more parts: NumPy's calls cost the same for few blocks as for many.
 PART_BYTES, LEAST_BYTES = 32 << 20, 4 << 20
 END = 1
-#: Letter runs and other marks whose ids a task remembers.
-MOST_CACHED = 800_000
+#: Letter runs and other marks whose ids a task remembers: so many of the last ones, and as many of before.
+MOST_CACHED = 400_000
+#: Bytes of text whose words are numbered at once.
+TEXT_BYTES = 8 << 20
 MAGIC = b"QTK2"
 _T2, _T1 = 512, 256
 _BITS = 15
@@ -282,12 +285,14 @@ def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
 _LETTER, _NUMBER, _BLANK = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 #: The vocabulary's own cuts, for lower-case text below U+0100.
 _LATIN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
+#: A letter and a number or mark after it, between which there is always a cut.
+_AFTER = r"([a-zß-öø-ÿ])([!-&(-@\[-`{-~])"
 _TOKENIZERS: dict[str, "_Words"] = {}
 _TWO = [i.to_bytes(2, "little") for i in range(1 << 16)]
 
 
 class _Words(dict):
-    """The library's tokenizer, and the ids of the cuts that its model was asked for."""
+    """The library's tokenizer, and the ids of the cuts that its model was asked for: of the last ones, and of those before them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -296,16 +301,27 @@ class _Words(dict):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.map = byte_characters()
+        self.before: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def __missing__(self, cut: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            # the model reads bytes as characters; ASCII letters are their own
+            if word.isascii() and word.isalpha():
+                mapped = word
+            else:
+                cuts = _LATIN.findall(word.lower())
+                if cuts != [word]:
+                    return b"".join(map(self.__getitem__, cuts))
+                mapped = word.encode().decode("latin-1").translate(self.map)
+            ids = b"".join([_TWO[t.id] for t in self.model.tokenize(mapped)])
         if len(self) >= MOST_CACHED:
+            self.before = dict(self)
             self.clear()
-        # the model reads bytes as characters; ASCII letters are their own
-        mapped = cut if cut.isascii() and cut.isalpha() else cut.encode().decode("latin-1").translate(self.map)
-        ids = self[cut] = b"".join([_TWO[t.id] for t in self.model.tokenize(mapped)])
+        self[word] = ids
         return ids
 
 
@@ -315,25 +331,42 @@ def _words(path: str) -> _Words:
     return _TOKENIZERS[path]
 
 
-def _cuts(text: str) -> list[str] | None:
+def _is_latin(text: str) -> bool:
+    """Below U+0100, and without what may be the name of a special token."""
     try:
         if not text.isascii():
             text.encode("latin-1")
     except UnicodeEncodeError:
-        return None
-    return None if "<|" in text else _LATIN.findall(text.lower())
+        return False
+    return "<|" not in text
+
+
+def _spread(ids: np.ndarray, size: np.ndarray, which: np.ndarray, offsets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words ``which``, of which ``ids`` has ``size`` each in turn, and where those of each list of words begin (one more at the end)."""
+    n = size[which]
+    end = np.cumsum(n)
+    place = np.repeat((np.cumsum(size) - size)[which] - (end - n), n)
+    place += np.arange(len(place))
+    return ids[place], np.concatenate([[0], end])[offsets.to_numpy()]
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 16-bit integers, without the end id.
 
-    Text below U+0100 is in normal form and lower-cases letter by letter, so it is cut here, and the library's model is asked for new cuts only; other text, and text that may hold the
-    name of a special token, is left to the library as a whole."""
-    w, out = _words(path), []
-    for t in texts:
-        cuts = _cuts(t)
-        out.append(w.encode(t) if cuts is None else b"".join(map(w.__getitem__, cuts)))
-    return out
+    Text below U+0100 is in normal form and lower-cases letter by letter, and no cut crosses a blank. Arrow numbers its different words, and what these are of; each of that is cut here once,
+    and the library's model is asked for new cuts only. Other text, and text that may hold the name of a special token, is left to the library as a whole."""
+    w = _words(path)
+    latin = [_is_latin(t) for t in texts]
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t if x else "" for t, x in zip(texts, latin)], pa.string())))
+    words = split.values.dictionary_encode()
+    halves = pc.ascii_split_whitespace(pc.replace_substring_regex(words.dictionary, _AFTER, r"\1 \2"))
+    parts = halves.values.dictionary_encode()
+    known = list(map(w.__getitem__, parts.dictionary.to_numpy(zero_copy_only=False).tolist()))
+    size = np.fromiter(map(len, known), np.int64, len(known)) // 2
+    ids, bound = _spread(np.frombuffer(b"".join(known), "<u2"), size, parts.indices.to_numpy(), halves.offsets)
+    ids, bound = _spread(ids, np.diff(bound), words.indices.to_numpy(), split.offsets)
+    bound = bound.tolist()
+    return [ids[a:b].tobytes() if x else w.encode(t) for t, x, a, b in zip(texts, latin, bound, bound[1:])]
 
 
 def _write(path: str):
@@ -372,7 +405,7 @@ def _write(path: str):
             pieces, have = left, len(ids) - n
 
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, TEXT_BYTES):
                 for doc, ids in zip(b.column(0).to_pylist(), token_ids(b.column(1).to_pylist(), path)):
                     ids += end
                     held.append(ids)
