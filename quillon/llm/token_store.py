@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .bpe import byte_characters
-from .common import slices, stash, text_or_empty, tidy, unstash
+from .common import release, slices, stash, text_or_empty, tidy, unstash
 
 BLOCK, LANES = 2048, 8192
 #: Bytes of text in a part at most, and at least where there are cores for more parts: NumPy's calls cost the same for few blocks as for many.
@@ -379,6 +379,8 @@ def _write(path: str):
         def flush(all_of_it: bool):
             nonlocal block, held, pieces, have
             ids = np.frombuffer(b"".join(held), "<u2")
+            held = []
+            release()  # what the words took is not there beside the coder's tables
             n = len(ids) if all_of_it else len(ids) // BLOCK * BLOCK
             coded = encode_blocks(ids[:n])
             table, rows = np.array(pieces, _PIECE), []
@@ -425,10 +427,9 @@ def _read(batches):
     held = []
 
     def flush():
-        unpacked = [unpack(x) for _, x in held]
-        ids = decode_blocks([w for _, w in unpacked])
+        ids = decode_blocks([w for _, _, w in held])
         parts, pieces, crcs = [], [], []
-        for (part, _), (table, _), row in zip(held, unpacked, ids):
+        for (part, table, _), row in zip(held, ids):
             at = 0
             row = row.astype("<u4")
             for n in table["n"].tolist():
@@ -445,7 +446,7 @@ def _read(batches):
 
     for b in batches:
         for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held.append((part, data))
+            held.append((part, *unpack(data)))
             if len(held) == LANES:
                 yield flush()
     if held:
